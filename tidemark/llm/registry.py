@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, mixing, simhash
 
 QUERIES = {
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLES = {
     "op2_minhash_dedup": minhash.OP2_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
 }
