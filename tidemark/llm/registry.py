@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, simhash
+from . import minhash, mixing, simhash, warc
 
 QUERIES = {
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
+    "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
