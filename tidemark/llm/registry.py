@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, simhash, warc
+from . import lm, minhash, mixing, simhash, warc
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
