@@ -7,9 +7,10 @@ the vector log-bilinear model of Mnih and Kavukcuoglu, 2013); inside a class of
 word has its add-one share, with one place for unseen words.  A batched matrix product over all
 classes normalises every prediction, so a text's score is the log of a probability.
 
-Counts cover all training texts.  Training passes over all training texts once, in ``ROUNDS``
-disjoint shares: in a round each partition starts from the same parameters, and Spark averages
-what the partitions learned, weighted by their tokens.
+Counts cover all training texts.  The first parameters come from one task over about
+``WARM_TOKENS`` tokens; then training passes over all training texts once, in ``ROUNDS`` disjoint
+shares: in a round each partition starts from the same parameters, and Spark averages what the
+partitions learned, weighted by their tokens.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .shared import table, written
 from .words import Words, mix, split
 
-HEAD, TAIL, DIM, CONTEXT = 384, 128, 16, 3
-ROUNDS, NOISE, BATCH, RATE = 3, 32, 4096, 0.08
+HEAD, TAIL, DIM, CONTEXT = 384, 128, 16, 2
+ROUNDS, NOISE, BATCH, RATE = 2, 32, 1024, 0.1
+#: Tokens, about, from which one task makes the first parameters; all texts follow.
+WARM_TOKENS = 1_500_000
 #: Words whose counts are broadcast (16 bytes each); the others' are joined.
 KNOWN = 1 << 18
 _END = np.uint64(0x6A09E667F3BCC909)
-_BLOCK = 2048
+_BLOCK = 1024
 
 
 def held_out(doc_id: Column, modulus: int = 7, rest: int = 2) -> Column:
@@ -90,17 +93,17 @@ class Model:
         self.target = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
         self.position = np.full((CONTEXT, DIM), 1.0 / CONTEXT, np.float32)
         self.bias = np.log(self.noise).astype(np.float32)
+        self.squares = [np.zeros_like(getattr(self, k)) for k in self.NAMES]  # Adagrad's sums
 
     NAMES = ("context", "target", "position", "bias")
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+        return np.concatenate([x.ravel() for x in (*(getattr(self, k) for k in self.NAMES), *self.squares)])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for k in self.NAMES:
-            x = getattr(self, k)
-            setattr(self, k, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+        for x in (*(getattr(self, k) for k in self.NAMES), *self.squares):
+            x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
     def classes(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -118,19 +121,27 @@ class Model:
             found[p - 1, p:][same] = classes[:-p][same] if n > p else []
         return found
 
-    def train(self, classes: np.ndarray, before: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
+    def train(self, classes: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of Adagrad over the tokens, in batches that share their noise words."""
         log_kq = np.log(NOISE * self.noise).astype(np.float32)
         cumulative = np.cumsum(self.noise)
         for i in range(0, len(classes), BATCH):
             w, c = classes[i : i + BATCH], before[:, i : i + BATCH]
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(self.noise) - 1)
-            seen = self.context[c]
-            q = np.einsum("pnd,pd->nd", seen, self.position)
-            right, wrong = self.target[w], self.target[drawn]
-            g = 1.0 / (1.0 + np.exp((q * right).sum(1) + self.bias[w] - log_kq[w]))
-            f = -1.0 / (1.0 + np.exp(-(q @ wrong.T + (self.bias[drawn] - log_kq[drawn]))))
-            dq = g[:, None] * right + f @ wrong
+            seen = [self.context.take(c[p], 0) for p in range(CONTEXT)]
+            q = seen[0] * self.position[0]
+            for p in range(1, CONTEXT):
+                q += seen[p] * self.position[p]
+            right, wrong = self.target.take(w, 0), self.target[drawn]
+            g = 1.0 / (1.0 + np.exp((q * right).sum(1) + (self.bias - log_kq)[w]))
+            f = q @ wrong.T
+            f += (self.bias - log_kq)[drawn]
+            np.negative(f, out=f)
+            np.exp(f, out=f)
+            f += 1.0
+            np.divide(-1.0, f, out=f)
+            dq = g[:, None] * right
+            dq += f @ wrong
             steps = [np.zeros_like(x) for x in (self.context, self.target, self.position, self.bias)]
             _add(steps[1], w, g[:, None] * q)
             np.add.at(steps[1], drawn, f.T @ q)
@@ -139,27 +150,36 @@ class Model:
             for p in range(CONTEXT):
                 _add(steps[0], c[p], dq * self.position[p])
                 steps[2][p] = (dq * seen[p]).sum(0) / len(w) * 32
-            for name, step, square in zip(self.NAMES, steps, squares, strict=True):
+            for name, step, square in zip(self.NAMES, steps, self.squares, strict=True):
                 square += step * step
                 getattr(self, name)[...] += (0.02 if name == "position" else RATE) * step / np.sqrt(square + 1e-6)
 
     def log_shares(self, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of each token's class."""
         tables = self.context[None] * self.position[:, None]
+        across, ones = np.ascontiguousarray(self.target.T), np.ones(len(self.target), np.float32)
+        # Each distinct context is normalised once.
+        code = before[0]
+        for p in range(1, CONTEXT):
+            code = code * len(self.context) + before[p]
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        met = before[:, first]
+        by_context = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[by_context], np.arange(0, len(first) + _BLOCK, _BLOCK))
         out = np.empty(len(classes), np.float64)
-        across = np.ascontiguousarray(self.target.T)
-        for i in range(0, len(classes), _BLOCK):
-            w = classes[i : i + _BLOCK]
-            q = tables[0][before[0, i : i + _BLOCK]]
+        for k, i in enumerate(range(0, len(first), _BLOCK)):
+            q = tables[0].take(met[0, i : i + _BLOCK], 0)
             for p in range(1, CONTEXT):
-                q = q + tables[p][before[p, i : i + _BLOCK]]
+                q += tables[p].take(met[p, i : i + _BLOCK], 0)
             logits = q @ across
             logits += self.bias
-            own = logits[np.arange(len(w)), w].astype(np.float64)
-            top = logits.max(1)
-            logits -= top[:, None]
+            at = by_context[bounds[k] : bounds[k + 1]]
+            own = logits[which[at] - i, classes[at]].astype(np.float64)
+            top = max(float(logits.max()) - 60.0, 0.0)  # float32 holds e**88
+            if top:
+                logits -= np.float32(top)
             np.exp(logits, out=logits)
-            out[i : i + _BLOCK] = own - top - np.log(logits.sum(1, dtype=np.float64))
+            out[at] = own - (top + np.log((logits @ ones).astype(np.float64)))[which[at] - i]
         return out
 
 
@@ -174,14 +194,13 @@ def _add(to: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
 def _trainer(model: Model, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng, n = np.random.default_rng(seed), 0
-        squares = [np.zeros_like(getattr(model, k)) for k in Model.NAMES]
         for b in batches:
             for w in split(b.column(0)):
                 h, tail, row = _tokens(w)
                 classes = model.classes(h, tail)
                 # Texts in turn, not one after the other: a batch then holds pieces of many.
                 before, by = model.before(classes, row), rng.permutation(len(classes))
-                model.train(classes[by], before[:, by], rng, squares)
+                model.train(classes[by], before[:, by], rng)
                 n += len(classes)
         if n:
             flat = model.flat().astype(np.float64) * n
@@ -242,9 +261,12 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     np.subtract.at(n_tail, head["tail"].to_numpy(np.int64), head["n"].to_numpy(np.float64))
     np.subtract.at(v_tail, head["tail"].to_numpy(np.int64), 1)
     model = Model(head["word"].to_numpy(np.int64).view(np.uint64), np.concatenate([head["n"].to_numpy(np.float64) + 1, n_tail + 1]))
-    for i in range(ROUNDS):
-        share = training.where(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(ROUNDS)) == i).select("text")
-        learned = share.mapInArrow(_trainer(model, i), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+    # The first parameters: one task over a bounded, hashed part of the texts.  Averaging needs starts that agree.
+    part = max(1, -(-int(n_all) // WARM_TOKENS))
+    shares = [training.where(F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(part)) == 0).repartition(1)]
+    shares += [training.where(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(ROUNDS)) == i) for i in range(ROUNDS)]
+    for i, share in enumerate(shares):
+        learned = share.select("text").mapInArrow(_trainer(model, i), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
         if len(learned):
             model.load(learned[:-1] / learned[-1])
     known = counts.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n").toPandas()
