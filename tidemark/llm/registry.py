@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import lm, minhash, mixing, simhash, warc
+from . import lm, minhash, mixing, simhash, topk, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
+    "op9_exact_topk": topk.op9_exact_topk,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLES = {
     "op2_minhash_dedup": minhash.OP2_SQL,
+    "op9_exact_topk": topk.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
