@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lm, minhash, mixing, quality, simhash, topk, warc
+from . import lm, minhash, mixing, pieces, quality, simhash, topk, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_quality": quality.op3_quality,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
     "op9_exact_topk": topk.op9_exact_topk,
