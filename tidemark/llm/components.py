@@ -8,26 +8,29 @@ from .shared import written
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of links(a, b); component is the smallest reachable node.
+    """(graph, node, component) for the nodes of links(graph, a, b); component is the smallest reachable node.
 
-    Alternates large-star and small-star steps.  Each step is one aggregation with map-side
-    minimum and one join, so a hub's links may be split over tasks.  A link with a null end is
-    dropped; self links keep their node.  Lineage is cut after each round by a written table.
+    Several graphs, told apart by ``graph``, are worked on at once.  Alternates large-star and
+    small-star steps.  Each step is one aggregation with map-side minimum and one join, so a hub's
+    links may be split over tasks.  Links with a null end and links of a node with itself are
+    dropped.  Lineage is cut after each round by a written table.
     """
-    edges = written(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    u, v = F.greatest("a", "b"), F.least("a", "b")
+    edges = written(links.where("a <> b").select("graph", u.alias("u"), v.alias("v")), "edges")
     mark = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(edges.where("u = v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u >= v").distinct()
-        edges = written(small, "edges")
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        both = edges.unionByName(edges.select("graph", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("graph", "u").agg(F.min("v").alias("m")).select("graph", "u", F.least("u", "m").alias("m"))
+        large = both.join(least, ["graph", "u"]).where("v > u").select("graph", F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("graph", "u").agg(F.min("v").alias("m"))
+        sides = F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e")
+        small = large.join(least, ["graph", "u"]).select("graph", sides).select("graph", F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u > v")
+        edges = written(small.distinct(), "edges")
+        new = edges.agg(F.count("*"), F.sum(F.xxhash64("graph", "u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             break
         mark = tuple(new)
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    roots = edges.select("graph", F.col("v").alias("node")).distinct()
+    return edges.select("graph", F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("graph", "node", F.col("node").alias("component")))

@@ -7,7 +7,8 @@ the full shingle sets.
 
 * Copies (equal shingle sets) collapse to one class before anything is paired.
 * In a bucket every member is first tested against the bucket's smallest class.  What is then
-  one component needs no more tests there; members that are still apart are tested pair by pair.
+  one component needs no more tests; members that are still apart from others they share buckets
+  with are tested against those in tiles of bounded size, without a row per pair.
 * Links are reduced to components by joins (components.py).
 
 The chance of missing a link at Jaccard exactly 0.8 is (1 - 0.8**6)**46, under 1e-6; it falls
@@ -27,6 +28,8 @@ from .shared import table, written
 from .words import mix, split
 
 BANDS, ROWS = 46, 6
+#: Documents of a circle that are tested together.
+TILE = 512
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -121,6 +124,48 @@ def _confirmer(percent: int):
     return run
 
 
+def _tile_links(rows: list[tuple[bool, int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
+    """For each asking row one link into each component that it is similar to; rows: (asks, id, component, shingles)."""
+    members, queries = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+    if not members or not queries:
+        return
+    sizes = np.array([len(r[3]) for r in members])
+    ids, own = np.array([r[1] for r in members]), np.array([r[2] for r in members])
+    shingles = np.concatenate([r[3] for r in members])
+    order = np.argsort(shingles, kind="stable")
+    shingles, holder = shingles[order], np.repeat(np.arange(len(members)), sizes)[order]
+    for _, i, component, wanted in queries:
+        lo, hi = np.searchsorted(shingles, wanted, "left"), np.searchsorted(shingles, wanted, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        same = np.bincount(holder[at], minlength=len(members))
+        good = np.flatnonzero((100 * same >= percent * (sizes + len(wanted) - same)) & (own != component))
+        for j in good[np.unique(own[good], return_index=True)[1]]:
+            yield i, int(ids[j])
+
+
+def _tile_tester(percent: int):
+    """Over partitions sorted by tile; a tile's rows follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def tested() -> pa.RecordBatch:
+            found = list(_tile_links(rows, percent))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns[:6]]
+            for *tile, asks, i, own, shingles in zip(*columns, b.column(6), strict=True):
+                if tile != key:
+                    yield tested()
+                    key, rows = tile, []
+                rows.append((asks, i, own, np.frombuffer(shingles.as_py(), np.uint64)))
+        yield tested()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -150,21 +195,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"), name)
 
     links = confirmed(stars, "links")
-    found = connected_components(links)
-    # Buckets that still hold several components: what is not in one component is tested pair by pair.
-    labelled = crowd.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    apart = written(labelled.join(mixed, ["band", "key"]), "apart")
-    x, y = (apart.select("band", "key", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("component").alias(f"c_{k}")) for k in "ab")
-    rest = x.join(y, ["band", "key"]).where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(rest, "more")
+    met = crowd.where("rep > first").select(F.lit(1).alias("graph"), F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    both = connected_components(links.select(F.lit(0).alias("graph"), "a", "b").unionByName(met))
+    found, circles = (both.where(F.col("graph") == g).select("node", "component") for g in (0, 1))
+    # Circles: classes that buckets connect.  In a circle of several components, what lies outside
+    # its largest component is tested against the whole circle, tile by tile.
+    placed = circles.select(F.col("node").alias("id"), F.col("component").alias("circle")).join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    shares = placed.groupBy("circle", "own").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("circle").agg(F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.max_by("own", "n").alias("main")).where("n_all > n_main AND n_all > 2")
+    mixed = mixed.select("circle", "main", F.ceil(F.col("n_all") / TILE).alias("m_tiles"), F.ceil((F.col("n_all") - F.col("n_main")) / TILE).alias("q_tiles"))
+    apart = written(placed.join(mixed, "circle"), "apart")
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    as_members = apart.select("circle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tiles") - 1)).alias("q"), (spot % F.col("m_tiles")).alias("m"), F.lit(False).alias("asks"), "id", "own")
+    as_queries = apart.where("own <> main").select("circle", (spot % F.col("q_tiles")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_tiles") - 1)).alias("m"), F.lit(True).alias("asks"), "id", "own")
+    tiles = as_members.unionByName(as_queries).join(sets, "id").select("circle", "q", "m", "asks", "id", "own", "shingles")
+    more = written(tiles.repartition("circle", "q", "m").sortWithinPartitions("circle", "q", "m").mapInArrow(_tile_tester(percent), "a long, b long"), "more")
     if more.limit(1).count():
-        found = connected_components(links.unionByName(more))
+        found = connected_components(links.unionByName(more).select(F.lit(0).alias("graph"), "a", "b"))
     # Rows with one id but different texts are one document: their classes are linked by it.
     twice = named.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
     if twice.limit(1).count():
         own = named.join(twice, "doc_id").join(classes, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = connected_components(links.unionByName(more).unionByName(own))
+        found = connected_components(links.unionByName(more).unionByName(own).select(F.lit(0).alias("graph"), "a", "b"))
     whole = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("class_id"))
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
