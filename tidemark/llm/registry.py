@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lm, minhash, mixing, pieces, quality, simhash, topk, warc
+from . import lm, minhash, mixing, pieces, quality, simhash, substrings, topk, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_quality": quality.op3_quality,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_minhash_dedup": minhash.OP2_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
     "op9_exact_topk": topk.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
