@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm, minhash, mixing, pieces, quality, simhash, substrings, topk, warc
+from . import licenses, lm, minhash, mixing, pieces, quality, simhash, substrings, topk, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_quality": quality.op3_quality,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_warc": warc.op7_warc,
     "op8_simhash": simhash.op8_simhash,

@@ -58,6 +58,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray  # uint64 of each word
     offset: np.ndarray  # first word of each row, and the end
+    bounds: np.ndarray  # first byte of each row, and the end
 
     def grams(self, k: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions at which k consecutive words of one document start, and the hash of those words."""
@@ -119,4 +120,4 @@ def _words(first: int, raw: np.ndarray, bounds: np.ndarray, lower: bool) -> Word
     h = (sums[end] - sums[start]) * _powers(_BASE_INV, max(size, 1))[start] if len(start) else np.empty(0, np.uint64)
     h = mix(h + (end - start).astype(np.uint64))
     offset = np.searchsorted(doc, np.arange(n_docs + 1))
-    return Words(first, n_docs, raw, data, doc, start, end, h, offset)
+    return Words(first, n_docs, raw, data, doc, start, end, h, offset, bounds)
