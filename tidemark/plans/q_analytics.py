@@ -116,12 +116,11 @@ def eval_task_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Short passages as evidence, five neighbouring ids to a question."""
-    short = table(spark, d, "documents").where("n_chars < 400")
-    return short.select(F.floor(F.col("doc_id") / 40).alias("query_id"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), (F.col("n_chars") % 100 / 100.0).alias("score"), F.array(F.when(F.col("doc_id") % 2 == 0, "bm25").otherwise("vector")).alias("channels"))
+    """A conversation's turns as the evidence of one question."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.col("turn").alias("chunk_id"), F.col("text").alias("content"), (F.length("text") % 100 / 100.0).alias("score"), F.array(F.when(F.col("turn") % 2 == 0, "bm25").otherwise("vector")).alias("channels"))
 
 
-@query(r"""WITH e AS (SELECT doc_id // 40 AS query_id, doc_id AS pos, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents WHERE n_chars < 400 AND trim(text) <> ''),
+@query(r"""WITH e AS (SELECT conv_id AS query_id, turn AS pos, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM conversations WHERE trim(text) <> ''),
 c AS (SELECT query_id, pos, ch, count(*) AS n FROM (SELECT query_id, pos, unnest(string_split(t, '')) AS ch FROM e) GROUP BY ALL),
 p AS (SELECT x.query_id, x.pos AS a, y.pos AS b, sum(least(x.n, y.n)) AS n FROM c x JOIN c y ON x.query_id = y.query_id AND x.ch = y.ch AND x.pos < y.pos GROUP BY ALL),
 s AS (SELECT p.query_id, a, b, round(2.0::DOUBLE * n / (length(x.t) + length(y.t)), 6) AS similarity FROM p JOIN e x ON x.query_id = p.query_id AND x.pos = a JOIN e y ON y.query_id = p.query_id AND y.pos = b)
@@ -135,16 +134,16 @@ def evidence_dedup(spark: SparkSession, d: str) -> DataFrame:
     return evidence.deduplicate(_evidence(spark, d), ["query_id"]).select("query_id", F.explode("kept").alias("k")).select("query_id", "k.pos", "k.score", F.array_join("k.channels", ",").alias("channels"))
 
 
-@query("""WITH g AS (SELECT user_id, greatest(max(value) / 100, 0) AS top, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 1.0 ELSE 0.0 END AS cover, bool_or(event_type = 'error') AS conflicts, user_id % 3 = 0 AS products FROM events WHERE event_id % 50 = 0 GROUP BY user_id),
+@query("""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, greatest(max(value) / 100, 0) AS top, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 1.0 ELSE 0.0 END AS cover, bool_or(event_type = 'error') AS conflicts, user_id % 3 = 0 AS products FROM events GROUP BY user_id, CAST(ts AS DATE)),
 c AS (SELECT *, least(greatest(0.5::DOUBLE * top + 0.3::DOUBLE * CASE WHEN n >= 2 THEN least(1.0::DOUBLE, 0.7::DOUBLE + 0.15::DOUBLE * (n - 2)) ELSE least(0.65::DOUBLE, 0.65::DOUBLE * n / 2) END + 0.2::DOUBLE * cover, 0), 1) AS confidence,
 concat_ws(';', CASE WHEN n < 2 THEN 'too little evidence' END, CASE WHEN conflicts THEN 'conflicting evidence' END, CASE WHEN products AND cover <= 0 THEN 'product not covered' END) AS reasons FROM g)
-SELECT user_id, round(confidence, 6) AS confidence, CASE WHEN reasons <> '' THEN 'refuse' WHEN confidence >= 0.75 THEN 'answer' WHEN confidence >= 0.5 THEN 'consult' ELSE 'refuse' END AS verdict, reasons FROM c""")
+SELECT user_id, day, round(confidence, 6) AS confidence, CASE WHEN reasons <> '' THEN 'refuse' WHEN confidence >= 0.75 THEN 'answer' WHEN confidence >= 0.5 THEN 'consult' ELSE 'refuse' END AS verdict, reasons FROM c""")
 def sufficiency(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 50 = 0")
-    g = e.groupBy("user_id").agg((F.max("value") / 100).alias("top"), F.count("*").alias("n"), F.max(F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)).alias("cover"), F.some(F.col("event_type") == "error").alias("conflicts"))
+    e = table(spark, d, "events")
+    g = e.groupBy("user_id", F.to_date("ts").alias("day")).agg((F.max("value") / 100).alias("top"), F.count("*").alias("n"), F.max(F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)).alias("cover"), F.some(F.col("event_type") == "error").alias("conflicts"))
     c = evidence.confidence(F.col("top"), F.col("n"), F.col("cover"))
     level, reasons = evidence.verdict(c, F.lit(False), F.col("n"), F.col("conflicts"), F.col("user_id") % 3 == 0, F.col("cover"))
-    return g.select("user_id", F.round(c, 6).alias("confidence"), level.alias("verdict"), reasons.alias("reasons"))
+    return g.select("user_id", "day", F.round(c, 6).alias("confidence"), level.alias("verdict"), reasons.alias("reasons"))
 
 
 def _claims() -> tuple:
