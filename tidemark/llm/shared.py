@@ -22,6 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.java.lang.System.gc()  # the job's shuffle files go once the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 

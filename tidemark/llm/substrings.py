@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import table, written
 from .words import Words, split
@@ -82,26 +82,35 @@ def _segmenter(length: int, gram: int):
 
 
 def _extractor(length: int, gram: int):
-    """text, anchors and segments wanted -> the wanted segments' word hashes."""
+    """doc, text and the segments wanted of it -> the word hashes of these, with what was told of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, ids = 0, b.column(0)
-            lists = b.column(2)
-            wanted, bounds = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            told = b.column(2).flatten()
+            wanted, parts, asks = (told.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            bounds = b.column(2).offsets.to_numpy() - b.column(2).offsets[0].as_py()
             for w in split(b.column(1), lower=False):
                 anchor, row, start, count = segments(w, length, gram)
-                name = _named(w, start, count, length)
-                asked = np.sort(wanted[bounds[at] - bounds[0] : bounds[at + w.n_docs] - bounds[0]])
-                if len(asked) and len(name):
-                    spot = np.minimum(np.searchsorted(asked, name), len(asked) - 1)
-                    # A segment that another text of the slice asks for is told apart by its document later.
-                    keep = np.flatnonzero(asked[spot] == name)
-                    size = count[keep] + length - 1
-                    ends = np.concatenate([[0], np.cumsum(size)])
-                    words = w.hash[np.repeat(start[keep] - ends[:-1], size) + np.arange(ends[-1])]
-                    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer((ends * 8).astype(np.int64)), pa.py_buffer(words.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[keep] + at)), pa.array(anchor[keep].view(np.int64)), pa.array(name[keep].view(np.int64)), pa.array(count[keep].astype(np.int32)), packed], names=["doc", "anchor", "segment", "n", "words"])
+                name = _named(w, start, count, length).view(np.int64)
+                lo, hi = bounds[at], bounds[at + w.n_docs]
+                owner = np.repeat(np.arange(w.n_docs), np.diff(bounds[at : at + w.n_docs + 1]))
+                # Match (row, segment), each once.
+                by = np.lexsort((name, row))
+                by = by[np.concatenate([[True], (name[by][1:] != name[by][:-1]) | (row[by][1:] != row[by][:-1])])] if len(by) else by
+                both = np.concatenate([owner, row[by]])
+                names = np.concatenate([wanted[lo:hi], name[by]])
+                order = np.lexsort((np.arange(len(both)) >= hi - lo, names, both))
+                pair = np.flatnonzero((both[order][1:] == both[order][:-1]) & (names[order][1:] == names[order][:-1]))
+                ask, keep = order[pair] + lo, by[order[pair + 1] - (hi - lo)] if len(pair) else np.empty(0, np.int64)
+                size = count[keep] + length - 1
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                words = w.hash[np.repeat(start[keep] - ends[:-1], size) + np.arange(ends[-1])]
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(ends * 8), pa.py_buffer(words.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row[keep] + at)), pa.array(anchor[keep].view(np.int64)), pa.array(name[keep]), pa.array(count[keep].astype(np.int32)), packed, pa.array(parts[ask]), pa.array(asks[ask])],
+                    names=["doc", "anchor", "segment", "n", "words", "parts", "asks"],
+                )
                 at += w.n_docs
 
     return run
@@ -334,36 +343,38 @@ def _remover(with_text: bool):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, t, lo, hi): the words lo .. hi - 1 of a text to be removed; t is the text's xxhash64.  Spans may overlap."""
+    """(doc, t, lo, hi): the words lo .. hi - 1 of a text to be removed; t is a hash of the text.  Spans may overlap."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    found = rows.select("doc", F.xxhash64("text").alias("t"), "text").mapInArrow(_segmenter(length, gram), "doc long, t long, anchor long, segment long, start int, n int")
-    found = written(found, "segments")
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("segment").alias("s_lo"), F.max("segment").alias("s_hi")).where("lo < hi")
-    shared = shared.select("anchor", F.col("lo").alias("first_doc"), (F.col("s_lo") < F.col("s_hi")).alias("varied"))
+    # Read off twice rather than kept: the segments of all texts take more room than the texts.
+    found = rows.select("doc", F.hash("text").alias("t"), "text").mapInArrow(_segmenter(length, gram), "doc long, t int, anchor long, segment long, start int, n int")
+    shared = found.groupBy("anchor").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").select("anchor", "first_doc")
     met = written(found.join(shared, "anchor"), "met")
     # Distinct segments of anchors with several, and the smallest document of each.
-    distinct = written(met.where("varied").groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.min("first_doc").alias("first_doc")), "distinct")
-    wanted = distinct.groupBy("doc").agg(F.collect_list("segment").alias("wanted"))  # at most a text's segments
-    texts = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_extractor(length, gram), "doc long, anchor long, segment long, n int, words binary")
-    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("parts"))
-    crowds = crowds.select("anchor", F.ceil(F.col("parts") / SHARD).alias("parts"))
-    cut = distinct.join(crowds, "anchor")
-    n_shards = max(1, -(-distinct.count() // SHARD))
-    held = cut.join(texts, ["anchor", "segment", "doc"]).dropDuplicates(["anchor", "segment"])
+    distinct = met.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.min("first_doc").alias("first_doc"))
+    distinct = written(distinct, "distinct")
+    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / SHARD).alias("parts"))
+    cut = written(distinct.join(crowds, "anchor"), "cut")
+    n_shards = max(1, -(-cut.count() // SHARD))
     asks = F.col("doc") > F.col("first_doc")  # the anchor's first document has nothing before it
-    rest = ["doc", "anchor", "segment", "n", "words"]
+    wanted = cut.groupBy("doc").agg(F.collect_list(F.struct("segment", "parts", asks.alias("asks"))).alias("wanted"))  # at most a text's segments
+    taken = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_extractor(length, gram), "doc long, anchor long, segment long, n int, words binary, parts long, asks boolean")
+
+    def tile(shard, i, j, role) -> Column:
+        return F.struct(shard.alias("shard"), i.alias("i"), j.alias("j"), role.alias("role"))
+
     none = F.lit(0).cast("long")
     part = F.pmod(F.xxhash64("segment"), F.col("parts"))
-    every = F.explode(F.sequence(none, F.col("parts") - 1))
-    plain = held.where("parts = 1").select(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("long").alias("shard"), none.alias("i"), none.alias("j"), F.when(asks, 3).otherwise(1).alias("role"), *rest)
-    refs = held.where("parts > 1").select(F.col("anchor").alias("shard"), every.alias("i"), (part + 1).alias("j"), F.lit(1).alias("role"), *rest)
-    queries = held.where("parts > 1").where(asks).select(F.col("anchor").alias("shard"), part.alias("i"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))).alias("j"), F.lit(2).alias("role"), *rest)
-    shards = plain.unionByName(refs).unionByName(queries).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    one = F.array(tile(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("long"), none, none, F.when(F.col("asks"), 3).otherwise(1)))
+    refs = F.transform(F.sequence(none, F.col("parts") - 1), lambda k: tile(F.col("anchor"), k, part + 1, F.lit(1)))
+    queries = F.transform(F.sequence(none, F.col("parts") - 1), lambda k: tile(F.col("anchor"), part, k + 1, F.lit(2)))
+    tiles = F.when(F.col("parts") == 1, one).when(F.col("asks"), F.concat(refs, queries)).otherwise(refs)
+    dealt = taken.withColumn("tile", F.explode(tiles)).select("tile.shard", "tile.i", "tile.j", "tile.role", "doc", "anchor", "segment", "n", "words")
+    shards = dealt.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
     runs = written(shards.mapInArrow(_searcher(length), "anchor long, segment long, first int, last int"), "runs")
-    copies = met.join(distinct.select("anchor", "segment", F.col("doc").alias("own_first")), ["anchor", "segment"], "left").where(F.col("doc") > F.coalesce("own_first", "first_doc"))
+    copies = met.join(distinct.select("anchor", "segment", F.col("doc").alias("own_first")), ["anchor", "segment"]).where("doc > own_first")
     spans = copies.select("doc", "t", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (length - 1)).alias("hi"))
-    firsts = runs.join(distinct.select("anchor", "segment", "doc"), ["anchor", "segment"])
-    firsts = met.where("varied").join(firsts, ["anchor", "segment", "doc"]).select("doc", "t", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + length).alias("hi"))
+    firsts = runs.join(cut.select("anchor", "segment", "doc"), ["anchor", "segment"])
+    firsts = met.join(firsts, ["anchor", "segment", "doc"]).select("doc", "t", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + length).alias("hi"))
     return spans.unionByName(firsts)
 
 
@@ -371,7 +382,7 @@ def _removed(docs: DataFrame, with_text: bool, id_col: str, text_col: str, lengt
     spans = repeated_spans(docs, id_col, text_col, length, gram)
     spans = written(spans.groupBy("doc", "t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")  # at most a text's segments
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"), F.struct("*").alias("row")).join(spans, ["doc", "t"], "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text).alias("t"), text.alias("text"), F.struct("*").alias("row")).join(spans, ["doc", "t"], "left")
     return rows.select("row", "text", "lo", "hi").mapInArrow(_remover(with_text), f"row {docs.schema.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
