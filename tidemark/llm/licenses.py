@@ -78,7 +78,7 @@ class Index:
                 place.append(int(at[i]))
         by = np.argsort(np.array(keys, np.uint64), kind="stable")
         self.keys, self.owner, self.place = np.array(keys, np.uint64)[by], np.array(owner)[by], np.array(place)[by]
-        self.apart = np.array([min(BAND, max(1, len(x) // 3)) for x in self.words])  # hits farther apart are different matches
+        self.bands = np.array([min(BAND, max(1, len(x) // 3)) for x in self.words])  # hits farther apart are different matches
         self.filter = np.zeros(1 << 16, dtype=bool)
         self.filter[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
@@ -96,7 +96,7 @@ class Index:
         row, owner, begin = row[order], owner[order], begin[order]
         if not len(row):
             return []
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(begin) > self.apart[owner[1:]])])
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(begin) > self.bands[owner[1:]])])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(row)]]) - 1
         return [(int(row[i]), int(owner[i]), int(begin[(i + j) // 2])) for i, j in zip(first, last, strict=True)]
@@ -143,8 +143,9 @@ def matches(index: Index, w: Words, aligned, coverage: float) -> list[tuple[int,
     by_row: dict[int, list[tuple[int, int, int, int]]] = {}
     for row, t, begin in index.candidates(w):
         size = len(index.words[t])
-        a = max(int(w.offset[row]), begin - BAND)
-        z = min(int(w.offset[row + 1]), begin + size + BAND)
+        band = int(index.bands[t])
+        a = max(int(w.offset[row]), begin - band)
+        z = min(int(w.offset[row + 1]), begin + size + band)
         n, lo, hi = aligned(t, w.hash[a:z].tobytes(), begin - a)
         if n >= coverage * size:
             by_row.setdefault(row, []).append((n, t, a + lo, a + hi))
@@ -161,7 +162,7 @@ def matches(index: Index, w: Words, aligned, coverage: float) -> list[tuple[int,
 def _scanner(templates: dict[str, str], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
-        aligned = lru_cache(maxsize=50_000)(lambda t, piece, shift: align(index.words[t], np.frombuffer(piece, np.uint64), shift))
+        aligned = lru_cache(maxsize=50_000)(lambda t, piece, shift: align(index.words[t], np.frombuffer(piece, np.uint64), shift, int(index.bands[t])))
         for b in batches:
             at, rows = 0, []
             texts = b.column(1).fill_null("")
