@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import shared_dir, table, written
 
 MAGIC = b"\x1f\x8b\x08"
+#: A reader has a task per range up to this many; beyond, tasks take several ranges.
+MOST_TASKS = 100_000
 _HEADER_LIMIT = 1 << 16
 _CHUNK = 1 << 18
 _RECORD = "urn:x-page:"
@@ -88,6 +90,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = rows.where(F.octet_length("html") >= least_payload).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    repeated = written(repeated, "repeated")  # a side of its own: Spark can then split a frequent payload's rows
     told = rows.join(repeated, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     return written(told.mapInArrow(_writer(folder, date, file_bytes), "path string, bytes long"), "archives")
 
@@ -212,7 +215,9 @@ def read_warc(archives: DataFrame, split_bytes: int = 8 << 20, with_payload: boo
     """
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_reader(with_payload), READ_SCHEMA)
+    # A count of its own: sized by the bytes of these few rows, all ranges would fall to one task.
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks, "path", "start").mapInArrow(_reader(with_payload), READ_SCHEMA)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
