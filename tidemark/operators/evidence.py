@@ -52,6 +52,15 @@ def conflict_pairs(evidence: DataFrame, key: str, least: float = 0.5, most: int
     return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
+def parse_conflicts(answer: Column, candidates: Column) -> Column:
+    """array<struct<a, b>>: the pairs that a judge's answer (JSON in free text) calls conflicts, smaller first, if they were candidates; each once."""
+    from tidemark.functions.jsons import first_array
+
+    told = F.coalesce(F.from_json(first_array(answer), "array<struct<a: int, b: int, conflict: boolean>>"), F.array().cast("array<struct<a: int, b: int, conflict: boolean>>"))
+    pairs = F.transform(F.filter(told, lambda x: F.coalesce(x["conflict"], F.lit(False))), lambda x: F.struct(F.least(x["a"], x["b"]).alias("a"), F.greatest(x["a"], x["b"]).alias("b")))
+    return F.array_intersect(F.array_distinct(pairs), candidates)
+
+
 def confidence(top: Column, n: Column, coverage: Column, at_least: int = 2, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> Column:
     """Weighted mean of the top score, the count metric and entity coverage, clamped to 0 .. 1."""
     w = [max(x, 0.0) for x in weights]

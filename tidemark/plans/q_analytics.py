@@ -178,3 +178,13 @@ def evidence_verdict(spark: SparkSession, d: str) -> DataFrame:
 def context_render(spark: SparkSession, d: str) -> DataFrame:
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("name"), F.col("text").alias("content")))), lambda x: F.struct(x["name"].alias("name"), x["content"].alias("content")))
     return table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("e")).select("conv_id", F.md5(evidence.render(F.col("e"))).alias("rendered_md5"))
+
+
+@query("""WITH x AS (SELECT c_custkey, CAST(least(c_custkey % 5, c_custkey % 3) AS INTEGER) AS a, CAST(greatest(c_custkey % 5, c_custkey % 3) AS INTEGER) AS b FROM customer WHERE c_custkey % 2 = 0)
+SELECT * FROM x WHERE (a, b) IN ((0, 1), (0, 2), (1, 2))""")
+def conflict_parse(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    answer = F.format_string('pairs: [{"a":%d,"b":%d,"conflict":%s}, {"a":4}] end', k % 5, k % 3, F.when(k % 2 == 0, "true").otherwise("false"))
+    pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    found = evidence.parse_conflicts(answer, F.array(pair(0, 1), pair(0, 2), pair(1, 2)))
+    return table(spark, d, "customer").select("c_custkey", F.explode(found).alias("p")).select("c_custkey", "p.a", "p.b")

@@ -67,12 +67,20 @@ def _chunks(spark: SparkSession, d: str, key: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.max("chunk_type").alias("kind"))
 
 
-@query(None)
+_LINES = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+_BLOCKS = "CASE WHEN r.cur <> '' THEN list_append(r.out, r.cur) ELSE r.out END"
+_STRUCTURE = f"""WITH b AS (SELECT doc_id, source, lang, array_to_string({_LINES}, chr(10)) AS body FROM documents), s AS (SELECT *, {_SENTENCES.format('body')} AS s FROM b WHERE body <> ''), k AS (SELECT *, {_PACK.format('s', 120)} AS r FROM s),
+c AS (SELECT doc_id, length(source) + length(lang) + 6 AS lead, CASE WHEN ceil(length(body) / 1.5) > 120 THEN {_BLOCKS} ELSE [body] END AS blocks FROM k) SELECT doc_id, len(blocks) AS n, CAST(list_sum(list_transform(blocks, lambda x: length(x) + lead)) AS BIGINT) AS chars, 'STRUCTURE' AS kind FROM c"""
+#: Each heading and line is an element here; long ones are cut.
+_PARTS = f"WITH p AS (SELECT doc_id, unnest(list_concat([source, lang], {_LINES})) AS t FROM documents), s AS (SELECT *, {_SENTENCES.format('t')} AS s FROM p), k AS (SELECT *, {_PACK.format('s', 120)} AS r FROM s), c AS (SELECT doc_id, t, CASE WHEN ceil(length(t) / 1.5) > 120 THEN {_BLOCKS} ELSE [] END AS cut FROM k)"
+
+
+@query(_STRUCTURE)
 def chunk_structure(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "structure")
 
 
-@query(None)
+@query(_PARTS + " SELECT doc_id, CAST(sum(1 + len(cut)) AS BIGINT) AS n, CAST(sum(length(t) + coalesce(list_sum(list_transform(cut, lambda x: length(x))), 0)) AS BIGINT) AS chars, 'PARENT' AS kind FROM c GROUP BY doc_id")
 def chunk_parent_child(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "parent-child")
 
@@ -87,12 +95,12 @@ def chunk_faq(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "faq")
 
 
-@query(None)
+@query(f"WITH l AS (SELECT doc_id, unnest({_LINES}) AS t FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars, 'TABLE' AS kind FROM l GROUP BY doc_id")
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "table")
 
 
-@query(None)
+@query(_STRUCTURE)
 def chunk_auto(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "auto")
 
