@@ -22,7 +22,7 @@ def buckets(start: Column, end: Column, unit: str) -> Column:
 
 
 def label(ts: Column, unit: str) -> Column:
-    """How a bucket that starts at ts is named."""
+    """How a bucket that starts at ts is named; the formats are fixed values."""
     if unit == "HOUR":
         return F.date_format(ts, "yyyy-MM-dd HH:mm")
     if unit == "DAY":

@@ -158,6 +158,7 @@ def policy(elements: Column, p: Params) -> Column:
     return F.transform(F.filter(F.transform(pieces, content), lambda c: c != ""), lambda c: chunk(c, "POLICY"))
 
 
+#: Fixed value: a question and its answer.
 _FAQ = r"(?s)(?:问|Q)\s*[:：]\s*(.+?)\s*(?:答|A)\s*[:：]\s*(.+?)(?=(?:问|Q)\s*[:：]|$)"
 
 
@@ -169,11 +170,15 @@ def faq(elements: Column, p: Params) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(semantic(elements, p))
 
 
+#: What leads a table's header and its rows.
+HEADER_LEAD, ROW_LEAD = "表头: ", " | 行: "
+
+
 def table(elements: Column, p: Params) -> Column:
     """Rows as "表头: ... | 行: ..." lines, packed; other text is packed by lines; without a table all lines are."""
 
     def lines(e: Column) -> Column:
-        head = F.concat(F.lit("表头: "), F.array_join(e["header"], " | ", ""), F.lit(" | 行: "))
+        head = F.concat(F.lit(HEADER_LEAD), F.array_join(e["header"], " | ", ""), F.lit(ROW_LEAD))
         rows = F.transform(F.coalesce(e["rows"], _none("array<string>")), lambda r: F.concat(head, F.array_join(r, " | ", "")))
         other = F.filter(F.transform(F.split(as_text(e), "\n"), trim), lambda x: x != "")
         return F.when(e["kind"] == "table", rows).otherwise(other)

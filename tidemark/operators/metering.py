@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Fixed value: how calls of a model without prices are named.
 UNPRICED = "(未配置单价)"
 _SUCCESS = ("SUCCESS", "DEGRADED")
 
@@ -54,6 +55,7 @@ def trend(calls: DataFrame, default_in: Column, default_out: Column, now: DataFr
     return calendar.join(daily, "day", "left").select("day", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("cost", F.lit(0)).cast("decimal(20,4)").alias("cost"))
 
 
+#: What blank keys are named.
 DEFAULTS = {"tenant": "*", "scenario": "*", "model": UNPRICED, "status": "UNKNOWN"}
 
 
