@@ -71,10 +71,16 @@ def _segmenter(length: int, gram: int):
             for w in split(b.column(2), lower=False):
                 anchor, row, start, count = segments(w, length, gram)
                 name = _named(w, start, count, length)
-                rows = pa.array(row + at)
+                # A segment that a text repeats is one row with all its places.
+                order = np.lexsort((start, name, row))
+                new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (row[order][1:] != row[order][:-1])])[: len(order)]
+                first = order[new]
+                bounds = np.append(np.flatnonzero(new), len(order)).astype(np.int32)
+                starts = pa.ListArray.from_arrays(pa.array(bounds), pa.array((start - w.offset[row])[order].astype(np.int32)))
+                rows = pa.array(row[first] + at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array((start - w.offset[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["doc", "t", "anchor", "segment", "start", "n"],
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(anchor[first].view(np.int64)), pa.array(name[first].view(np.int64)), starts, pa.array(count[first].astype(np.int32))],
+                    names=["doc", "t", "anchor", "segment", "starts", "n"],
                 )
                 at += w.n_docs
 
@@ -343,17 +349,18 @@ def _remover(with_text: bool):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, t, lo, hi): the words lo .. hi - 1 of a text to be removed; t is a hash of the text.  Spans may overlap."""
+    """(doc, t, lo, hi): the words lo[i] .. hi[i] - 1 of a text are to be removed; t is a hash of the text.  Spans may overlap."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     # Read off twice rather than kept: the segments of all texts take more room than the texts.
-    found = rows.select("doc", F.hash("text").alias("t"), "text").mapInArrow(_segmenter(length, gram), "doc long, t int, anchor long, segment long, start int, n int")
+    found = rows.select("doc", F.hash("text").alias("t"), "text").mapInArrow(_segmenter(length, gram), "doc long, t int, anchor long, segment long, starts array<int>, n int")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").select("anchor", "first_doc")
+    shared = written(shared, "shared")  # a side of its own: Spark can then split a hot anchor's rows in the join
     met = written(found.join(shared, "anchor"), "met")
     # Distinct segments of anchors with several, and the smallest document of each.
     distinct = met.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.min("first_doc").alias("first_doc"))
     distinct = written(distinct, "distinct")
     crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / SHARD).alias("parts"))
-    cut = written(distinct.join(crowds, "anchor"), "cut")
+    cut = written(distinct.join(written(crowds, "crowds"), "anchor"), "cut")
     n_shards = max(1, -(-cut.count() // SHARD))
     asks = F.col("doc") > F.col("first_doc")  # the anchor's first document has nothing before it
     wanted = cut.groupBy("doc").agg(F.collect_list(F.struct("segment", "parts", asks.alias("asks"))).alias("wanted"))  # at most a text's segments
@@ -372,15 +379,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = dealt.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
     runs = written(shards.mapInArrow(_searcher(length), "anchor long, segment long, first int, last int"), "runs")
     copies = met.join(distinct.select("anchor", "segment", F.col("doc").alias("own_first")), ["anchor", "segment"]).where("doc > own_first")
-    spans = copies.select("doc", "t", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (length - 1)).alias("hi"))
+    ends = lambda more: F.transform("starts", lambda x: x + more).cast("array<int>")
+    spans = copies.select("doc", "t", F.col("starts").alias("lo"), ends(F.col("n") + (length - 1)).alias("hi"))
     firsts = runs.join(cut.select("anchor", "segment", "doc"), ["anchor", "segment"])
-    firsts = met.join(firsts, ["anchor", "segment", "doc"]).select("doc", "t", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + length).alias("hi"))
+    firsts = met.join(firsts, ["anchor", "segment", "doc"]).select("doc", "t", ends(F.col("first")).alias("lo"), ends(F.col("last") + length).alias("hi"))
     return spans.unionByName(firsts)
 
 
 def _removed(docs: DataFrame, with_text: bool, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
     spans = repeated_spans(docs, id_col, text_col, length, gram)
-    spans = written(spans.groupBy("doc", "t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")  # at most a text's segments
+    spans = written(spans.groupBy("doc", "t").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi")), "spans")  # at most a text's segments
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text).alias("t"), text.alias("text"), F.struct("*").alias("row")).join(spans, ["doc", "t"], "left")
     return rows.select("row", "text", "lo", "hi").mapInArrow(_remover(with_text), f"row {docs.schema.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string")
