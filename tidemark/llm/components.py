@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import written
 
+#: A node's least neighbour is repeated so often for the join with its links: a hub's links go to
+#: several tasks, and, as both sides are dealt anew, Spark may split them further.
+SALTS = 4
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    salted = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("s", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted, ["graph", "u", "s"]).drop("s")
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(graph, node, component) for the nodes of links(graph, a, b); component is the smallest reachable node.
@@ -21,10 +30,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select("graph", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("graph", "u").agg(F.min("v").alias("m")).select("graph", "u", F.least("u", "m").alias("m"))
-        large = both.join(least, ["graph", "u"]).where("v > u").select("graph", F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, least).where("v > u").select("graph", F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("graph", "u").agg(F.min("v").alias("m"))
         sides = F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e")
-        small = large.join(least, ["graph", "u"]).select("graph", sides).select("graph", F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u > v")
+        small = _with_least(large, least).select("graph", sides).select("graph", F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u > v")
         edges = written(small.distinct(), "edges")
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("graph", "u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:

@@ -183,6 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(classes.join(sketch.select(F.col("doc_id").alias("rep"), "h1", "h2", "n_shingles", "bands"), ["rep", "h1", "h2", "n_shingles"]).select("rep", "n_shingles", "bands"), "reps")
     members = reps.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+    buckets = written(buckets, "buckets")  # a side of its own: Spark can then split a crowded bucket's rows
     crowd = written(members.join(buckets, ["band", "key"]).select("band", "key", "rep", "n", "first"), "crowd")
     sizes = reps.select(F.col("rep").alias("first"), F.col("n_shingles").alias("n_first"))
     stars = crowd.where("rep > first").select("first", "rep", "n").distinct().join(sizes, "first").where(f"100 * least(n, n_first) >= {percent} * greatest(n, n_first)").select(F.col("first").alias("a"), F.col("rep").alias("b"))
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shares = placed.groupBy("circle", "own").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("circle").agg(F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.max_by("own", "n").alias("main")).where("n_all > n_main AND n_all > 2")
     mixed = mixed.select("circle", "main", F.ceil(F.col("n_all") / TILE).alias("m_tiles"), F.ceil((F.col("n_all") - F.col("n_main")) / TILE).alias("q_tiles"))
-    apart = written(placed.join(mixed, "circle"), "apart")
+    apart = written(placed.join(written(mixed, "mixed"), "circle"), "apart")
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     as_members = apart.select("circle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tiles") - 1)).alias("q"), (spot % F.col("m_tiles")).alias("m"), F.lit(False).alias("asks"), "id", "own")
     as_queries = apart.where("own <> main").select("circle", (spot % F.col("q_tiles")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_tiles") - 1)).alias("m"), F.lit(True).alias("asks"), "id", "own")
@@ -218,6 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = named.join(twice, "doc_id").join(classes, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         found = connected_components(links.unionByName(more).unionByName(own).select(F.lit(0).alias("graph"), "a", "b"))
     whole = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("class_id"))
+    whole = written(whole, "classes")
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
