@@ -5,7 +5,7 @@ Each stage calls one operator of tidemark.llm on all that its predecessor kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.minhash import keep_one_of_each
 from tidemark.llm.mixing import mix_sources
@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of fifty words that an earlier document has; drop texts that lose all."""
-    return keep_first_passages(docs)
+    return keep_first_passages(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

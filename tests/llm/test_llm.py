@@ -230,7 +230,8 @@ def brute_repeats(rows, length):
 
 @pytest.mark.parametrize("shard,length,gram", [(8192, 50, 16), (3, 50, 16), (8192, 12, 4), (5, 12, 4)])
 def test_repeats(spark, texts, monkeypatch, shard, length, gram):
-    monkeypatch.setattr(substrings, "SHARD", shard)  # small shards cut crowded anchors into tiles
+    monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "CROWD", shard)  # crowded anchors are cut into tiles
     got = substrings.remove_repeats(table(spark, texts), length=length, gram=gram)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_repeats(texts, length)
 

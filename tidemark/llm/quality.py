@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .lm import held_out
 from .shared import table
@@ -202,7 +202,7 @@ def keep_good(docs: DataFrame, model: AttentionModel, text_col: str = "text", le
     """The rows of docs that score at least ``least``, with all their columns."""
     names = docs.columns
     columns = [F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(c) for c in names]).alias("_row")]
-    scored = docs.select(*columns).mapInArrow(_scorer(model), f"_row {docs.schema.simpleString()}, score double")
+    scored = docs.select(*columns).mapInArrow(_scorer(model), T.StructType([T.StructField("_row", docs.schema), T.StructField("score", T.DoubleType())]))
     return scored.where(F.col("score") >= least).select("_row.*")
 
 

@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .shared import table, written
 from .words import Words, split
 
 LENGTH, GRAM = 50, 16
-#: Segments in a shard, about.
-SHARD = 8192
+#: Segments in a shard, about; and of one anchor in a shard, at most.
+SHARD, CROWD = 1024, 8192
 
 
 def segments(w: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -359,7 +359,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Distinct segments of anchors with several, and the smallest document of each.
     distinct = met.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.min("first_doc").alias("first_doc"))
     distinct = written(distinct, "distinct")
-    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / SHARD).alias("parts"))
+    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / CROWD).alias("parts"))
     cut = written(distinct.join(written(crowds, "crowds"), "anchor"), "cut")
     n_shards = max(1, -(-cut.count() // SHARD))
     asks = F.col("doc") > F.col("first_doc")  # the anchor's first document has nothing before it
@@ -391,7 +391,8 @@ def _removed(docs: DataFrame, with_text: bool, id_col: str, text_col: str, lengt
     spans = written(spans.groupBy("doc", "t").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi")), "spans")  # at most a text's segments
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text).alias("t"), text.alias("text"), F.struct("*").alias("row")).join(spans, ["doc", "t"], "left")
-    return rows.select("row", "text", "lo", "hi").mapInArrow(_remover(with_text), f"row {docs.schema.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    fields = [("row", docs.schema), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
+    return rows.select("row", "text", "lo", "hi").mapInArrow(_remover(with_text), T.StructType([T.StructField(*f) for f in fields]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
