@@ -325,25 +325,23 @@ def _covered(n_words: int, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _remover(with_text: bool):
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, out = 0, []
-            lo, hi = b.column(2).to_pylist(), b.column(3).to_pylist()
+            at = 0
             for w in split(b.column(1), lower=False):
-                n_words = np.diff(w.offset)
+                n_words, out = np.diff(w.offset), []
                 raw = w.raw.tobytes()
-                for i in range(w.n_docs):
-                    a, z = w.offset[i], w.offset[i + 1]
-                    gone = np.zeros(n_words[i], dtype=bool)
-                    if lo[at + i]:
-                        gone = _covered(int(n_words[i]), list(zip(lo[at + i], hi[at + i], strict=True)))
-                    keep = np.flatnonzero(~gone) + a
+                spans = zip(b.column(2).slice(at, w.n_docs).to_pylist(), b.column(3).slice(at, w.n_docs).to_pylist(), strict=True)
+                for i, (lo, hi) in enumerate(spans):
+                    gone = _covered(int(n_words[i]), list(zip(lo, hi, strict=True))) if lo else np.zeros(n_words[i], dtype=bool)
+                    keep = np.flatnonzero(~gone) + w.offset[i]
                     kept = b" ".join([raw[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
                     out.append((int(n_words[i]), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, w.n_docs), *columns], names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
                 at += w.n_docs
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
