@@ -241,6 +241,19 @@ def _scorer(model: Model, known, sizes: np.ndarray):
     return run
 
 
+def _frequent(counts: DataFrame, most: int):
+    """The most frequent words (word, tail, n), at most ``most``, as a pandas frame in descending order.
+
+    Words are cut off at a count, not sorted: a histogram of the counts' logarithms tells where.
+    """
+    level = F.floor(F.log2("n") * 64)
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).toPandas().sort_values("level", ascending=False)
+    fit = levels[levels["words"].cumsum() <= most]
+    if not len(fit):
+        return counts.limit(0).toPandas()
+    return counts.where(level >= int(fit["level"].min())).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, rest: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -254,7 +267,8 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counts = training.select("text").mapInArrow(_counter, "word long, tail int, n long")
     counts = written(counts.groupBy("word", "tail").agg(F.sum("n").alias("n")), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    known = _frequent(counts, KNOWN)
+    head = known[:HEAD]
     tails = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     n_tail, v_tail = np.zeros(TAIL), np.zeros(TAIL)
     n_tail[tails["tail"]], v_tail[tails["tail"]] = tails["n"], tails["v"]
@@ -269,7 +283,6 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
         learned = share.select("text").mapInArrow(_trainer(model, i), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
         if len(learned):
             model.load(learned[:-1] / learned[-1])
-    known = counts.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n").toPandas()
     hashes = known["word"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
     sent = spark.sparkContext.broadcast((hashes[by], known["n"].to_numpy(np.int64)[by]))
