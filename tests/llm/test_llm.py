@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -380,6 +381,20 @@ def test_warc_false_magic_and_cut_off_members(tmp_path):
         assert got == at
 
 
+def test_warc_long_urls_are_read_and_lost_records_told(spark, tmp_path):
+    urls = ["http://x/" + "a" * 100_000, "http://x/" + "ü" * 11_000, "http://x/" + "".join(random.Random(1).choices("0123456789abcdef", k=700_000)), "http://x/short"]
+    df = spark.createDataFrame([(i, u, "same" if i < 2 else f"{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    archives = warc.write_warc(df, f"file://{tmp_path}/w")
+    for size in (1000, 8 << 20):
+        found = warc.read_warc(archives, split_bytes=size)
+        got = {r.page_id: r for r in found.where("record_type <> 'warcinfo'").collect()}
+        assert {i: unquote(r.target_uri) for i, r in got.items()} == dict(enumerate(urls))
+        assert got[0].record_type == "revisit" and got[0].refers_to == 1
+    assert warc.all_read(archives, found).count() == archives.agg(F.sum("records")).first()[0]
+    with pytest.raises(ValueError, match="records were lost"):
+        warc.all_read(archives, found.where("page_id <> 1"))
+
+
 # 8 SimHash
 
 

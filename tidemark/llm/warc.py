@@ -25,7 +25,6 @@ from .shared import shared_dir, table, written
 MAGIC = b"\x1f\x8b\x08"
 #: A reader has a task per range up to this many; beyond, tasks take several ranges.
 MOST_TASKS = 100_000
-_HEADER_LIMIT = 1 << 16
 _CHUNK = 1 << 18
 _RECORD = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,35 +63,37 @@ def _writer(folder: str, date: str, file_bytes: int):
                 if out is None:
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
                     files.create_dir(root, recursive=True)
-                    out, size = files.open_output_stream(f"{root}/{name}", compression=None), 0
+                    out, size, n = files.open_output_stream(f"{root}/{name}", compression=None), 0, 1
                     size += out.write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 size += out.write(_page_record(page_id, url, (html or "").encode(), first, date))
+                n += 1
                 if size >= file_bytes:
                     out.close()
-                    done.append((f"{folder}/{name}", size))
+                    done.append((f"{folder}/{name}", size, n))
                     out = None
         if out is not None:
             out.close()
-            done.append((f"{folder}/{name}", size))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "bytes"])
+            done.append((f"{folder}/{name}", size, n))
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), *(pa.array([d[k] for d in done], pa.int64()) for k in (1, 2))], names=["path", "bytes", "records"])
 
     return run
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_payload: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 30) -> DataFrame:
-    """Write a record per row of pages; returns the archives: path, bytes.
+    """Write a record per row of pages; returns the archives: path, bytes, records.
 
     Of rows with equal payloads (html as UTF-8; null counts as empty) of at least ``least_payload``
     bytes the one with the largest id becomes a response, the others revisits of it; shorter
     payloads are all responses.  Rows that repeat the largest id are all responses; a row with a
-    null id is a revisit if a row with an id has its payload.  Other columns are ignored.
+    null id is a revisit if a row with an id has its payload.  Other columns are ignored.  An
+    archive's records are those of its rows and one warcinfo.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = rows.where(F.octet_length("html") >= least_payload).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     repeated = written(repeated, "repeated")  # a side of its own: Spark can then split a frequent payload's rows
     told = rows.join(repeated, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-    return written(told.mapInArrow(_writer(folder, date, file_bytes), "path string, bytes long"), "archives")
+    return written(told.mapInArrow(_writer(folder, date, file_bytes), "path string, bytes long, records long"), "archives")
 
 
 class _Range:
@@ -128,8 +129,8 @@ def _decode(r: _Range) -> tuple[dict[str, str], bytes, int] | None:
             text += z.decompress(piece)
         except zlib.error:
             return None
-        if not b"WARC/1."[: len(text)] == text[:7] or (len(text) > _HEADER_LIMIT and b"\r\n\r\n" not in text[:_HEADER_LIMIT]):
-            return None
+        if not b"WARC/1."[: len(text)] == text[:7]:
+            return None  # after this start all is read, however long the header is
     head, found, rest = text.partition(b"\r\n\r\n")
     fields = _fields(head)
     length = fields.get("content-length", "")
@@ -220,7 +221,17 @@ def read_warc(archives: DataFrame, split_bytes: int = 8 << 20, with_payload: boo
     return ranges.repartition(tasks, "path", "start").mapInArrow(_reader(with_payload), READ_SCHEMA)
 
 
+def all_read(archives: DataFrame, found: DataFrame) -> DataFrame:
+    """found, written once, if it has as many records of each archive as were written; else an error."""
+    found = written(found, "records")
+    counts = found.groupBy("path").agg(F.count("*").alias("n_read"))
+    short = archives.join(counts, "path", "left").where("records <> coalesce(n_read, 0)").select("path", "records", F.coalesce("n_read", F.lit(0)).alias("n_read")).take(3)
+    if short:
+        raise ValueError("records were lost: " + "; ".join(f"{path} has {n}, {n_read} were read" for path, n, n_read in short))
+    return found
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/tidemark/warc-{uuid.uuid4().hex}")
-    found = read_warc(archives, with_payload=False).where("record_type IN ('response', 'revisit')")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = all_read(archives, read_warc(archives, with_payload=False))
+    return found.where("record_type IN ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
