@@ -158,6 +158,22 @@ def test_one_id_with_two_texts(spark):
     assert got == {(5, 2), (2, 2), (9, 2)}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_one_id_with_near_copies_of_several_texts(spark, parts):
+    r = random.Random(8)
+    rows = []
+    for k in range(0, 120, 10):
+        a, b, c = ([f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+        edit = lambda w, n: " ".join(w[:n] + ["edit"] + w[n + 1 :])
+        a, b, c = (" ".join(a), a), (" ".join(b), b), (" ".join(c), c)
+        rows += [(k + 5, a[0]), (k + 5, b[0]), (k + 2, edit(b[1], 0)), (k + 9, edit(a[1], 59))]  # two texts of one id, each with a near copy
+        rows += [(k + 6, None), (k + 6, "  "), (k + 6, c[0]), (k + 1, edit(c[1], 0)), (k + 3, None)]  # blank rows beside a real text
+        rows += [(k + 5, a[0]), (k + 5, a[0].upper())]  # repeated rows, and a text with the same shingles
+    r.shuffle(rows)
+    got = minhash.near_duplicates(table(spark, rows).repartition(parts), words=4)
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.kept) for x in got.collect()) == brute_components(rows, 4, 80)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(table(spark, []).limit(0)).count() == 0
     kept = minhash.keep_one_of_each(table(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (None, None)]))

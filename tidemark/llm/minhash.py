@@ -80,7 +80,7 @@ def _sketcher(words: int, bands: int, rows: int):
             for g, offset in shingle_sets(b.column(1), words):
                 n = np.diff(offset)
                 full = np.flatnonzero(n)
-                ids = b.column(0).slice(at, len(n))
+                ids, hashes = b.column(0).slice(at, len(n)), b.column(2).slice(at, len(n))
                 at += len(n)
                 keys = np.zeros((len(n), bands), dtype=np.int64)
                 h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -90,7 +90,7 @@ def _sketcher(words: int, bands: int, rows: int):
                     h2[full] = np.bitwise_xor.reduceat(mix(g + np.uint64(0x2545F491)), offset[full])
                 bounds = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[full].ravel()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"])
 
     return run
 
@@ -176,19 +176,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one component and are kept together.  A null id keeps its row, has a null component and
     links nothing.  Other columns of docs, whatever their names, are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(docs.mapInArrow(_sketcher(words, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    sketch = written(docs.mapInArrow(_sketcher(words, bands, rows), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = written(classes.join(sketch.select(F.col("doc_id").alias("rep"), "h1", "h2", "n_shingles", "bands"), ["rep", "h1", "h2", "n_shingles"]).select("rep", "n_shingles", "bands"), "reps")
-    members = reps.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+    same = ["h1", "h2", "n_shingles"]
+    # A class has a number of its own: an id may have several texts, and so be the smallest of several classes.
+    classes = written(named.groupBy(*same).agg(F.min("doc_id").alias("least_id")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    reps = classes.join(named.withColumnRenamed("doc_id", "least_id"), ["least_id", *same]).dropDuplicates(["least_id", *same])
+    reps = written(reps.select("class", "least_id", "text_hash", "n_shingles", "bands"), "reps")
+    members = reps.select("class", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last")
     buckets = written(buckets, "buckets")  # a side of its own: Spark can then split a crowded bucket's rows
-    crowd = written(members.join(buckets, ["band", "key"]).select("band", "key", "rep", "n", "first"), "crowd")
-    sizes = reps.select(F.col("rep").alias("first"), F.col("n_shingles").alias("n_first"))
-    stars = crowd.where("rep > first").select("first", "rep", "n").distinct().join(sizes, "first").where(f"100 * least(n, n_first) >= {percent} * greatest(n, n_first)").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    crowd = written(members.join(buckets, ["band", "key"]).select("band", "key", "class", "n", "first"), "crowd")
+    sizes = reps.select(F.col("class").alias("first"), F.col("n_shingles").alias("n_first"))
+    stars = crowd.where("class > first").select("first", "class", "n").distinct().join(sizes, "first").where(f"100 * least(n, n_first) >= {percent} * greatest(n, n_first)").select(F.col("first").alias("a"), F.col("class").alias("b"))
     stars = written(stars, "stars")
-    sets = written(docs.join(crowd.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_set_maker(words), "id long, shingles binary"), "sets")
+    wanted = reps.select("class", F.col("least_id").alias("doc_id"), "text_hash").join(crowd.select("class").distinct(), "class")
+    sets = written(docs.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("class", "text").mapInArrow(_set_maker(words), "id long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -196,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"), name)
 
     links = confirmed(stars, "links")
-    met = crowd.where("rep > first").select(F.lit(1).alias("graph"), F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    met = crowd.where("class > first").select(F.lit(1).alias("graph"), F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     both = connected_components(links.select(F.lit(0).alias("graph"), "a", "b").unionByName(met))
     found, circles = (both.where(F.col("graph") == g).select("node", "component") for g in (0, 1))
     # Circles: classes that buckets connect.  In a circle of several components, what lies outside
@@ -214,13 +219,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         found = connected_components(links.unionByName(more).select(F.lit(0).alias("graph"), "a", "b"))
     # Rows with one id but different texts are one document: their classes are linked by it.
-    twice = named.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
-    if twice.limit(1).count():
-        own = named.join(twice, "doc_id").join(classes, ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = connected_components(links.unionByName(more).unionByName(own).select(F.lit(0).alias("graph"), "a", "b"))
-    whole = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("class_id"))
-    whole = written(whole, "classes")
-    out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2", "n_shingles"], "left")
+    twice = sketch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
+    twice = written(twice, "twice")
+    several = twice.limit(1).count() > 0
+    if several:
+        own = written(named.select("doc_id", *same).join(twice, "doc_id").join(classes, same).select("doc_id", "class").distinct(), "own")
+        one = written(own.groupBy("doc_id").agg(F.min("class").alias("class")), "one")
+        tied = own.join(one.withColumnRenamed("class", "a"), "doc_id").select("a", F.col("class").alias("b"))
+        found = connected_components(links.unionByName(more).unionByName(tied).select(F.lit(0).alias("graph"), "a", "b"))
+    # Components are numbered by classes so far; each takes the smallest id of its classes.
+    placed = found.withColumnRenamed("node", "class").join(classes.select("class", "least_id"), "class")
+    lowest = written(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "lowest")  # a side of its own, as above
+    lowest = written(found.join(lowest, "component").select(F.col("node").alias("class"), "component_id"), "components")
+    whole = written(classes.join(lowest, "class", "left").select(*same, "class", F.coalesce("component_id", "least_id").alias("class_id")), "whole")
+    out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(whole.drop("class"), same, "left")
+    if several:
+        # A row without shingles goes with its id's other texts.
+        bare = F.col("doc_id").isNotNull() & (F.col("n_shingles") == 0)
+        by_id = one.join(whole.select("class", "class_id"), "class").select("doc_id", "class_id")
+        out = out.where(~bare).unionByName(out.where(bare).drop("class_id").join(by_id, "doc_id", "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
