@@ -293,6 +293,22 @@ def test_license_matches(spark):
     assert licenses.scan_licenses(table(spark, []).limit(0)).count() == 0
 
 
+def test_license_notices_with_as_many_edits_as_coverage_allows(spark):
+    edited = ["Released under MIT License", "Released under an MIT License", "All rights are reserved"]
+    want = {0: "MIT", 1: "MIT", 2: "All-rights-reserved"}
+    for name in ("MIT", "Apache-2.0", "Unlicense", "CC-BY-4.0"):
+        w = licenses.TEMPLATES[name].replace(".", " ").replace(",", " ").split()
+        least = math.ceil(0.8 * len(w))
+        for gone in itertools.combinations(range(len(w)), len(w) - least):
+            numbers = [np.arange(len(w), dtype=np.uint64), np.array([99 if i in gone else i for i in range(len(w))], np.uint64)]
+            if licenses.align(*numbers, 0)[0] >= least:  # else the best stretch is too short: an end is cut off by its edits
+                want[len(edited)] = name
+                edited.append(" ".join("edit" if i in gone else x for i, x in enumerate(w)))
+    assert len(want) > 50
+    got = licenses.scan_licenses(table(spark, [(i, f"some words {t} and more") for i, t in enumerate(edited)])).collect()
+    assert {r.doc_id: r.license for r in got} == want and len(got) == len(want)
+
+
 def test_license_lines_are_all_found(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     lines = ["Licensed under CC BY-NC 4.0.", "General Public License, version 3.", "Apache License, Version 2.0.", "Released under the MIT License.", "All rights reserved."]

@@ -1,15 +1,16 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment confirms them.
 
 Words are runs of ASCII letters and digits (lower-cased) and of other non-ASCII bytes; all else
-parts words.  Each template's hashed ``GRAM``-word runs are winnowed: of each ``WINDOW`` in a row
-the smallest is kept, so a shared run of ``GRAM + WINDOW - 1`` words always meets one.  All runs of
-a whole text are looked up in the inverted index of these; hits on neighbouring diagonals are one
+parts words.  Each template's hashed runs of ``gram`` words are winnowed: of each ``window`` in a
+row the smallest is kept, so a shared run of ``gram + window - 1`` words always meets one; both are
+chosen per template by the edits that the coverage allows (``fingerprint``).  All runs of a whole text are looked up in the inverted index of these; hits on neighbouring diagonals are one
 candidate, which is aligned with its template inside a band.  Hot license lines are cheap: equal
 pieces of text are aligned once per task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ from .shared import table
 from .words import Words, split
 
 GRAM, WINDOW, BAND = 3, 3, 12
+#: Of templates with fewer words all runs of two words are indexed.
+SHORT = GRAM + 2 * WINDOW - 1
 #: Least share of a template's words that a match must cover.
 COVERAGE = 0.8
 
@@ -56,42 +59,57 @@ def _plain(texts: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(texts.type, len(texts), [None, texts.buffers()[1], pa.py_buffer(data.tobytes())], offset=texts.offset)
 
 
+def fingerprint(size: int, coverage: float) -> tuple[int, int]:
+    """gram and window for a template of size words.
+
+    As many edits as the coverage allows words to be lost, each a word lost, replaced or put in,
+    leave a run of gram + window - 1 words, however they are spread.
+    """
+    least = min(size, max(1, math.ceil(coverage * size)))
+    run = -(-least // (size - least + 1))
+    gram = min(run, 2 if size < SHORT else GRAM)
+    return gram, 1 if size < SHORT else min(WINDOW, run - gram + 1)
+
+
 class Index:
-    """Inverted index from fingerprints to (template, word)."""
+    """Inverted index from fingerprints to (template, word), by gram."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = list(templates)
         self.words: list[np.ndarray] = []
-        keys, owner, place = [], [], []
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for t, text in enumerate(templates.values()):
             (w,) = split(_plain(pa.array([text])))
             if len(w.hash) < GRAM:
                 raise ValueError(f"template {self.names[t]} has fewer than {GRAM} words")
             self.words.append(w.hash)
-            at, g = w.grams(GRAM)
-            low = {int(i + np.argmin(g[i : i + WINDOW])) for i in range(max(1, len(g) - WINDOW + 1))} if len(g) >= WINDOW else set(range(len(g)))
-            if len(g) < 2 * WINDOW:
-                low = set(range(len(g)))  # a short notice: all its runs
-            for i in sorted(low):
-                keys.append(g[i])
-                owner.append(t)
-                place.append(int(at[i]))
-        by = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.keys, self.owner, self.place = np.array(keys, np.uint64)[by], np.array(owner)[by], np.array(place)[by]
+            gram, window = fingerprint(len(w.hash), coverage)
+            at, g = w.grams(gram)
+            for i in sorted({int(i + np.argmin(g[i : i + window])) for i in range(max(1, len(g) - window + 1))}):
+                found.setdefault(gram, []).append((int(g[i]), t, int(at[i])))
+        self.parts = []
+        for gram, rows in sorted(found.items()):
+            keys = np.array([r[0] for r in rows], np.uint64)
+            by = np.argsort(keys, kind="stable")
+            keys = keys[by]
+            may = np.zeros(1 << 16, dtype=bool)
+            may[(keys >> np.uint64(48)).astype(np.int64)] = True
+            self.parts.append((gram, keys, np.array([r[1] for r in rows])[by], np.array([r[2] for r in rows])[by], may))
         self.bands = np.array([min(BAND, max(1, len(x) // 3)) for x in self.words])  # hits farther apart are different matches
-        self.filter = np.zeros(1 << 16, dtype=bool)
-        self.filter[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
     def candidates(self, w: Words) -> list[tuple[int, int, int]]:
         """(row, template, first word of the slice if nothing is inserted or lost), each once."""
-        at, g = w.grams(GRAM)
-        may = self.filter[(g >> np.uint64(48)).astype(np.int64)]
-        at, g = at[may], g[may]
-        lo, hi = np.searchsorted(self.keys, g, "left"), np.searchsorted(self.keys, g, "right")
-        n = hi - lo
-        spot = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        row, owner, begin = w.doc[at], self.owner[spot], at - self.place[spot]
+        hits = []
+        for gram, keys, owners, places, filtered in self.parts:
+            at, g = w.grams(gram)
+            may = filtered[(g >> np.uint64(48)).astype(np.int64)]
+            at, g = at[may], g[may]
+            lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
+            n = hi - lo
+            spot = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at = np.repeat(at, n)
+            hits.append((w.doc[at], owners[spot], at - places[spot]))
+        row, owner, begin = (np.concatenate(x) for x in zip(*hits, strict=True))
         order = np.lexsort((begin, owner, row))
         row, owner, begin = row[order], owner[order], begin[order]
         if not len(row):
@@ -161,7 +179,7 @@ def matches(index: Index, w: Words, aligned, coverage: float) -> list[tuple[int,
 
 def _scanner(templates: dict[str, str], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, coverage)
         aligned = lru_cache(maxsize=50_000)(lambda t, piece, shift: align(index.words[t], np.frombuffer(piece, np.uint64), shift, int(index.bands[t])))
         for b in batches:
             at, rows = 0, []
@@ -184,7 +202,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """doc_id, license, coverage, matched_words, start_char, end_char: a row per match in the whole texts.
 
     coverage is the share of the template's words that the alignment matches.  A text may match
-    several templates, and one several times; a match inside a larger one is left out.  Null, empty
+    several templates, and one several times; a match inside a larger one is left out.  With at most
+    as many edits (a word lost, replaced or put in) as words may be lost, a notice shares an indexed
+    run.  Missed can be one with more words put in than that, or with words that lie more than the
+    band (a third of the template, 12 words at most) off the middle of its runs' diagonals.  Null, empty
     and blank texts match nothing.  Ids may be null or repeat; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
