@@ -534,8 +534,21 @@ def test_mixing_edges(spark, texts):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     only = mixing.mix_sources(docs, {"s1": 1.0}).select("source").distinct().collect()
     assert {r.source for r in only} == {"s1"}
-    big = mixing.mix_sources(table(spark, [(1, "aa", "x")]), scale=1200.0)
-    assert abs(big.count() - 1200) < 120
+
+
+def test_mixing_large_rates_are_poisson(spark):
+    # A derived table, grouped afterwards: the plan once failed to resolve here.
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("aa").alias("text"), F.lit("x").alias("source"))
+    got = [r.n for r in mixing.mix_sources(docs, scale=2000.0).groupBy("doc_id").agg(F.first("n_copies").alias("n")).collect()]
+    assert len(got) == 500 and abs(np.mean(got) - 2000) < 8 and abs(np.var(got) / 2000 - 1) < 0.15
+    u = lambda i, *p: int(hashlib.md5("|".join(["mix-1", str(i), *p]).encode()).hexdigest()[:13], 16) / 2**52
+    cdf = [math.exp(-500.0)]
+    p = cdf[0]
+    for k in range(1, 500 + int(12 * 500**0.5) + 41):
+        p *= 500.0 / k
+        cdf.append(cdf[-1] + p)
+    want = sorted(sum(sum(c <= u(i, *part) for c in cdf) for part in [(), ("part", "2"), ("part", "3"), ("part", "4")]) for i in range(60))
+    assert sorted(r.n_copies for r in mixing.mix_sources(docs.where("doc_id < 60"), scale=2000.0).where("copy_no = 1").collect()) == want
 
 
 # SQL, and the pipeline

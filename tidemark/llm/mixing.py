@@ -8,7 +8,7 @@ from .shared import table, written
 
 #: Sources whose rates are broadcast; with more of them the rates are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: A mean above this is met by whole copies, and the rest is drawn.
+#: Largest mean that one draw inverts: a larger one is the sum of independent draws of equal means.
 _LARGE = 500.0
 
 
@@ -37,15 +37,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
 
     The draw inverts the Poisson distribution of the source's rate at a uniform number hashed from
     (seed, id), so a rerun, on whatever partitions, gives the same rows; rows of one id get one
-    count.  A row with a null id is hashed by its text.  Rows are dealt to partitions by hash and
+    count.  A rate above 500 is the sum of independent draws of equal means of at most 500, each
+    inverted at a number of its own, which is again exactly Poisson.  A row with a null id is hashed by its text.  Rows are dealt to partitions by hash and
     sorted there by shuffle_key (also hashed), which is a global shuffle without a sampling pass.
     Columns of docs that bear a name of the four new ones are replaced.
     """
     new = ["rate", "n_copies", "copy_no", "shuffle_key"]
     docs = docs.drop(*[c for c in new if c in docs.columns])
     rates = written(source_rates(docs, weights, source_col, text_col, scale), "rates")
-    whole = F.when(F.col("rate") > _LARGE, F.floor(F.col("rate") - _LARGE)).otherwise(F.lit(0)).cast("long")
-    drawn = rates.withColumn("_whole", whole).withColumn("_mean", F.col("rate") - F.col("_whole"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / _LARGE)).cast("int")
+    drawn = rates.withColumn("_parts", parts).withColumn("_mean", F.col("rate") / F.col("_parts"))
     steps = F.sequence(F.lit(1), (F.col("_mean") + 12 * F.sqrt("_mean") + 40).cast("int"))
     zero = F.exp(-F.col("_mean"))
     terms = F.aggregate(
@@ -54,7 +55,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
         lambda s, k: F.struct((s["p"] * F.col("_mean") / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * F.col("_mean") / k)).alias("c")),
         lambda s: s["c"],
     )
-    drawn = written(drawn.select(F.col("source").alias("_source"), "rate", "_whole", terms.alias("_cdf")), "cdf")
+    drawn = written(drawn.select(F.col("source").alias("_source"), "rate", "_parts", terms.alias("_cdf")), "cdf")
     if drawn.count() <= BROADCAST_SOURCES:
         drawn = F.broadcast(drawn)
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
@@ -62,12 +63,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     def hashed(*parts: Column) -> Column:
         return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *parts).cast("binary")), 1, 13), 16, 10).cast("long")
 
-    u = hashed(name) / F.lit(float(1 << 52))
-    rows = docs.join(drawn, docs[source_col].eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("_u", u)
-    rows = rows.withColumn("n_copies", (F.col("_whole") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).cast("long")).drop("_source", "_whole", "_cdf", "_u")
+    def inverted(u: Column) -> Column:
+        """The count whose share of the distribution holds u."""
+        return F.size(F.filter("_cdf", lambda c: c <= u / F.lit(float(1 << 52))))
+
+    named = docs.select("*", name.alias("_name"), F.col(source_col).alias("_key"))
+    rows = named.join(drawn, F.col("_key").eqNullSafe(F.col("_source")))
+    more = F.transform(F.sequence(F.lit(2), F.greatest("_parts", F.lit(2))), lambda i: F.when(i <= F.col("_parts"), inverted(hashed(F.col("_name"), F.lit("part"), i.cast("string")))).otherwise(0))
+    count = inverted(hashed(F.col("_name"))) + F.when(F.col("_parts") > 1, F.aggregate(more, F.lit(0), lambda a, b: a + b)).otherwise(0)
+    rows = rows.withColumn("n_copies", count.cast("long"))
     copies = rows.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    keyed = copies.withColumn("shuffle_key", hashed(name, F.col("copy_no").cast("string")))
+    keyed = copies.withColumn("shuffle_key", hashed(F.col("_name"), F.col("copy_no").cast("string")))
     return keyed.select(*docs.columns, *new).repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
 
 
@@ -79,11 +85,13 @@ OP10_SQL = """
 WITH RECURSIVE chars AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM documents GROUP BY source),
 totals AS (SELECT CAST(sum(chars) AS BIGINT) AS all_chars, CAST(count(*) FILTER (WHERE chars > 0) AS DOUBLE) AS all_weight FROM chars),
 rates AS (SELECT source, CASE WHEN chars > 0 THEN 1.0::DOUBLE * 1.0::DOUBLE * all_chars / (all_weight * chars) ELSE 1.0::DOUBLE END AS rate FROM chars, totals),
+means AS (SELECT source, rate, greatest(1, CAST(ceil(rate / 500) AS INT)) AS parts, rate / greatest(1, CAST(ceil(rate / 500) AS INT)) AS mean FROM rates),
 cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
-  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < CAST(floor(rate + 12 * sqrt(rate) + 40) AS INT)),
-drawn AS (SELECT d.*, CAST('0x' || substr(md5('mix-1|' || d.doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents d),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.rate, count(*) FILTER (WHERE c.c <= d.u) AS n_copies
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM means
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < CAST(floor(mean + 12 * sqrt(mean) + 40) AS INT)),
+parted AS (SELECT d.*, rate, unnest(range(1, parts + 1)) AS part FROM documents d JOIN means m ON m.source IS NOT DISTINCT FROM d.source),
+drawn AS (SELECT *, CAST('0x' || substr(md5('mix-1|' || doc_id || CASE WHEN part > 1 THEN '|part|' || part ELSE '' END), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM parted),
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.rate, count(*) FILTER (WHERE c.c <= d.u) AS n_copies
   FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, rate, n_copies, copy_no, CAST('0x' || substr(md5('mix-1|' || doc_id || '|' || copy_no), 1, 13) AS BIGINT) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM counted WHERE n_copies > 0)
