@@ -11,6 +11,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,6 +367,32 @@ def test_n_best_against_all_segmentations(model):
     assert columns[0][-1] == 0 and columns[4][-1] == []
 
 
+def test_long_units(model):
+    """Long parts are segmented one by one: the same result as in a crowd of parts, and bounded memory."""
+    import resource
+
+    r = random.Random(6)
+    long = ["".join(r.choice("abcdefghijkl") for _ in range(700)), "日本語の文章と漢字" * 90, "=" * 900, "aGVsbG8" * 100]
+    one = pieces.encode_slice(model, long, 3, model.n_best)
+    for i, t in enumerate(long):
+        best = model.n_best(" " + t, 3)
+        assert one[2][i].as_py() == list(best[0][1]) and one[1][i].as_py() == best[0][0] and one[3][i].as_py()
+        assert [m["score"] for m in one[4][i].as_py()] == [b[0] for b in best[1:]]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (huge,) = pieces.encode_slice(model, ["".join(r.choice("0123456789abcdefABCDEF+/") for _ in range(200_000))], 3, model.n_best)[4].to_pylist()
+    assert len(huge) == 2 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+def test_fitting_scores_agree_with_the_library(model):
+    import sentencepiece
+
+    words = Counter(w for r in pa.parquet.read_table(f"{SMALL}/documents.parquet", columns=["text"]).column(0).to_pylist() if r for w in r.split())
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH).encode(list(words))
+    own = pieces.encode_slice(model, list(words), 1, model.n_best)[2].to_pylist()
+    assert sum(n for n, a, b in zip(words.values(), own, lib) if a == b) / sum(words.values()) > 0.8
+    assert pieces.fitting_scores([("a", -1.5, "plain"), ("b", -2.0, "plain")]) == [("a", -1.5, "plain"), ("b", -2.0, "plain")]
+
+
 def test_encode_and_decode(spark, texts):
     docs = table(spark, texts)
     got = pieces.encode(docs)

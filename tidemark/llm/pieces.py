@@ -7,6 +7,11 @@ They are exact heuristics: an A-star search from a unit's end back to its start
 meets complete segmentations in the order of their scores.  The N best of a text differ from its
 best only in the N - 1 units whose second best segmentation loses least, so only those are searched.
 
+A byte-pair model's file has ranks for scores, which are no log-probabilities: their sum favours
+many frequent scraps over one word.  Ranks are therefore turned into log-probabilities by the
+Zipf-Mandelbrot law (``fitting_scores``), which needs no training.  Scores are whole multiples of
+2**-20, so that sums are exact and ties are ties.
+
 Spaces become the space mark, with one more before the text; a character without a piece (and a
 literal space mark) becomes its UTF-8 byte pieces, at a score below every character's.  Decoding
 gives back the text exactly.
@@ -15,6 +20,7 @@ gives back the text exactly.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +36,10 @@ MARK = "▁"
 _CHUNK = 200_000  # characters of distinct units whose lattice is held at once
 _SLICE = 1 << 20  # characters of texts that are worked on at once
 N_BEST = 3
+#: The offset of the Zipf-Mandelbrot law.
+OFFSET = 50.0
+_GRID = float(1 << 20)
+_FEW, _SHORT = 16, 64  # longer parts than that, if few, are segmented one by one
 
 
 def read_model(path: str = MODEL_PATH) -> list[tuple[str, float, str]]:
@@ -41,10 +51,24 @@ def read_model(path: str = MODEL_PATH) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
+def fitting_scores(model: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """The model with log-probabilities for scores, on the grid.
+
+    Whole numbers are ranks, as byte-pair models have them: rank r gets the share 1 / (r + OFFSET)
+    of the sum of these.  Other scores are a unigram model's log-probabilities, and stay.
+    """
+    plain = [s for _, s, k in model if k == "plain"]
+    if plain and all(s == round(s) for s in plain):
+        total = math.log(sum(1 / (OFFSET - s) for s in plain))
+        model = [(p, -math.log(OFFSET - s) - total if k == "plain" else s, k) for p, s, k in model]
+    return [(p, round(s * _GRID) / _GRID, k) for p, s, k in model]
+
+
 class Pieces:
     """The pieces, for single units (n_best) and for many at once (segment)."""
 
     def __init__(self, model: list[tuple[str, float, str]]):
+        model = fitting_scores(model)
         self.plain = {p.replace(MARK, " "): (i, s) for i, (p, s, k) in enumerate(model) if k == "plain" and p != ""}
         if any(" " in p.lstrip(" ") for p in self.plain):
             raise ValueError("a piece spans words")
@@ -85,21 +109,29 @@ class Pieces:
         return found
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations (score, ids); of equal scores those with the longer last pieces first."""
+        """The n best segmentations (score, ids); of equal scores those with the longer last pieces first.
+
+        A path is a chain of (id, start, end, what follows), shared by all paths that end alike.
+        """
         edges = self.edges(unit)
         best = [0.0] + [-np.inf] * len(unit)
         for end in range(1, len(unit) + 1):
             best[end] = max(best[s] + score for s, _, score in edges[end])
-        heap = [(-best[len(unit)], (), len(unit), 0.0, ())]
+        heap: list[tuple] = [(-best[len(unit)], 0, len(unit), 0.0, None)]
         done: list[tuple[float, tuple[int, ...]]] = []
+        pushed = 0
         while heap and len(done) < n:
-            _, sizes, at, behind, ids = heapq.heappop(heap)
+            _, _, at, behind, path = heapq.heappop(heap)
             if at == 0:
-                done.append((behind, ids))
+                ids: list[int] = []
+                while path:
+                    i, start, end, path = path
+                    ids += [i] if i >= 0 else [int(self.byte_ids[b]) for b in unit[start:end].encode()]
+                done.append((behind, tuple(ids)))
                 continue
-            for start, i, score in edges[at]:
-                piece = (i,) if i >= 0 else tuple(int(self.byte_ids[b]) for b in unit[start:at].encode())
-                heapq.heappush(heap, (-(best[start] + score + behind), (*sizes, start - at), start, score + behind, piece + ids))
+            for start, i, score in reversed(edges[at]):  # of equal entries the latest is taken first, so none waits beside a finished one
+                pushed -= 1
+                heapq.heappush(heap, (-(best[start] + score + behind), pushed, start, score + behind, (i, start, at, path)))
         return done
 
     # Many units
@@ -139,19 +171,56 @@ class Pieces:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _segment(self, cps, size):
+        n, units = len(cps), len(size)
+        start = np.cumsum(size) - size
+        left = np.repeat(start + size, size) - np.arange(n)
+        scores, ids = self._lattice(cps, left)
+        # A unit falls apart where no piece reaches across: its parts are independent.
+        reach = np.arange(1, n + 1)
+        for k in range(2, self.longest + 1):
+            at = np.flatnonzero(ids[k - 1] >= 0)
+            reach[at] = at + k
+        cut = np.concatenate([[0], np.flatnonzero(np.maximum.accumulate(reach)[:-1] == np.arange(1, n)) + 1])
+        parts = np.searchsorted(cut, start)  # each unit's first part
+        total, loss, count, pieces = self._parts(cps, np.diff(np.append(cut, n)), scores, ids)
+        return np.add.reduceat(total, parts), np.minimum.reduceat(loss, parts), np.add.reduceat(count, parts), pieces
+
+    def _long(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best score before, last piece, and best score behind each node of one part; scores: length x start."""
+        n = scores.shape[1]
+        starts, sizes = np.nonzero(np.isfinite(scores.T))
+        value = scores[sizes, starts].tolist()
+        starts, ends = starts.tolist(), (starts + sizes + 1).tolist()
+        ahead, taken, behind = [-math.inf] * (n + 1), [0] * (n + 1), [-math.inf] * (n + 1)
+        ahead[0] = behind[n] = 0.0
+        for i, j, s in zip(starts, ends, value, strict=True):
+            if ahead[i] + s > ahead[j]:  # the longest piece comes first
+                ahead[j], taken[j] = ahead[i] + s, j - i
+        for i, j, s in zip(reversed(starts), reversed(ends), reversed(value), strict=True):
+            if behind[j] + s > behind[i]:
+                behind[i] = behind[j] + s
+        return np.array(ahead), np.array(taken), np.array(behind)
+
+    def _parts(self, cps, size, scores, ids):
         n, units = len(cps), len(size)
         start = np.cumsum(size) - size
         unit = np.repeat(np.arange(units), size)
-        within = np.arange(n) - start[unit]
-        scores, ids = self._lattice(cps, size[unit] - within)
-        # Node k of a unit lies at start + unit number + k: a unit has one node more than characters.
+        # Node k of a part lies at start + part number + k: a part has one node more than characters.
         first = start + np.arange(units)
         ahead = np.full(n + units, -np.inf)
         ahead[first] = 0
         taken = np.zeros(n + units, np.int64)
+        behind = np.full(n + units, -np.inf)
+        behind[first + size] = 0
         by = np.argsort(-size, kind="stable")
+        few = max(_SHORT, int(size[by[min(_FEW, units) - 1]])) if units else 0
+        alone = size > few
+        for u in np.flatnonzero(alone):
+            nodes = slice(first[u], first[u] + size[u] + 1)
+            ahead[nodes], taken[nodes], behind[nodes] = self._long(scores[:, start[u] : start[u] + size[u]])
+        by = by[alone.sum() :]
         longest_first = size[by]
-        for t in range(1, int(size.max(initial=0)) + 1):
+        for t in range(1, int(longest_first.max(initial=0)) + 1):
             live = by[: np.searchsorted(-longest_first, -t, "right")]
             best, how = np.full(len(live), -np.inf), np.zeros(len(live), np.int64)
             for k in range(1, min(t, self.longest) + 1):
@@ -159,9 +228,7 @@ class Pieces:
                 better = s >= best  # of equal scores the longer last piece
                 best[better], how[better] = s[better], k
             ahead[first[live] + t], taken[first[live] + t] = best, how
-        behind = np.full(n + units, -np.inf)
-        behind[first + size] = 0
-        for t in range(1, int(size.max(initial=0)) + 1):
+        for t in range(1, int(longest_first.max(initial=0)) + 1):
             live = by[: np.searchsorted(-longest_first, -t, "right")]
             at = size[live] - t
             best = np.full(len(live), -np.inf)
@@ -171,7 +238,15 @@ class Pieces:
         total = ahead[first + size]
         # Back along the best paths.
         begins = np.zeros(n, np.int64)  # length of the best path's piece that begins here
-        live, at = np.arange(units), size.copy()
+        for u in np.flatnonzero(alone):
+            hop, at, found = taken[first[u] : first[u] + size[u] + 1].tolist(), int(size[u]), []
+            while at:
+                at -= hop[at]
+                found.append(at)
+            here = np.array(found) + start[u]
+            begins[here] = np.diff(np.append(here[::-1], start[u] + size[u]))[::-1]
+        live = by
+        at = size[live]
         while len(live):
             k = taken[first[live] + at]
             at = at - k
@@ -180,10 +255,8 @@ class Pieces:
         second = np.full(units, -np.inf)
         node = np.arange(n) + unit
         for k in range(1, self.longest + 1):
-            s = scores[k - 1].copy()
-            s[begins == k] = -np.inf
-            may = np.flatnonzero(np.isfinite(s))
-            np.maximum.at(second, unit[may], ahead[node[may]] + s[may] + behind[node[may] + k])
+            may = np.flatnonzero(np.isfinite(scores[k - 1]) & (begins != k))
+            np.maximum.at(second, unit[may], ahead[node[may]] + scores[k - 1, may] + behind[node[may] + k])
         at = np.flatnonzero(begins)
         chosen = ids[begins[at] - 1, at]
         pieces, owner = chosen, unit[at]
@@ -288,7 +361,8 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _encoder(model, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value)
-        search = lru_cache(maxsize=100_000)(pieces.n_best)
+        kept = lru_cache(maxsize=100_000)(pieces.n_best)
+        search = lambda unit, n: kept(unit, n) if len(unit) <= _SHORT else pieces.n_best(unit, n)
         for b in batches:
             texts, at = b.column(0).to_pylist(), 0
             while at < len(texts):
