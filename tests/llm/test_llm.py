@@ -95,11 +95,36 @@ def test_lm_base_score_and_counts(spark, texts):
 
 def test_lm_probabilities_sum_to_one():
     r = np.random.default_rng(1)
-    m = lm.Model(r.integers(1, 2**63, 5).astype(np.uint64), r.random(5 + lm.TAIL) + 0.1)
-    k = len(m.bias)
-    before = np.repeat(r.integers(0, k + 1, (lm.CONTEXT, 4)), k, axis=1)
-    classes = np.tile(np.arange(k), 4)
-    assert np.allclose(np.exp(m.log_shares(classes, before)).reshape(4, k).sum(1), 1, atol=1e-5)
+    for own in (5, lm.GROUP, 3 * lm.GROUP + 7, 0):
+        m = lm.Model(r.integers(1, 2**63, own).astype(np.uint64), r.random(own + lm.TAIL) + 0.1)
+        k = len(m.word_bias)
+        before = np.repeat(r.integers(0, k + 1, (lm.CONTEXT, 4)), k, axis=1)
+        assert np.allclose(np.exp(m.log_shares(np.tile(np.arange(k), 4), before)).reshape(4, k).sum(1), 1, atol=1e-5)
+
+
+def test_lm_learns_what_follows():
+    """After word i comes word i + 1: the learned share of the follower is far above its unigram share."""
+    r = np.random.default_rng(2)
+    m = lm.Model(r.integers(1, 2**63, 100).astype(np.uint64), np.ones(100 + lm.TAIL))
+    numbers = (np.arange(60_000) * 1) % 100
+    before = m.before(numbers, np.arange(60_000) // 50)
+    for _ in range(4):
+        by = r.permutation(len(numbers))
+        m.train(numbers[by], before[:, by], r)
+    inner = before[0] < 100
+    assert np.exp(m.log_shares(numbers, before)[inner]).mean() > 0.5
+
+
+def test_lm_without_a_count_that_parts_the_words(spark, monkeypatch):
+    """All words are equally frequent: none is broadcast, and still the words have vectors of their own and the right counts."""
+    monkeypatch.setattr(lm, "KNOWN", 3)
+    rows = [(i, f"w{i} v{i}") for i in range(40)]
+    seen = []
+    real = lm.Model
+    monkeypatch.setattr(lm, "Model", lambda own, share: seen.append(len(own)) or real(own, share))
+    got = lm.language_model_scores(table(spark, rows)).collect()
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert seen == [2 * len(train) + 1] and all(r.n_known == (3 if r.doc_id in train else 1) for r in got)
 
 
 def test_lm_beats_its_base_on_held_out_texts(spark):
@@ -153,6 +178,40 @@ def test_crowded_circle_goes_through_tiles(spark, monkeypatch):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.kept) for x in got.collect()) == brute_components(rows, 4, 80)
 
 
+def test_string_ids(spark):
+    rows = [("b", "a b c d e f"), ("a", "A b c d e f"), ("c", "x y"), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {tuple(r)[::2] for r in minhash.near_duplicates(docs, words=4).collect()} == {("b", "a"), ("a", "a"), ("c", "c"), (None, None)}
+
+
+def chain(n, size=120, step=40):
+    """Each text shares two thirds of its words with the next one: they collide in bands and are no near copies."""
+    r = random.Random(9)
+    w = [f"w{r.randrange(10**9)}" for _ in range(n * step + size)]
+    return [(i, " ".join(w[i * step : i * step + size])) for i in range(n)]
+
+
+def test_chains_of_collisions_are_not_followed(spark, monkeypatch):
+    """Twice as long a chain sends at most about twice as many rows through the tiles."""
+    rows, sent = {}, {}
+    real = minhash.written
+    for n in (60, 120):
+        sent[n] = 0
+
+        def counted(df, name, n=n):
+            out = real(df, name)
+            if name == "apart":
+                sent[n] = out.select(F.sum(F.expr("m_tiles + q_tiles"))).first()[0] or 0
+            return out
+
+        monkeypatch.setattr(minhash, "written", counted)
+        monkeypatch.setattr(minhash, "TILE", 8)
+        rows[n] = chain(n)
+        got = minhash.near_duplicates(table(spark, rows[n]), words=4, bands=60, rows=2)
+        assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.kept) for x in got.collect()) == brute_components(rows[n], 4, 80)
+    assert 0 < sent[120] < 3 * sent[60]
+
+
 def test_one_id_with_two_texts(spark):
     rows = [(5, "a b c d e f"), (5, "g h i j k l"), (2, "g h i j k l"), (9, "A b c d e f")]
     got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(table(spark, rows), words=4).collect()}
@@ -206,6 +265,21 @@ def test_quality_edges(spark, texts):
     assert quality.keep_good(docs, untaught).columns == docs.columns and quality.keep_good(docs.limit(0), untaught).count() == 0
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids with many texts, and long texts, stay within the budget of documents and passages."""
+    rows = [(1, f"text {k} " + "word " * 100) for k in range(50)] + [(1, "text 0 " + "word " * 100)] * 30 + [(i, "some words " * i) for i in range(2, 40)] + [(50, "long " * 64_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    real = quality.AttentionModel.fit
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, x, begin, y: seen.append((len(x), len(y))) or real(self, x, begin, y))
+    docs = table(spark, rows)
+    for limit, most in [(8000, 120_000), (8000, 60), (10, 120_000)]:
+        quality.fit_quality(docs, labels, limit=limit, passage_limit=most, modulus=10**9)
+        assert seen[-1][0] <= most and seen[-1][1] <= limit
+    assert seen[0][1] == 50 + 38 + 1  # each distinct text once
+    assert quality.fit_quality(docs, labels, passage_limit=0, modulus=10**9).known is False
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     m = quality.AttentionModel()

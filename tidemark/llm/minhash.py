@@ -6,9 +6,11 @@ multiplications.  Bands of ``rows`` values propose pairs; each proposed link is
 the full shingle sets.
 
 * Copies (equal shingle sets) collapse to one class before anything is paired.
-* In a bucket every member is first tested against the bucket's smallest class.  What is then
-  one component needs no more tests; members that are still apart from others they share buckets
-  with are tested against those in tiles of bounded size, without a row per pair.
+* In a bucket every member is first tested against the bucket's smallest class, its centre.  What
+  is then one component needs no more tests.  Around a centre (the members of its buckets of three
+  and more) those outside the largest component are tested against all, in tiles of bounded size,
+  without a row per pair.  Chains of colliding documents are never followed: the work grows with
+  the collisions of single documents, however far these hang together.
 * Links are reduced to components by joins (components.py).
 
 The chance of missing a link at Jaccard exactly 0.8 is (1 - 0.8**6)**46, under 1e-6; it falls
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
-from .shared import table, written
+from .shared import discard, table, written
 from .words import mix, split
 
 BANDS, ROWS = 46, 6
-#: Documents of a circle that are tested together.
+#: Documents around a centre that are tested together.
 TILE = 512
 
 
@@ -74,6 +76,8 @@ def _signatures(g: np.ndarray, offset: np.ndarray, bands: int, rows: int) -> np.
 
 
 def _sketcher(words: int, bands: int, rows: int):
+    """id, text, hash of the text -> with the set's size, its two hashes and its bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
@@ -171,14 +175,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if their sets of distinct ``words``-word shingles (A-Z lower-cased;
     a shorter text is one shingle) have 100 * intersection >= percent * union.  component_id is
-    the smallest id reachable over links; kept says that it is the row's own id.  Null, empty or
+    the smallest id reachable over links; kept says that it is the row's own id.  Ids keep their
+    type, which needs an order.  Null, empty or
     blank text: no shingles, linked with nothing.  Rows with one id are one document: they get
     one component and are kept together.  A null id keeps its row, has a null component and
     links nothing.  Other columns of docs, whatever their names, are ignored.
     """
-    text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    sketch = written(docs.mapInArrow(_sketcher(words, bands, rows), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
+    text, kind = F.col(text_col).cast("string"), dict(docs.dtypes)[id_col]
+    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    sketch = written(docs.mapInArrow(_sketcher(words, bands, rows), f"doc_id {kind}, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["h1", "h2", "n_shingles"]
     # A class has a number of its own: an id may have several texts, and so be the smallest of several classes.
@@ -186,42 +191,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.join(named.withColumnRenamed("doc_id", "least_id"), ["least_id", *same]).dropDuplicates(["least_id", *same])
     reps = written(reps.select("class", "least_id", "text_hash", "n_shingles", "bands"), "reps")
     members = reps.select("class", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last")
+    buckets = members.groupBy("band", "key").agg(F.min("class").alias("first"), F.max("class").alias("last"), (F.count("*") > 2).alias("several")).where("first < last").drop("last")
     buckets = written(buckets, "buckets")  # a side of its own: Spark can then split a crowded bucket's rows
-    crowd = written(members.join(buckets, ["band", "key"]).select("band", "key", "class", "n", "first"), "crowd")
+    crowd = members.join(buckets, ["band", "key"]).groupBy("first", "class", "n").agg(F.max("several").alias("several"))
+    crowd = written(crowd, "crowd")  # each class once for each centre that it meets
     sizes = reps.select(F.col("class").alias("first"), F.col("n_shingles").alias("n_first"))
-    stars = crowd.where("class > first").select("first", "class", "n").distinct().join(sizes, "first").where(f"100 * least(n, n_first) >= {percent} * greatest(n, n_first)").select(F.col("first").alias("a"), F.col("class").alias("b"))
+    stars = crowd.where("class > first").join(sizes, "first").where(f"100 * least(n, n_first) >= {percent} * greatest(n, n_first)").select(F.col("first").alias("a"), F.col("class").alias("b"))
     stars = written(stars, "stars")
     wanted = reps.select("class", F.col("least_id").alias("doc_id"), "text_hash").join(crowd.select("class").distinct(), "class")
     sets = written(docs.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("class", "text").mapInArrow(_set_maker(words), "id long, shingles binary"), "sets")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"), name)
-
-    links = confirmed(stars, "links")
-    met = crowd.where("class > first").select(F.lit(1).alias("graph"), F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    both = connected_components(links.select(F.lit(0).alias("graph"), "a", "b").unionByName(met))
-    found, circles = (both.where(F.col("graph") == g).select("node", "component") for g in (0, 1))
-    # Circles: classes that buckets connect.  In a circle of several components, what lies outside
-    # its largest component is tested against the whole circle, tile by tile.
-    placed = circles.select(F.col("node").alias("id"), F.col("component").alias("circle")).join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
-    shares = placed.groupBy("circle", "own").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("circle").agg(F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.max_by("own", "n").alias("main")).where("n_all > n_main AND n_all > 2")
-    mixed = mixed.select("circle", "main", F.ceil(F.col("n_all") / TILE).alias("m_tiles"), F.ceil((F.col("n_all") - F.col("n_main")) / TILE).alias("q_tiles"))
-    apart = written(placed.join(written(mixed, "mixed"), "circle"), "apart")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    links = written(stars.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"), "links")
+    found = connected_components(links.select(F.lit(0).alias("graph"), "a", "b"))
+    # Around a centre with members of several components, what lies outside the largest is tested against all there.
+    around = crowd.where("several").select("first", F.col("class").alias("id"))
+    placed = written(around.join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id")), "placed")
+    shares = placed.groupBy("first", "own").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("first").agg(F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.max_by("own", "n").alias("main")).where("n_all > n_main AND n_all > 2")
+    mixed = mixed.select("first", "main", F.ceil(F.col("n_all") / TILE).alias("m_tiles"), F.ceil((F.col("n_all") - F.col("n_main")) / TILE).alias("q_tiles"))
+    apart = written(placed.join(written(mixed, "mixed"), "first"), "apart")
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    as_members = apart.select("circle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tiles") - 1)).alias("q"), (spot % F.col("m_tiles")).alias("m"), F.lit(False).alias("asks"), "id", "own")
-    as_queries = apart.where("own <> main").select("circle", (spot % F.col("q_tiles")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_tiles") - 1)).alias("m"), F.lit(True).alias("asks"), "id", "own")
-    tiles = as_members.unionByName(as_queries).join(sets, "id").select("circle", "q", "m", "asks", "id", "own", "shingles")
-    more = written(tiles.repartition("circle", "q", "m").sortWithinPartitions("circle", "q", "m").mapInArrow(_tile_tester(percent), "a long, b long"), "more")
-    if more.limit(1).count():
+    as_members = apart.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tiles") - 1)).alias("q"), (spot % F.col("m_tiles")).alias("m"), F.lit(False).alias("asks"), "id", "own")
+    as_queries = apart.where("own <> main").select("first", (spot % F.col("q_tiles")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_tiles") - 1)).alias("m"), F.lit(True).alias("asks"), "id", "own")
+    tiles = as_members.unionByName(as_queries).join(sets, "id").select("first", "q", "m", "asks", "id", "own", "shingles")
+    more = written(tiles.repartition("first", "q", "m").sortWithinPartitions("first", "q", "m").mapInArrow(_tile_tester(percent), "a long, b long").distinct(), "more")
+    discard(buckets, crowd, stars, sets, placed, apart)
+    if not more.isEmpty():
         found = connected_components(links.unionByName(more).select(F.lit(0).alias("graph"), "a", "b"))
     # Rows with one id but different texts are one document: their classes are linked by it.
     twice = sketch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
     twice = written(twice, "twice")
-    several = twice.limit(1).count() > 0
+    several = not twice.isEmpty()
     if several:
         own = written(named.select("doc_id", *same).join(twice, "doc_id").join(classes, same).select("doc_id", "class").distinct(), "own")
         one = written(own.groupBy("doc_id").agg(F.min("class").alias("class")), "one")
@@ -232,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = written(placed.groupBy("component").agg(F.min("least_id").alias("component_id")), "lowest")  # a side of its own, as above
     lowest = written(found.join(lowest, "component").select(F.col("node").alias("class"), "component_id"), "components")
     whole = written(classes.join(lowest, "class", "left").select(*same, "class", F.coalesce("component_id", "least_id").alias("class_id")), "whole")
+    discard(reps, classes, links, more)
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(whole.drop("class"), same, "left")
     if several:
         # A row without shingles goes with its id's other texts.

@@ -3,7 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words.  Every passage of the whole text is encoded
 from its words and characters; gated attention weighs the passages, and the weighted sum is
 scored.  Only documents have labels; which passages spoil a document is learned by the attention.
-The model is fitted in numpy on at most ``LABELLED`` labelled documents, taken by the hash of their id.
+The model is fitted in numpy on at most ``LABELLED`` labelled documents with at most ``PASSAGES``
+passages in all, taken by hash.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .lm import held_out
-from .shared import table
+from .shared import table, written
 from .words import Words, split
 
 PASSAGE = 64
 #: Labelled documents that the model is fitted on, at most.
 LABELLED = 8000
+#: Passages of these that are gathered, at most (632 bytes each).
+PASSAGES = 120_000
 _WORD_BINS, _TAIL_BINS = 96, 48
 _PLAIN = 14
 FEATURES = _PLAIN + _WORD_BINS + _TAIL_BINS
@@ -162,15 +165,27 @@ def _scorer(model: AttentionModel):
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = LABELLED, modulus: int = 3, rest: int = 1) -> AttentionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = LABELLED, passage_limit: int = PASSAGES, modulus: int = 3, rest: int = 1) -> AttentionModel:
     """A model of the labels (0 or 1) of documents that are not held out.
 
     Of an id that is labelled more than once the mean label counts, rounded half up; null labels
-    and ids are skipped.  Without labelled documents the model scores 0.5.
+    and ids are skipped.  The sample is ``limit`` labelled ids, and of their distinct texts, in the
+    order of a hash, ``limit`` at most, leaving out a text that would bring the passages above
+    ``passage_limit``.  Without labelled documents the model scores 0.5.
     """
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     told = told.where(~held_out(F.col("_id"), modulus, rest)).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(told), "_id").select("text", "label")  # limit rows at most
+    sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(told), "_id")  # limit rows at most
+    sample = written(sample.select(F.xxhash64("_id", "text").alias("key"), "text", "label"), "sample")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    sized = sample.select("key", F.greatest(F.lit(1), F.ceil(n_words / PASSAGE)).alias("n")).distinct().orderBy("key").limit(limit).toPandas()
+    held, taken = 0, []
+    for key, n in zip(sized["key"].tolist(), sized["n"].tolist(), strict=True):
+        if held + n <= passage_limit:
+            held += n
+            taken.append((key,))
+    chosen = docs.sparkSession.createDataFrame(taken, "key long")
+    sample = sample.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("text", "label")  # limit rows at most
     got = sample.mapInArrow(_featurizer, "label int, n long, x binary").toPandas()
     model = AttentionModel()
     if len(got):
