@@ -97,7 +97,7 @@ def test_lm_probabilities_sum_to_one():
     r = np.random.default_rng(1)
     for own in (5, lm.GROUP, 3 * lm.GROUP + 7, 0):
         m = lm.Model(r.integers(1, 2**63, own).astype(np.uint64), r.random(own + lm.TAIL) + 0.1)
-        k = len(m.word_bias)
+        k = own + lm.TAIL
         before = np.repeat(r.integers(0, k + 1, (lm.CONTEXT, 4)), k, axis=1)
         assert np.allclose(np.exp(m.log_shares(np.tile(np.arange(k), 4), before)).reshape(4, k).sum(1), 1, atol=1e-5)
 
