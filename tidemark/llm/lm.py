@@ -3,8 +3,8 @@
 The ``OWN`` most frequent words have vectors of their own; all others share ``TAIL`` classes by their
 last two bytes.  Own words are laid in groups of ``GROUP`` by frequency.  From the words before, one
 vector for each, weighted elementwise by position (the vector log-bilinear model of Mnih and
-Kavukcuoglu, 2013), two heads predict: one the group or tail class, the other the word or tail
-class.  Both are trained by noise-contrastive estimation.  Batched matrix products normalise the
+Kavukcuoglu, 2013), two heads predict: one the group or tail class, the other the word among the own
+ones.  Both are trained by noise-contrastive estimation.  Batched matrix products normalise the
 first over all groups and tail classes, and the second inside the word's group, so a text's score is
 the log of a probability; inside a tail class a word has its add-one share, with one place for
 unseen words.
@@ -95,12 +95,12 @@ class Model:
         self.own = own[self.order]
         n = len(share)
         self.groups = -(-len(own) // GROUP)
-        self.word_noise = share / share.sum()
-        self.group_noise = np.bincount(self.group_of(np.arange(n)), self.word_noise)
+        self.word_noise = share[: len(own)] / share[: len(own)].sum()
+        self.group_noise = np.bincount(self.group_of(np.arange(n)), share / share.sum())
         self.context = rng.normal(0, 0.3, (n + 1, DIM)).astype(np.float32)  # the last: before the text
         self.position = np.full((CONTEXT, DIM), 1.0 / CONTEXT, np.float32)
         self.group = rng.normal(0, 0.1, (self.groups + TAIL, DIM)).astype(np.float32)
-        self.word = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
+        self.word = rng.normal(0, 0.1, (len(own), DIM)).astype(np.float32)
         self.group_bias, self.word_bias = np.log(self.group_noise).astype(np.float32), np.log(self.word_noise).astype(np.float32)
         self.squares = {k: np.full_like(getattr(self, k), 1e-6) for k in self.NAMES}  # Adagrad's sums
 
@@ -165,16 +165,17 @@ class Model:
 
     def train(self, numbers: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
         """One pass over the tokens, in batches."""
-        heads = [("group", self.group_of(numbers), self.group_noise), ("word", numbers, self.word_noise)]
-        sums = [np.cumsum(noise) for _, _, noise in heads]
+        sums = {k: np.cumsum(noise) for k, noise in (("group", self.group_noise), ("word", self.word_noise)) if len(noise)}
+        groups, own = self.group_of(numbers), numbers < len(self.own)
         for i in range(0, len(numbers), BATCH):
             c = before[:, i : i + BATCH]
             seen = self.context.take(c, 0)
             q = (seen * self.position[:, None]).sum(0)
-            dq = np.zeros_like(q)
-            for (name, right, noise), cumulative in zip(heads, sums, strict=True):
-                drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(noise) - 1)
-                dq += self._head(name, q, right[i : i + BATCH], noise, drawn)
+            drawn = {k: np.minimum(np.searchsorted(x, rng.random(NOISE)), len(x) - 1) for k, x in sums.items()}
+            dq = self._head("group", q, groups[i : i + BATCH], self.group_noise, drawn["group"])
+            rows = np.flatnonzero(own[i : i + BATCH])
+            if len(rows):
+                dq[rows] += self._head("word", q[rows], numbers[i + rows], self.word_noise, drawn["word"])
             self._step("context", c.ravel(), (dq[None] * self.position[:, None]).reshape(-1, DIM))
             step = (dq[None] * seen).sum(1) / len(dq) * 32
             self.squares["position"] += step * step
