@@ -531,18 +531,51 @@ def test_warc_long_urls_are_read_and_lost_records_told(spark, tmp_path):
 # 8 SimHash
 
 
-def test_edit_check(spark, texts):
-    got = simhash.edit_check(table(spark, texts), group=4).collect()
-    rows = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
-    prints = {r[0]: r[1] for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").transform(simhash.fingerprints).collect()}
-    want = []
+def brute_edits(spark, texts):
+    """(id, n_chars, sha of the edited text, print, edited print, nearness to it and to the next) of each row."""
+    hashes = {t: h for t, h in ((r.t, r.h) for r in spark.createDataFrame([(t or "",) for _, t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect())}
+    rows = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1] or ""]))
+    edited = []
     for k, (i, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
-        n = len(t) // 4
-        like = 1 - (bin((prints[k] ^ prints[(k + 1) % len(rows)]) & (2**64 - 1)).count("1")) / 64
-        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest(), f"{prints[k] & (2**64 - 1):016x}", like))
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.near_next) for r in got) == sorted(want)
+        edited.append(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+    every = [(j, t) for j, t in enumerate([t for _, t in rows] + edited)]
+    prints = {r.doc_id: r.fingerprint & (2**64 - 1) for r in spark.createDataFrame(every, "doc_id long, text string").transform(simhash.fingerprints).collect()}
+    like = lambda a, b: 1 - bin(a ^ b).count("1") / 64
+    n = len(rows)
+    return [(i, len(t or ""), hashlib.sha256(e.encode()).hexdigest(), prints[k], prints[n + k], like(prints[k], prints[n + k]), like(prints[k], prints[(k + 1) % n])) for k, ((i, t), e) in enumerate(zip(rows, edited))]
+
+
+def edit_rows(df):
+    return sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in df.collect())
+
+
+@pytest.mark.parametrize("ids", ["plain", "outlying", "repeated"])
+def test_edit_check(spark, texts, ids):
+    rows = [r for r in texts if len(r[1] or "") < 3000]
+    if ids == "outlying":
+        rows = [(10**18 if k == 5 else None if k % 3 == 0 else i, t) for k, (i, t) in enumerate(rows)]
+    if ids == "repeated":
+        rows += rows[:6] * 3 + [(None, None)] * 4
+    want = sorted((str(i), n, sha, f"{p:016x}", f"{e:016x}", a, b) for i, n, sha, p, e, a, b in brute_edits(spark, rows))
+    assert edit_rows(simhash.edit_check(table(spark, rows), per_bin=5)) == want
+
+
+def test_edit_check_of_little(spark):
     assert simhash.edit_check(table(spark, []).limit(0)).count() == 0
+    (one,) = simhash.edit_check(table(spark, [(1, "abcdefgh")])).collect()
+    assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1.0
+
+
+def test_op8_against_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 4000")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_edits(spark, rows)
+    near = lambda p: sum(bin(p ^ q[3]).count("1") <= 3 for q in want)
+    full = sorted((str(i), n, sha, f"{p:016x}", f"{e:016x}", a, b, near(p) if i % 50 == 0 else None) for i, n, sha, p, e, a, b in want)
+    got = simhash.op8_simhash(spark, f"file://{tmp_path}")
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.n_within) for r in got.collect()) == full
 
 
 def test_fingerprint_is_the_weighted_vote(spark):
@@ -567,14 +600,6 @@ def test_within_radius(spark, radius, blocks):
     assert got == {(a, b, dist(a, b)) for a in signed for b in signed if dist(a, b) <= radius}
 
 
-def test_successors_in_bins(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "_AT_ONCE", 8)
-    r = random.Random(1)
-    values = sorted({r.randrange(10**9) for _ in range(40)} | set(range(30)))
-    got = {x.v: x.following for x in simhash._successors(spark.createDataFrame([(v,) for v in values], "v long"), len(values)).collect()}
-    assert got == dict(zip(values, [*values[1:], None]))
-
-
 # 9 Top-k
 
 

@@ -12,11 +12,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import table, written
+from .shared import discard, table, written
 
 _RUN, _HEAVIEST = 4096, 7  # _RUN * _HEAVIEST < 2**15
 _LANES = 0x0001000100010001
-_AT_ONCE = 8192  # values that one window without keys may order
+_BINS = 4096  # ranges that the documents are ordered in, at most
 
 
 def _tallies(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,56 +82,71 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks
     return found.withColumn("distance", F.bit_count(differing)).where((F.col("distance") <= radius) & (F.col("t") == first)).select("query", "fingerprint", "distance")
 
 
-def _successors(values: DataFrame, n: int) -> DataFrame:
-    """(v, following) of n distinct longs: the next larger one, null after the last; never more than a few thousand in one window."""
-    if n <= _AT_ONCE:
-        return values.select("v", F.lead("v").over(Window.orderBy("v")).alias("following"))
-    lo, hi = values.agg(F.min("v"), F.max("v")).first()
-    width = max(2, (hi - lo + 1) * 1024 // n)
-    binned = values.select("v", F.floor((F.col("v") - lo) / width).alias("bin"))
-    bins = written(binned.groupBy("bin").agg(F.min("v").alias("first")), "bins")
-    after = _successors(bins.select(F.col("first").alias("v")), bins.count())
-    after = bins.join(after, bins["first"] == after["v"]).select("bin", "following")
-    inside = binned.select("v", "bin", F.lead("v").over(Window.partitionBy("bin").orderBy("v")).alias("n"))
-    return inside.join(after, "bin", "left").select("v", F.coalesce("n", "following").alias("following"))
+def _chained(keys: DataFrame, per_bin: int) -> DataFrame:
+    """keys(z, k, t, n_chars, times; z, k, t unique) with structs following and previous: the neighbours in the order of z, k, t, in a ring.
 
-
-def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = 128) -> DataFrame:
+    Spark cuts the order into ranges of about equal size, whatever the distribution of the ids; each
+    range is numbered by itself, and the ends of the ranges, at most ``_BINS``, are tied together.
+    """
+    keys = written(keys, "keys")
+    bins = max(1, min(_BINS, -(-keys.count() // per_bin)))
+    placed = written(keys.repartitionByRange(bins, "z", "k", "t").withColumn("bin", F.spark_partition_id()), "placed")
+    own = F.struct("z", "k", "t", "n_chars", "times")
+    ends = placed.groupBy("bin").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    along, all_ = Window.partitionBy(F.lit(0)).orderBy("bin"), Window.partitionBy(F.lit(0))  # at most _BINS rows
+    ends = ends.select("bin", F.coalesce(F.lead("first").over(along), F.min("first").over(all_)).alias("after"), F.coalesce(F.lag("last").over(along), F.max("last").over(all_)).alias("before"))
+    w = Window.partitionBy("bin").orderBy("z", "k", "t")
+    inside = placed.withColumn("following", F.lead(own).over(w)).withColumn("previous", F.lag(own).over(w))
+    out = inside.join(F.broadcast(ends), "bin").withColumns({"following": F.coalesce("following", "after"), "previous": F.coalesce("previous", "before")})
+    out = written(out.drop("bin", "after", "before"), "chain")
+    discard(keys, placed)
+    return out
+
+
+def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bin: int = 4096) -> DataFrame:
     """Fingerprint each text and an edited copy: its last quarter replaced by the start of the next document.
 
     One row per row of docs: doc_id, n_chars, edited_sha256, print (long), fingerprint and
-    edited_fingerprint (hex), near_edited, near_next.  The next document is the one with the next larger id, after the last
-    the first; rows of one id follow each other in the order of their texts, and rows with a null
-    id come first.  Null texts count as empty.  The order comes from groups of about ``group``
-    neighbouring ids, so no task sorts the whole table.
+    edited_fingerprint (hex), near_edited, near_next.  The next document is the one with the next
+    larger id, after the last the first; rows of one id follow each other in the order of a hash of
+    their texts, and rows with a null id come first.  Null texts count as empty.  Of equal rows
+    each is followed by the next of them.  Texts are shuffled once, and of each once more no
+    more than what the document before it takes over.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n, lo, hi = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = (lo, hi) if lo is not None else (0, 0)
-    width = max(1, (hi - lo + 1) * group // max(n, 1))
-    binned = rows.select(F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(-1)).cast("long").alias("bin"), "doc_id", "text")
-    order = Window.partitionBy("bin").orderBy("doc_id", "text")
-    placed = binned.select("bin", F.row_number().over(order).alias("pos"), "doc_id", "text", F.lead("text").over(order).alias("after"), F.lead(F.lit(1)).over(order).alias("more"))
-    bins = written(rows.select(F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(-1)).cast("long").alias("v")).distinct(), "bins")
-    chain = _successors(bins, bins.count())
-    first_bin = bins.agg(F.min("v")).first()[0]
-    heads = placed.where("pos = 1").select(F.col("bin").alias("following"), F.col("text").alias("head"))
-    chain = chain.select(F.col("v").alias("bin"), F.coalesce("following", F.lit(first_bin).cast("long")).alias("following")).join(heads, "following")
-    chained = placed.join(chain, "bin")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.select(F.col("doc_id").isNotNull().cast("int").alias("z"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), F.xxhash64("text").alias("t"), "text")
+    key = ["z", "k", "t"]
+    chain = _chained(rows.groupBy(*key).agg(F.max(F.char_length("text")).alias("n_chars"), F.count("*").alias("times")), per_bin)
+    several = not chain.where("times > 1").isEmpty()
+    texts = rows.dropDuplicates(key) if several else rows
+    quarter = lambda n: F.floor(n / 4).cast("int")
+    taken = texts.join(chain.select(*key, "previous"), key)
+    taken = taken.select(*[F.col(f"previous.{c}").alias(c) for c in key], F.struct(*key).alias("next"), "previous.times", F.substring("text", F.lit(1), quarter(F.col("previous.n_chars"))).alias("after"))
     n_chars = F.char_length("text")
-    cut = F.floor(n_chars / 4).cast("int")
-    after = F.when(F.col("more").isNull(), F.col("head")).otherwise(F.col("after"))
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) AS int))"), F.substring(after, F.lit(1), cut))
-    pairs = chained.select("bin", "pos", "doc_id", "text", edited.alias("edited"), n_chars.cast("long").alias("n_chars"), F.when(F.col("more").isNull(), F.col("following")).otherwise(F.col("bin")).alias("next_bin"), F.when(F.col("more").isNull(), F.lit(1)).otherwise(F.col("pos") + 1).alias("next_pos"))
-    sides = pairs.select("bin", "pos", F.posexplode(F.array("text", "edited")).alias("side", "text"))
-    prints = _tallies(sides, ["bin", "pos", "side"])
-    prints = written(prints.groupBy("bin", "pos").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_print")), "prints")
-    following = prints.select(F.col("bin").alias("next_bin"), F.col("pos").alias("next_pos"), F.col("own").alias("next_print"))
-    facts = pairs.select("bin", "pos", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_bin", "next_pos")
-    return (
-        facts.join(prints, ["bin", "pos"])
-        .join(following, ["next_bin", "next_pos"])
-        .select("doc_id", "n_chars", "edited_sha256", F.col("own").alias("print"), as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited_print")).alias("near_edited"), likeness(F.col("own"), F.col("next_print")).alias("near_next"))
+    own = F.substring("text", F.lit(1), (n_chars - quarter(n_chars)).cast("int"))
+    both = texts.join(taken, key)
+    edited, again = F.concat(own, "after"), F.concat(own, F.substring("text", F.lit(1), quarter(n_chars)))
+    facts = both.select(*key, "next", "times", n_chars.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("sha"), F.when(F.col("times") > 1, F.sha2(again, 256)).alias("sha_again"))
+    variants = F.when(F.col("times") > 1, F.array("text", edited, again)).otherwise(F.array("text", edited))
+    sides = both.select(*key, F.posexplode(variants).alias("side", "text"))
+    prints = _tallies(sides, [*key, "side"])
+    prints = prints.groupBy(*key).agg(*[F.max(F.when(F.col("side") == i, F.col("fingerprint"))).alias(name) for i, name in enumerate(("print", "edited_print", "again_print"))])
+    done = written(facts.join(prints, key), "prints")
+    nexts = done.select(F.struct(*key).alias("next"), F.col("print").alias("next_print"))
+    plain = done.join(nexts, "next").select(*key, "n_chars", "sha", "print", "edited_print", "next_print")
+    if several:
+        copies = done.where("times > 1").withColumn("i", F.explode(F.sequence(F.lit(2).cast("long"), F.col("times"))))
+        plain = plain.unionByName(copies.select(*key, "n_chars", F.col("sha_again").alias("sha"), "print", F.col("again_print").alias("edited_print"), F.col("print").alias("next_print")))
+    return plain.select(
+        F.when(F.col("z") == 1, F.col("k")).alias("doc_id"),
+        "n_chars",
+        F.col("sha").alias("edited_sha256"),
+        "print",
+        as_hex(F.col("print")).alias("fingerprint"),
+        as_hex(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )
 
 
