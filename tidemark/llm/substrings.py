@@ -5,13 +5,13 @@ A window is ``length`` consecutive words.  Every window has one anchor, its smal
 of a document that share an anchor position form a segment.
 
 1. Segments are read off every whole text; anchors that occur in one document alone are dropped,
-   and equal segments collapse to the smallest document that holds them: a later copy is removed
-   whole.
-2. What is left, the distinct segments of an anchor with several, is dealt by anchor to shards.
-   A shard's segments are laid end to end and indexed: suffix array, Burrows-Wheeler transform,
-   and a wavelet matrix of packed bits for its ranks.  Each segment is streamed backward through
-   the index; its matching statistics, the longest match in a smaller document that ends at a
-   word, tell the windows to remove.  A suffix range counts only while it holds a smaller document.
+   and equal segments collapse to one, known by the smallest and the largest document that hold it.
+2. The distinct segments are dealt by anchor to shards.  A shard's segments are laid end to end and
+   indexed: suffix array, Burrows-Wheeler transform, and a wavelet matrix of packed bits for its
+   ranks.  Each segment is streamed backward through the index, once on behalf of its smallest
+   document and, if it has others, once on behalf of these; its matching statistics, the longest
+   match in a smaller document that ends at a word, tell the windows to remove.  A suffix range
+   counts only while it holds a smaller document.
 3. An anchor with very many distinct segments is cut into tiles of references and queries, so that
    a shard is bounded; nothing is left out.
 
@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .shared import table, written
+from .shared import discard, table, written
 from .words import Words, split
 
 LENGTH, GRAM = 50, 16
+#: What a segment is in a shard.
+REFERENCE, ASKS, ASKS_FOR_OTHERS = 1, 2, 4
 #: Segments in a shard, about; and of one anchor in a shard, at most.
 SHARD, CROWD = 1024, 8192
 
@@ -94,7 +96,7 @@ def _extractor(length: int, gram: int):
         for b in batches:
             at, ids = 0, b.column(0)
             told = b.column(2).flatten()
-            wanted, parts, asks = (told.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            wanted, parts, asks, last = (told.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             bounds = b.column(2).offsets.to_numpy() - b.column(2).offsets[0].as_py()
             for w in split(b.column(1), lower=False):
                 anchor, row, start, count = segments(w, length, gram)
@@ -114,8 +116,8 @@ def _extractor(length: int, gram: int):
                 words = w.hash[np.repeat(start[keep] - ends[:-1], size) + np.arange(ends[-1])]
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(ends * 8), pa.py_buffer(words.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row[keep] + at)), pa.array(anchor[keep].view(np.int64)), pa.array(name[keep]), pa.array(count[keep].astype(np.int32)), packed, pa.array(parts[ask]), pa.array(asks[ask])],
-                    names=["doc", "anchor", "segment", "n", "words", "parts", "asks"],
+                    [ids.take(pa.array(row[keep] + at)), pa.array(anchor[keep].view(np.int64)), pa.array(name[keep]), pa.array(count[keep].astype(np.int32)), packed, pa.array(parts[ask]), pa.array(asks[ask]), pa.array(last[ask])],
+                    names=["doc", "anchor", "segment", "n", "words", "parts", "asks", "last_holder"],
                 )
                 at += w.n_docs
 
@@ -283,20 +285,22 @@ def _searcher(length: int):
 
     def searched(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        role, doc, anchor, name, n = (t.column(c).to_numpy() for c in ("role", "doc", "anchor", "segment", "n"))
+        role, doc, anchor, name, n, last_holder = (t.column(c).to_numpy() for c in ("role", "doc", "anchor", "segment", "n", "last_holder"))
         sizes = n.astype(np.int64) + length - 1
         hashes = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64)
         starts = np.cumsum(sizes) - sizes
         pick = lambda at: hashes[np.repeat(starts[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at]) + np.arange(sizes[at].sum())]
-        refs, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        refs = np.flatnonzero(role & REFERENCE)
+        own, others = np.flatnonzero(role & ASKS), np.flatnonzero(role & ASKS_FOR_OTHERS)
+        asks, below = np.concatenate([own, others]), np.concatenate([doc[own], last_holder[others]])
         empty = np.empty(0, np.int64)
         q = first = last = empty
         if len(refs) and len(asks):
             index = FMIndex(pick(refs), sizes[refs], doc[refs])
             text = index.words(pick(asks))
-            q, first, last = repeated_windows(index, text, np.cumsum(sizes[asks]) - sizes[asks], n[asks].astype(np.int64), doc[asks], length)
+            q, first, last = repeated_windows(index, text, np.cumsum(sizes[asks]) - sizes[asks], n[asks].astype(np.int64), below, length)
         at = asks[q]
-        return pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(name[at]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["anchor", "segment", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(name[at]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(q >= len(own))], names=["anchor", "segment", "first", "last", "for_others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -354,34 +358,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = found.groupBy("anchor").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").select("anchor", "first_doc")
     shared = written(shared, "shared")  # a side of its own: Spark can then split a hot anchor's rows in the join
     met = written(found.join(shared, "anchor"), "met")
-    # Distinct segments of anchors with several, and the smallest document of each.
-    distinct = met.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.min("first_doc").alias("first_doc"))
+    # Distinct segments, and the smallest and the largest document of each.
+    distinct = met.groupBy("anchor", "segment").agg(F.min("doc").alias("doc"), F.max("doc").alias("last_holder"), F.min("first_doc").alias("first_doc"))
     distinct = written(distinct, "distinct")
-    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / CROWD).alias("parts"))
+    crowds = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / CROWD).alias("parts"))
     cut = written(distinct.join(written(crowds, "crowds"), "anchor"), "cut")
     n_shards = max(1, -(-cut.count() // SHARD))
     asks = F.col("doc") > F.col("first_doc")  # the anchor's first document has nothing before it
-    wanted = cut.groupBy("doc").agg(F.collect_list(F.struct("segment", "parts", asks.alias("asks"))).alias("wanted"))  # at most a text's segments
-    taken = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_extractor(length, gram), "doc long, anchor long, segment long, n int, words binary, parts long, asks boolean")
+    wanted = cut.groupBy("doc").agg(F.collect_list(F.struct("segment", "parts", asks.alias("asks"), "last_holder")).alias("wanted"))  # at most a text's segments
+    taken = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_extractor(length, gram), "doc long, anchor long, segment long, n int, words binary, parts long, asks boolean, last_holder long")
 
     def tile(shard, i, j, role) -> Column:
         return F.struct(shard.alias("shard"), i.alias("i"), j.alias("j"), role.alias("role"))
 
     none = F.lit(0).cast("long")
     part = F.pmod(F.xxhash64("segment"), F.col("parts"))
-    one = F.array(tile(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("long"), none, none, F.when(F.col("asks"), 3).otherwise(1)))
-    refs = F.transform(F.sequence(none, F.col("parts") - 1), lambda k: tile(F.col("anchor"), k, part + 1, F.lit(1)))
-    queries = F.transform(F.sequence(none, F.col("parts") - 1), lambda k: tile(F.col("anchor"), part, k + 1, F.lit(2)))
-    tiles = F.when(F.col("parts") == 1, one).when(F.col("asks"), F.concat(refs, queries)).otherwise(refs)
-    dealt = taken.withColumn("tile", F.explode(tiles)).select("tile.shard", "tile.i", "tile.j", "tile.role", "doc", "anchor", "segment", "n", "words")
+    own, others = F.when(F.col("asks"), ASKS).otherwise(0), F.when(F.col("last_holder") > F.col("doc"), ASKS_FOR_OTHERS).otherwise(0)
+    one = F.array(tile(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("long"), none, none, F.lit(REFERENCE) + own + others))
+    refs = F.transform(F.sequence(none, F.col("parts") - 1), lambda k: tile(F.col("anchor"), k, part + 1, F.lit(REFERENCE)))
+    # For others it asks where its own reference is.
+    queries = F.transform(F.sequence(none, F.col("parts") - 1), lambda k: tile(F.col("anchor"), part, k + 1, own + F.when(k == part, others).otherwise(0)))
+    tiles = F.when(F.col("parts") == 1, one).otherwise(F.concat(refs, F.filter(queries, lambda x: x["role"] > 0)))
+    dealt = taken.withColumn("tile", F.explode(tiles)).select("tile.shard", "tile.i", "tile.j", "tile.role", "doc", "anchor", "segment", "n", "words", "last_holder")
     shards = dealt.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    runs = written(shards.mapInArrow(_searcher(length), "anchor long, segment long, first int, last int"), "runs")
-    copies = met.join(distinct.select("anchor", "segment", F.col("doc").alias("own_first")), ["anchor", "segment"]).where("doc > own_first")
+    runs = written(shards.mapInArrow(_searcher(length), "anchor long, segment long, first int, last int, for_others boolean"), "runs")
+    runs = runs.join(cut.select("anchor", "segment", F.col("doc").alias("first_holder")), ["anchor", "segment"])
+    runs = written(runs, "runs_by_segment")  # a side of its own, as above
+    discard(shared, distinct)
+    holders = met.join(runs, ["anchor", "segment"]).where(F.when(F.col("for_others"), F.col("doc") > F.col("first_holder")).otherwise(F.col("doc") == F.col("first_holder")))
     ends = lambda more: F.transform("starts", lambda x: x + more).cast("array<int>")
-    spans = copies.select("doc", "t", F.col("starts").alias("lo"), ends(F.col("n") + (length - 1)).alias("hi"))
-    firsts = runs.join(cut.select("anchor", "segment", "doc"), ["anchor", "segment"])
-    firsts = met.join(firsts, ["anchor", "segment", "doc"]).select("doc", "t", ends(F.col("first")).alias("lo"), ends(F.col("last") + length).alias("hi"))
-    return spans.unionByName(firsts)
+    return holders.select("doc", "t", ends(F.col("first")).alias("lo"), ends(F.col("last") + length).alias("hi"))
 
 
 def _removed(docs: DataFrame, with_text: bool, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
