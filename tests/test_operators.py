@@ -189,3 +189,21 @@ def test_redelivery(spark):
     sent = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00"), (3, "2024-01-01 00:09:00")], "message_id int, delivered_at string").withColumn("delivered_at", F.to_timestamp("delivered_at"))
     acks = spark.createDataFrame([(2,)], "message_id int")
     assert [r.message_id for r in stateful.pending(sent, acks, F.to_timestamp(F.lit("2024-01-01 00:10:00"))).collect()] == [1]
+
+
+def test_deep_trees_are_whole(spark):
+    """A chain of 100 nodes below a bushy top, a missing parent, and a cycle."""
+    from tidemark.functions import tree
+
+    rows = [(i, i - 1, f"n{i}") for i in range(1, 101)] + [(200 + i, 50, "") for i in range(3)] + [(300, 999, "orphan")]
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, name string")
+    got = {r.id: r.path for r in tree.paths(nodes, separator="/").collect()}
+    assert got == {i: "/".join(f"n{k}" for k in range(1, i + 1)) for i in range(1, 101)} | {200 + i: "/".join(f"n{k}" for k in range(1, 51)) for i in range(3)}
+    assert {r.id for r in scope.enabled_tree(nodes, enabled=F.col("id") != 70).collect()} == set(range(1, 70)) | {200, 201, 202}
+    closure = {(r.root, r.node, r.depth) for r in scope.descendants(nodes, nodes.where("id IN (1, 40, 300)")).collect()}
+    assert closure == {(1, i, i - 1) for i in range(1, 101)} | {(1, 200 + i, 50) for i in range(3)} | {(40, i, i - 40) for i in range(40, 101)} | {(40, 200 + i, 11) for i in range(3)} | {(300, 300, 0)}
+    assert not tree.has_cycle(nodes)
+    looped = nodes.unionByName(spark.createDataFrame([(500, 501, "a"), (501, 500, "b")], nodes.schema))
+    assert tree.has_cycle(looped) and 500 not in {r.id for r in tree.paths(looped).collect()}
+    with pytest.raises(ValueError):
+        scope.descendants(looped, looped)

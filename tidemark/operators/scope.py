@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.tree import enabled_nodes, jumps
+from tidemark.session import checkpointed
+
 ALL, DEPT_CUSTOM, DEPT_ONLY, DEPT_AND_CHILD, SELF = 1, 2, 3, 4, 5
 
 
@@ -88,30 +91,19 @@ class Resolver:
             self.table(name).createOrReplaceTempView(name)
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 64) -> DataFrame:
-    """(root, node, depth) for each root and all nodes below it, itself at depth 0; one join per level.
+def descendants(nodes: DataFrame, roots: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """(root, node, depth) for each root and all nodes below it, itself at depth 0, however deep; raises on a cycle.
 
-    A node is taken once per root, so a cycle ends.
+    Each round joins what was reached with the nodes 1, 2, 4, ... levels below, so the number of
+    joins grows with the logarithm of the depth.
     """
-    edges = nodes.select(F.col(id_col).alias("node"), F.col(parent_col).alias("parent"))
-    level = roots.select(F.col(id_col).alias("root"), F.col(id_col).alias("node"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth):
-        level = level.select("root", F.col("node").alias("parent")).join(edges, "parent").select("root", "node", F.lit(depth).alias("depth")).join(out.select("root", "node"), ["root", "node"], "left_anti")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
-
-
-def enabled_tree(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", enabled: Column | None = None, root_value: int = 0, max_depth: int = 64) -> DataFrame:
+    reached = checkpointed(roots.select(F.col(id_col).alias("root"), F.col(id_col).alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
+    for step, jump in jumps(nodes.select(F.col(id_col).alias("node"), F.col(parent_col).alias("parent"))):
+        below = jump.select(F.col("above").alias("node"), F.col("node").alias("_node"))
+        reached = checkpointed(reached.unionByName(reached.join(below, "node").select("root", F.col("_node").alias("node"), (F.col("depth") + step).alias("depth"))))
+    return reached.withColumn("depth", F.col("depth").cast("int"))
+
+
+def enabled_tree(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", enabled: Column | None = None, root_value: int = 0) -> DataFrame:
     """Nodes that, like all their ancestors, are enabled and exist; from the enabled roots down."""
-    live = nodes.where(F.lit(True) if enabled is None else enabled)
-    level = live.where(F.col(parent_col) == root_value)
-    out = level
-    for _ in range(max_depth):
-        level = live.join(level.select(F.col(id_col).alias(parent_col)), parent_col, "left_semi").join(out.select(id_col), id_col, "left_anti")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.select(*out.columns))
-    return out
+    return enabled_nodes(nodes, id_col, parent_col, enabled, root_value)

@@ -239,10 +239,10 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     return r.unionAll(n).unionAll(c)
 
 
-@query(f"WITH RECURSIVE t AS ({_TREE}), w(root, node, depth) AS (SELECT id, id, 0 FROM t WHERE id < 200 UNION ALL SELECT root, t.id, depth + 1 FROM w JOIN t ON t.parent_id = w.node) SELECT root, depth, count(*) AS n FROM w GROUP BY root, depth")
+@query(f"WITH RECURSIVE t AS ({_TREE}), w(root, node, depth) AS (SELECT id, id, 0 FROM t UNION ALL SELECT root, t.id, depth + 1 FROM w JOIN t ON t.parent_id = w.node) SELECT root, depth, count(*) AS n FROM w GROUP BY root, depth")
 def dept_closure(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)
-    return scope.descendants(tree, tree.where("id < 200")).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return scope.descendants(tree, tree).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE t AS ({_TREE}), w(id, path) AS (SELECT id, name FROM t WHERE parent_id = -1 UNION ALL SELECT t.id, w.path || ' ' || t.name FROM w JOIN t ON t.parent_id = w.id) SELECT id, path FROM w")
