@@ -207,3 +207,24 @@ def test_deep_trees_are_whole(spark):
     assert tree.has_cycle(looped) and 500 not in {r.id for r in tree.paths(looped).collect()}
     with pytest.raises(ValueError):
         scope.descendants(looped, looped)
+
+
+def test_bm25_in_blocks_and_passes(spark, monkeypatch):
+    """Small blocks, several passes and string ids give the rows of one block; Chinese terms are pairs."""
+    from tidemark.operators import retrieval
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"d{i:02d}", i, " ".join(r.choices(words, k=r.randint(0, 25)))) for i in range(70)] + [("zh", 70, "知识库 检索"), ("none", 71, None)]
+    docs = spark.createDataFrame(rows, "name string, chunk_id long, content string")
+    queries = spark.createDataFrame([(q, " ".join(r.choices(words, k=4))) for q in range(9)] + [(9, "知识"), (10, "unknown"), (11, None)], "query_id int, query string")
+    whole = retrieval.bm25_top_k(docs, queries, 5).collect()
+    assert [x.chunk_id for x in whole if x.query_id == 9] == [70] and not [x for x in whole if x.query_id > 9]
+    monkeypatch.setattr(retrieval, "ASKED", 7)
+    monkeypatch.setattr(retrieval, "TEXTS", 8)
+    monkeypatch.setattr(retrieval, "QUESTIONS", 2)
+    assert sorted(map(tuple, retrieval.bm25_top_k(docs, queries, 5).collect())) == sorted(map(tuple, whole))
+    named = retrieval.bm25_top_k(docs, queries, 5, id_col="name").collect()
+    ids = {n: i for n, i, _ in rows}
+    assert sorted((x.query_id, ids[x.chunk_id], x.score) for x in named if x.rank < 5) == sorted((x.query_id, x.chunk_id, x.score) for x in whole if x.rank < 5)
+    assert retrieval.bm25_top_k(docs.limit(0), queries).count() == 0

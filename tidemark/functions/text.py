@@ -52,10 +52,11 @@ def overlapped(blocks: Column, n: int) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits; runs with Chinese characters become their character pairs."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    text = F.lower(F.coalesce(c, F.lit("")))
+    words = F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
 
     def cut(w: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
         return F.when(w.rlike("[一-鿿]"), pairs).otherwise(F.array(w))
 
-    return F.flatten(F.transform(words, cut))
+    return F.when(text.rlike("[一-鿿]"), F.flatten(F.transform(words, cut))).otherwise(words)

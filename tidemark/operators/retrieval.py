@@ -2,33 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.text import tokens
+from tidemark.session import checkpointed
 
 K1, B = 1.2, 0.75
+#: Terms of queries that are sent to all tasks at once, at most (24 bytes each); more queries take further passes.
+ASKED = 1_000_000
+#: Texts and queries whose scores are held at once.
+TEXTS, QUESTIONS = 2048, 1024
+
+
+def _block_scorer(asked):
+    """Rows (block, chunk_id, term, part), a block's rows together -> (query, chunk_id, score) of the k best of each block, and what is about as good.
+
+    asked: broadcast (terms sorted, their queries' numbers, their weights, number of queries, k).
+    """
+
+    def scored(chunk: np.ndarray, term: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        terms, query, weight, n, k = asked.value
+        ids, at = np.unique(chunk, return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        term, at, part = term[order], at[order], part[order]
+        edges = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        lo, hi = np.searchsorted(terms, term[edges], "left"), np.searchsorted(terms, term[edges], "right")
+        bounds = list(zip(edges.tolist(), [*edges[1:].tolist(), len(term)], lo.tolist(), hi.tolist(), strict=True))
+        for first in range(0, n, QUESTIONS):
+            sums = np.zeros((min(QUESTIONS, n - first), len(ids)))
+            for i, j, a, z in bounds:
+                a, z = a + np.searchsorted(query[a:z], [first, first + QUESTIONS])
+                if a < z:
+                    sums[(query[a:z] - first)[:, None], at[i:j]] += weight[a:z, None] * part[i:j]
+            least = np.partition(sums, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.zeros(len(sums))
+            q, d = np.nonzero((sums > 0) & (sums >= least[:, None] - 1e-6))  # scores are rounded later
+            yield q + first, ids[d], sums[q, d]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for q, chunk, score in scored(*(np.concatenate([h[i] for h in held]) for i in range(3))):
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(chunk), pa.array(score)], names=["number", "chunk", "score"])
+
+        for b in batches:
+            block, *columns = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                if hi > lo:
+                    if held and block[lo] != key:
+                        yield from flushed()
+                        held = []
+                    key = block[lo]
+                    held.append([c[lo:hi] for c in columns])
+        if held:
+            yield from flushed()
+
+    return run
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """query_id, chunk_id, score, rank: the k best texts of each query(query_id, query), scores to six decimals, ties to smaller ids.
 
-    Only the queries' terms are kept of the texts, so what is shuffled is their postings.  The
-    constant factor k1 + 1 is left out; it changes no rank.
+    Texts are cut into words once.  Only the queries' terms are kept of them, as counts in a table of
+    postings, which also has each text's length; the number of texts with a term, the mean length and
+    the scores come from it.  Postings are dealt by text to blocks, and a block adds up its scores
+    for all queries as a matrix and gives out only its best.  Terms are told apart by 64-bit hashes.
+    The constant factor k1 + 1 is left out; it changes no rank.
     """
+    spark = docs.sparkSession
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    asked = checkpointed(queries.select("query_id", F.explode(F.array_distinct(hashed(tokens(F.col("query"))))).alias("term")).distinct())
+    length = F.xxhash64(F.lit(""))  # the empty word is in no text: its posting stands for the text itself
+    terms = asked.select("term").union(spark.range(1).select(length)).distinct()
     words = docs.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("words"))
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
-    posted = words.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    postings = posted.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(frequency, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg_len")  # stats: one row
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = postings.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, k)
+    posted = words.select("chunk_id", F.size("words").alias("len"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("word")).select("chunk_id", "len", F.xxhash64("word").alias("term"))
+    postings = checkpointed(posted.join(terms, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf")))
+    texts = postings.where(F.col("term") == length)
+    n_docs, mean = texts.agg(F.count("*"), F.avg("len")).first()
+    kind = dict(postings.dtypes)["chunk_id"]
+    if not n_docs:
+        return queries.select("query_id", F.lit(None).cast(kind).alias("chunk_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+    postings = postings.where(F.col("term") != length)
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = checkpointed(asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", idf.alias("idf")))
+    passes = max(1, -(-weights.count() // ASKED))
+    part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (mean or 1.0)))
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(-(-n_docs // TEXTS)))
+    number = {} if kind in ("int", "bigint") else {"chunk_id": F.xxhash64("chunk_id")}  # other ids are found again by their hash
+    dealt = postings.select(block.alias("block"), number.get("chunk_id", F.col("chunk_id").cast("long")).alias("chunk"), "term", part.alias("part"))
+    dealt = dealt.repartition("block").sortWithinPartitions("block")
+    found = None
+    for i in range(passes):
+        rows = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toPandas()  # about ASKED rows
+        ids, query = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+        order = np.lexsort((query, rows["term"]))
+        sent = spark.sparkContext.broadcast((rows["term"].to_numpy(np.int64)[order], query[order], rows["idf"].to_numpy(float)[order], len(ids), k))
+        names = spark.createDataFrame([(n, x) for n, x in enumerate(ids.tolist())], "number long, query_id " + dict(weights.dtypes)["query_id"])
+        best = dealt.mapInArrow(_block_scorer(sent), "number long, chunk long, score double").join(names, "number")
+        found = best if found is None else found.unionByName(best)
+    found = found.select("query_id", F.col("chunk").alias("chunk_id"), F.round("score", 6).alias("score"))
+    if number:
+        found = found.withColumnRenamed("chunk_id", "_h").join(texts.select("chunk_id", F.xxhash64("chunk_id").alias("_h")), "_h").select("query_id", "chunk_id", "score")
+    return ranked(found.withColumn("chunk_id", F.col("chunk_id").cast(kind)), k)
 
 
 def ranked(scored: DataFrame, k: int, *more: Column) -> DataFrame:
@@ -36,11 +117,11 @@ def ranked(scored: DataFrame, k: int, *more: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = 8192, group: int = 4096) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = TEXTS, group: int = QUESTIONS) -> DataFrame:
     """query_id, chunk_id, score (cosine, six decimals), rank: exact, in blocks of vectors by groups of queries.
 
-    A block gives out only its k best for each query.  Rows without a vector take no part; a zero
-    vector has similarity 0.
+    A block gives out only its k best for each query, and what is about as good.  Rows without a
+    vector take no part; a zero vector has similarity 0.  Ids keep their types.
     """
     v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector_col).cast("array<double>").alias("v"))
     q = queries.where(F.col(vector_col).isNotNull()).select("query_id", F.col(vector_col).cast("array<double>").alias("v"))
@@ -51,17 +132,15 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: st
 
     def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_id": wanted["query_id"][:0], "chunk_id": rows["chunk_id"][:0], "score": pd.Series(dtype="float64")})
         a, b = np.stack(rows["v"].to_numpy()), np.stack(wanted["v"].to_numpy())
         size = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None]
-        sims = np.round(np.divide(b @ a.T, size, out=np.zeros(size.shape), where=size > 0), 6)
-        ids, out = rows["chunk_id"].to_numpy(), []
-        for i, query in enumerate(wanted["query_id"]):
-            best = np.lexsort((ids, -sims[i]))[:k]
-            out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[best], "score": sims[i][best]}))
-        return pd.concat(out)
-
-    found = held.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInPandas(search, "query_id long, chunk_id long, score double")
+        sims = np.divide(b @ a.T, size, out=np.zeros(size.shape), where=size > 0)
+        least = np.partition(sims, len(a) - k, axis=1)[:, len(a) - k] if len(a) > k else np.full(len(b), -2.0)
+        i, j = np.nonzero(sims >= least[:, None] - 1e-6)  # scores are rounded below
+        return pd.DataFrame({"query_id": wanted["query_id"].to_numpy()[i], "chunk_id": rows["chunk_id"].to_numpy()[j], "score": np.round(sims[i, j], 6)})
+
+    found = held.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInPandas(search, f"query_id {dict(q.dtypes)['query_id']}, chunk_id {dict(v.dtypes)['chunk_id']}, score double")
     return ranked(found, k)
 
 
