@@ -46,6 +46,11 @@ def raw_metrics(gold: Column, result: Column, claims: Column) -> dict[str, Colum
     }
 
 
+def without_failed(results: DataFrame, reason: str = "fail_reason") -> DataFrame:
+    """Results whose run told no reason of failure: those that have one keep it and get no metrics."""
+    return results.where(F.trim(F.coalesce(F.col(reason), F.lit(""))) == "")
+
+
 def metrics(cases: DataFrame, keys: list[str]) -> DataFrame:
     raw = raw_metrics(F.col("gold"), F.col("result"), F.col("claims"))
     return cases.select(*keys, *[_clamp(c).alias(k) for k, c in raw.items()])

@@ -189,6 +189,39 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vector
     return fused.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "chunk_id", "score", "channels", "place")
 
 
+def fan_out(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best texts of every variant of queries(query_id, variants), as one list (see keep_best)."""
+    parts = queries.select("query_id", F.posexplode("variants").alias("variant", "query"))
+    found = bm25_top_k(docs, parts.select(F.struct("query_id", "variant").alias("s"), "query").select(F.to_json("s").alias("query_id"), "query"), k)
+    named = found.withColumn("s", F.from_json("query_id", f"query_id {dict(parts.dtypes)['query_id']}, variant int"))
+    return keep_best(named.select("s.query_id", "s.variant", "chunk_id", "rank", "score"))
+
+
+def gate(visible: Column, asked: Column, intent: Column) -> Column:
+    """What is done before anything is searched: EMPTY without a visible base among those asked for (none asked: all visible ones), BLOCKED out of scope, else SEARCH."""
+    wanted = F.when(F.coalesce(F.size(asked), F.lit(0)) > 0, F.array_intersect(asked, visible)).otherwise(visible)
+    return F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, "EMPTY").when(F.coalesce(intent == "OUT_OF_SCOPE", F.lit(False)), "BLOCKED").otherwise("SEARCH")
+
+
+def rerank_ladder(candidates: DataFrame, answers: DataFrame, k: int) -> DataFrame:
+    """Candidates(query_id, rank, ...; rank from 1) by the first scores of answers(query_id, model, judge) that fit: rung, rerank_score and place.
+
+    model has a score for each candidate; if their number differs, the scores in judge's text (the
+    first JSON array) count; if these don't fit either, the order stays, with scores of 0.  A null
+    score is 0; ties keep their order.
+    """
+    from tidemark.functions.jsons import first_array
+
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    judged = F.from_json(first_array(F.col("judge")), "array<double>")
+    told = candidates.withColumn("_n", n).join(answers.select("query_id", "model", judged.alias("_judged")), "query_id", "left")
+    rung = F.when(F.size("model") == F.col("_n"), "model").when(F.size("_judged") == F.col("_n"), "judge").otherwise("order")
+    score = lambda c: F.coalesce(F.get(c, F.col("rank") - 1).cast("double"), F.lit(0.0))
+    scored = told.withColumn("rung", rung).withColumn("rerank_score", F.when(F.col("rung") == "model", score("model")).when(F.col("rung") == "judge", score("_judged")).otherwise(0.0))
+    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_n", "model", "_judged")
+
+
 def clamp_intent(intent: Column, allowed: list[str]) -> Column:
     """An intent of the allowed ones, else OUT_OF_SCOPE; with none allowed, blank is OTHER and the rest stays."""
     t = F.trim(F.coalesce(intent, F.lit("")))
