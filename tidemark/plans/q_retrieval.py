@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text
+from tidemark.functions.text import trim
 from tidemark.operators import chunking, retrieval, windows
 from tidemark.sources.tables import table
 
@@ -61,48 +62,109 @@ def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "pos", F.md5("c.content").alias("content_md5"))
 
 
+def _told(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of each document's chunks the number, the characters, the largest kind, and a digest of the texts in their order."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
+    return chunks.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.max("chunk_type").alias("kind"), F.md5(F.array_join(texts, "\u0001")).alias("contents_md5"))
+
+
 def _chunks(spark: SparkSession, d: str, key: str) -> DataFrame:
     docs = _markdown(spark, d)
-    out = chunking.split(docs, chunking.parse_markdown(F.col("text")), F.lit(key), chunking.Params(120))
-    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.max("chunk_type").alias("kind"))
+    return _told(chunking.split(docs, chunking.parse_markdown(F.col("text")), F.lit(key), chunking.Params(120)))
 
 
 _LINES = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 _BLOCKS = "CASE WHEN r.cur <> '' THEN list_append(r.out, r.cur) ELSE r.out END"
-_STRUCTURE = f"""WITH b AS (SELECT doc_id, source, lang, array_to_string({_LINES}, chr(10)) AS body FROM documents), s AS (SELECT *, {_SENTENCES.format('body')} AS s FROM b WHERE body <> ''), k AS (SELECT *, {_PACK.format('s', 120)} AS r FROM s),
-c AS (SELECT doc_id, length(source) + length(lang) + 6 AS lead, CASE WHEN ceil(length(body) / 1.5) > 120 THEN {_BLOCKS} ELSE [body] END AS blocks FROM k) SELECT doc_id, len(blocks) AS n, CAST(list_sum(list_transform(blocks, lambda x: length(x) + lead)) AS BIGINT) AS chars, 'STRUCTURE' AS kind FROM c"""
+#: Lines as blocks, packed with line ends between them.
+_PACK_LINES = _PACK.replace("a.cur || x.cur", "CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || chr(10) || x.cur END")
+#: doc_id, contents, kind -> what _told has of them.
+_TELL = "SELECT {key}, CAST(len(contents) AS BIGINT) AS n, CAST(list_sum(list_transform(contents, lambda x: length(x))) AS BIGINT) AS chars, kind, md5(array_to_string(contents, chr(1))) AS contents_md5 FROM {name} WHERE len(contents) > 0"
+_STRUCTURE = f"""sb AS (SELECT doc_id, source, lang, array_to_string({_LINES}, chr(10)) AS body FROM documents), ss AS (SELECT *, {_SENTENCES.format('body')} AS s FROM sb WHERE body <> ''), sk AS (SELECT *, {_PACK.format('s', 120)} AS r FROM ss),
+structured AS (SELECT doc_id, list_transform(CASE WHEN ceil(length(body) / 1.5) > 120 THEN {_BLOCKS} ELSE [body] END, lambda x: '[' || source || ' > ' || lang || '] ' || x) AS contents, 'STRUCTURE' AS kind FROM sk)"""
 #: Each heading and line is an element here; long ones are cut.
-_PARTS = f"WITH p AS (SELECT doc_id, unnest(list_concat([source, lang], {_LINES})) AS t FROM documents), s AS (SELECT *, {_SENTENCES.format('t')} AS s FROM p), k AS (SELECT *, {_PACK.format('s', 120)} AS r FROM s), c AS (SELECT doc_id, t, CASE WHEN ceil(length(t) / 1.5) > 120 THEN {_BLOCKS} ELSE [] END AS cut FROM k)"
+_PARTS = f"""WITH l AS (SELECT doc_id, list_concat([source, lang], {_LINES}) AS ts FROM documents), p AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM l), s AS (SELECT *, {_SENTENCES.format('t')} AS s FROM p), k AS (SELECT *, {_PACK.format('s', 120)} AS r FROM s),
+c AS (SELECT doc_id, list(list_prepend(t, CASE WHEN ceil(length(t) / 1.5) > 120 THEN {_BLOCKS} ELSE [] END) ORDER BY i) AS parts FROM k GROUP BY doc_id), o AS (SELECT doc_id, flatten(parts) AS contents, 'PARENT' AS kind FROM c)"""
 
 
-@query(_STRUCTURE)
+@query(f"WITH {_STRUCTURE} {_TELL.format(key='doc_id', name='structured')}")
 def chunk_structure(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "structure")
 
 
-@query(_PARTS + " SELECT doc_id, CAST(sum(1 + len(cut)) AS BIGINT) AS n, CAST(sum(length(t) + coalesce(list_sum(list_transform(cut, lambda x: length(x))), 0)) AS BIGINT) AS chars, 'PARENT' AS kind FROM c GROUP BY doc_id")
+@query(f"{_PARTS} {_TELL.format(key='doc_id', name='o')}")
 def chunk_parent_child(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "parent-child")
 
 
-@query(None)
+_CLAUSE = r"(第[一二三四五六七八九十百千零〇\d]+条|(?m:^)\d+\.\d+|(?m:^)[一二三四五六七八九十]+、)"
+
+
+def _ruled(name: str, text: str) -> str:
+    """CTEs that cut a document's text (SQL over its row) before each clause mark."""
+    cut = _TRIM.format("CASE WHEN contains(x, chr(2)) THEN string_split(x, chr(2))[1] || ' ' || " + _TRIM.format("string_split(x, chr(2))[-1]") + " ELSE x END")
+    return f"""{name}_pieces AS (SELECT doc_id, string_split(regexp_replace({text}, '{_CLAUSE}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS pieces FROM documents),
+{name} AS (SELECT doc_id, list_filter(list_transform(pieces, lambda x: {cut}), lambda x: x <> '') AS contents, 'POLICY' AS kind FROM {name}_pieces)"""
+
+
+#: Every third line of a document is led by a clause mark.
+_POLICY = _ruled("ruled", f"array_to_string(list_transform({_LINES}, lambda x, i: CASE WHEN i % 3 = 1 THEN '第' || i || '条 ' || x ELSE x END), chr(10))")
+
+
+def _clauses(text: str = "text"):
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: trim(x)), lambda x: x != "")
+    return F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("条 "), x)).otherwise(x)), "\n")
+
+
+@query(f"WITH {_POLICY} {_TELL.format(key='doc_id', name='ruled')}")
 def chunk_policy(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, "policy")
+    docs = table(spark, d, "documents").select("doc_id", _clauses().alias("text"))
+    return _told(chunking.split(docs, F.array(chunking.element("paragraph", F.col("text"))), F.lit("policy"), chunking.Params(120)))
 
 
-@query(None)
+@query(f"""WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+p AS (SELECT q.conv_id, list('问:' || {_TRIM.format('q.text')} || chr(10) || '答:' || {_TRIM.format('a.text')} ORDER BY q.i) AS contents, 'FAQ' AS kind FROM t q JOIN t a ON a.conv_id = q.conv_id AND a.i = q.i + 1 WHERE q.i % 2 = 1 GROUP BY q.conv_id) {_TELL.format(key='conv_id', name='p')}""")
 def chunk_faq(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, "faq")
+    """Turns stand for questions and answers by turns; conversations of one turn are left out."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x, i: F.concat(F.when(i % 2 == 0, "Q: ").otherwise("A: "), x["text"]))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("text"), F.count("*").alias("turns")).where("turns > 1").drop("turns")
+    return _told(chunking.split(talks, F.array(chunking.element("paragraph", F.col("text"))), F.lit("faq"), chunking.Params(120)), "conv_id")
 
 
-@query(f"WITH l AS (SELECT doc_id, unnest({_LINES}) AS t FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars, 'TABLE' AS kind FROM l GROUP BY doc_id")
+@query(f"WITH l AS (SELECT doc_id, {_LINES} AS contents, 'TABLE' AS kind FROM documents) {_TELL.format(key='doc_id', name='l')}")
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
+    """Without a table every line is packed by itself."""
     return _chunks(spark, d, "table")
 
 
-@query(_STRUCTURE)
+@query(f"""WITH l AS (SELECT o_custkey, list('表头: order | status | 行: ' || o_orderkey || ' | ' || o_orderstatus ORDER BY o_orderkey) AS s FROM orders GROUP BY o_custkey), k AS (SELECT *, {_PACK_LINES.format('s', 120)} AS r FROM l),
+o AS (SELECT o_custkey, {_BLOCKS} AS contents, 'TABLE' AS kind FROM k) {_TELL.format(key='o_custkey', name='o')}""")
+def chunk_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as a table."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderstatus"]))
+    docs = table(spark, d, "orders").groupBy("o_custkey").agg(rows.alias("rows"))
+    elements = F.array(chunking.element("table", F.lit(None), header=F.array(F.lit("order"), F.lit("status")), rows=F.col("rows")))
+    return _told(chunking.split(docs, elements, F.lit("table"), chunking.Params(120)), "o_custkey")
+
+
+_WHOLE = f"""ws AS (SELECT doc_id, {_TRIM.format("coalesce(text, '')")} AS t FROM documents), wk AS (SELECT *, {_SENTENCES.format('t')} AS s FROM ws WHERE t <> ''), wr AS (SELECT *, {_PACK.format('s', 120)} AS r FROM wk),
+whole AS (SELECT doc_id, CASE WHEN ceil(length(t) / 1.5) > 120 THEN {_BLOCKS} ELSE [t] END AS contents, 'SEMANTIC' AS kind FROM wr),
+tl AS (SELECT doc_id, list_transform({_LINES}, lambda x: '表头: line | 行: ' || x) AS s FROM documents), tk AS (SELECT *, {_PACK_LINES.format('s', 120)} AS r FROM tl), tabled AS (SELECT doc_id, {_BLOCKS} AS contents, 'TABLE' AS kind FROM tk)"""
+
+
+_NUMBERED = "doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '\\d\\.\\d'))"  # looks like a clause to auto
+
+
+@query(f"""WITH {_STRUCTURE}, {_POLICY}, {_ruled('plainly', _TRIM.format("coalesce(text, '')"))}, {_WHOLE}, chosen AS (SELECT * FROM structured WHERE doc_id % 4 = 0 UNION ALL SELECT * FROM ruled WHERE doc_id % 4 = 1 UNION ALL SELECT * FROM whole WHERE doc_id % 4 = 2 AND NOT {_NUMBERED} UNION ALL SELECT * FROM plainly WHERE doc_id % 4 = 2 AND {_NUMBERED} UNION ALL SELECT * FROM tabled WHERE doc_id % 4 = 3) {_TELL.format(key='doc_id', name='chosen')}""")
 def chunk_auto(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, "auto")
+    """A quarter of the documents with headings, one with clauses, one plain, one as tables: each takes its own branch."""
+    body, m = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")), F.col("doc_id") % 4
+    marked = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## "), F.col("lang"), F.lit("\n"), body)
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: trim(x)), lambda x: x != "")
+    tabled = F.array(chunking.element("table", F.lit(None), header=F.array(F.lit("line")), rows=F.transform(lines, lambda x: F.array(x))))
+    one = lambda t: F.array(chunking.element("paragraph", t))
+    elements = F.when(m == 0, chunking.parse_markdown(marked)).when(m == 1, one(_clauses())).when(m == 2, one(trim(F.coalesce("text", F.lit(""))))).otherwise(tabled)
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return _told(chunking.split(docs, elements, F.lit(None).cast("string"), chunking.Params(120)))
 
 
 @query(f"WITH s AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations), k AS (SELECT *, {_SENTENCES.format('coalesce(p, chr(32))')} AS ps FROM s) SELECT conv_id, turn, md5(CASE WHEN p IS NULL THEN text WHEN len(ps) <= 2 THEN p || text ELSE ps[len(ps) - 1] || ps[len(ps)] || text END) AS content_md5 FROM k")
@@ -191,13 +253,14 @@ def intent_clamp(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", retrieval.clamp_intent(F.concat(F.lit(" "), kind), ["view", "click"]).alias("intent"), retrieval.clamp_intent(F.when(F.col("event_id") % 2 == 0, " ").otherwise(kind), []).alias("free_intent"))
 
 
-@query("""WITH q AS (SELECT conv_id, turn, role, left(text, 12) AS q, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM conversations)
-SELECT conv_id, turn, md5(CASE WHEN trim(coalesce(u, '')) <> '' AND turn % 2 = 0 THEN CASE WHEN contains(u, q) THEN u WHEN contains(q, u) THEN q ELSE u || ' ' || q END ELSE q END) AS rewritten_md5 FROM q""")
+@query("""WITH q AS (SELECT conv_id, turn, role, text AS q, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN trim(coalesce(u, '')) <> '' AND turn % 2 = 0 AND length(q) <= 90 THEN CASE WHEN contains(u, q) THEN u WHEN contains(q, u) THEN q ELSE u || ' ' || q END ELSE q END) AS rewritten_md5 FROM q""")
 def fallback_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of up to 90 characters count as short: the invented ones are longer than real questions."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w)
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("q"), last.alias("u"))
-    return rows.select("conv_id", "turn", F.md5(retrieval.fallback_rewrite(F.col("q"), F.col("u"), F.col("turn") % 2 == 0)).alias("rewritten_md5"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("q"), last.alias("u"))
+    return rows.select("conv_id", "turn", F.md5(retrieval.fallback_rewrite(F.col("q"), F.col("u"), F.col("turn") % 2 == 0, 90)).alias("rewritten_md5"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '用户' ELSE '客服' END || ': ' || CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS line FROM conversations WHERE role <> 'system'),
