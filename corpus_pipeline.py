@@ -11,7 +11,7 @@ from tidemark.llm.minhash import keep_one_of_each
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import encode
 from tidemark.llm.quality import fit_quality, keep_good
-from tidemark.llm.shared import table, written
+from tidemark.llm.shared import table, working_tables, written
 from tidemark.llm.substrings import keep_first_passages
 
 
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's rows are written and read again."""
+    """The last stage's rows; every stage's rows are written and read again, and what it wrote on its way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with working_tables(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return docs
