@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import unquote
@@ -391,6 +392,64 @@ def test_license_lines_are_all_found(spark):
     assert {r.doc_id for r in licenses.scan_licenses(docs).collect()} == want
 
 
+def best_stretch(template, text):
+    """Local alignment over the whole text by the full table: most matched words, first and last matched word, of the best stretch (match 2, passed over 1)."""
+    n = len(text)
+    score, matched, first = np.zeros(n + 1, int), np.zeros(n + 1, int), np.zeros(n + 1, int)
+    best = (0, 0, 0, 0)
+    for i in range(len(template)):
+        s, m, f = np.zeros(n + 1, int), np.zeros(n + 1, int), np.zeros(n + 1, int)
+        for j in range(1, n + 1):
+            options = [(score[j] - 1, matched[j], first[j]), (s[j - 1] - 1, m[j - 1], f[j - 1]), (score[j - 1] - 2, matched[j - 1], first[j - 1]), (0, 0, 0)]
+            if template[i] == text[j - 1]:
+                options.append((score[j - 1] + 2, matched[j - 1] + 1, first[j - 1]) if score[j - 1] > 0 else (2, 1, j - 1))
+            s[j], m[j], f[j] = max(options)
+            if s[j] > best[0]:
+                best = (s[j], m[j], f[j], j)
+        score, matched, first = s, m, f
+    return best[1:]
+
+
+def test_license_spans_on_the_table(spark):
+    """Each reported span is as well covered as told, and each template that covers a text by the full table lies in a reported span."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 2500")
+    noted = [(10_000 + i, f"some words before {' '.join(t.split()[: len(t.split()) // 2] + ['edited'] + t.split()[len(t.split()) // 2 + 1 :])} and after") for i, t in enumerate(licenses.TEMPLATES.values())]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + noted
+    got = defaultdict(list)
+    for r in licenses.scan_licenses(table(spark, rows)).collect():
+        got[r.doc_id].append(r)
+    kept = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
+    words_of = lambda t: [(m.group().lower() if m.group().isascii() else m.group(), m.start(), m.end()) for m in kept.finditer(t)]
+    templates = {n: [w for w, _, _ in words_of(t)] for n, t in licenses.TEMPLATES.items()}
+    checked = 0
+    for i, t in rows:
+        for r in got[i]:
+            inside = [w for w, a, b in words_of(t) if a >= r.start_char and b <= r.end_char]
+            n, _, _ = best_stretch(templates[r.license], inside)
+            assert n == r.matched_words and math.isclose(r.coverage, n / len(templates[r.license])) and r.coverage >= 0.8
+            assert t[r.start_char : r.end_char].strip() == t[r.start_char : r.end_char]
+        words = words_of(t)
+        known = {w for ws in templates.values() for w in ws}
+        if sum(w in known for w, _, _ in words) < 3:
+            continue
+        for name, want in templates.items():
+            if len(set(want) & {w for w, _, _ in words}) < 0.8 * len(set(want)):
+                continue
+            n, lo, hi = best_stretch(want, [w for w, _, _ in words])
+            if n >= 0.8 * len(want):
+                checked += 1
+                assert any(r.start_char <= words[lo][1] and words[hi - 1][2] <= r.end_char for r in got[i]), (i, name)
+    assert checked >= len(licenses.TEMPLATES)
+
+
+def test_license_templates_as_a_table(spark):
+    rows = spark.createDataFrame([("own", "this text may be used by all and sundry"), (None, "x y z"), ("none", None)], "license string, text string")
+    got = licenses.scan_licenses(table(spark, [(1, "so this text may be used by all and sundry, they say")]), rows).collect()
+    assert [(r.license, r.coverage) for r in got] == [("own", 1.0)]
+    with pytest.raises(ValueError):
+        licenses.templates_of(rows.union(rows))
+
+
 def test_alignment_against_full_table():
     """The band is wide enough here, so the banded score must be the best over all pairs."""
     r = random.Random(8)
