@@ -6,6 +6,8 @@ Null ids are dropped; ratios are clamped to 0 .. 1 and rounded half up to four d
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: What a metric must reach (or, for hallucination, not exceed).
@@ -17,33 +19,32 @@ def _clamp(c: Column) -> Column:
     return F.round(good.cast("decimal(20,12)"), 4).cast("double")
 
 
-def raw_metrics(gold: Column, result: Column, claims: Column) -> dict[str, Column]:
-    """Unrounded metrics.
+def raw_metrics(cases: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the unrounded metrics of cases(gold, result, claims).
 
     NDCG's ideal counts the hits in the whole result, not the gold ids; a repeated id counts each
-    time.  Without gold ids the retrieval metrics are 1, without claims the others are 0.
+    time.  Without gold ids the retrieval metrics are 1, without claims the others are 0.  Lists are
+    walked once: what is hit is noted first, and the rest reads these notes.
     """
-    g, r = F.array_compact(gold), F.array_compact(result)
-    distinct = F.array_distinct(g)
-    none = F.size(distinct) == 0
-    top = F.slice(r, 1, 5)
-    hit = lambda x: F.array_contains(distinct, x)
-    first = F.array_min(F.filter(F.transform(r, lambda x, i: F.when(hit(x), i + 1)), lambda x: x.isNotNull()))
-    gains = F.aggregate(F.transform(top, lambda x, i: F.when(hit(x), F.lit(1.0) / F.log2(i + 2.0)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    hits = F.least(F.size(F.filter(r, hit)), F.lit(5))
-    ideal = F.aggregate(F.when(hits > 0, F.sequence(F.lit(1), hits)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / F.log2(i + 1.0))
-    n = F.size(claims)
-    good = F.filter(claims, lambda c: c["verdict"] == "SUPPORTED")
+    noted = cases.select(*keys, F.array_distinct(F.array_compact("gold")).alias("_g"), F.array_compact("result").alias("_r"), F.transform("claims", lambda c: c["verdict"]).alias("_v"), F.col("claims").alias("_c"))
+    noted = noted.withColumns({"_hit": F.transform("_r", lambda x: F.array_contains("_g", x)), "_top": F.array_intersect(F.slice("_r", 1, 5), "_g")})
+    cited = F.transform(F.filter("_c", lambda c: (c["verdict"] == "SUPPORTED") & (c["evidence"] >= 0) & (c["evidence"] < F.size("_r"))), lambda c: F.get("_r", c["evidence"]))
+    count = lambda c, x: F.size(c) - F.size(F.array_remove(c, x))
+    noted = noted.withColumns({"_first": F.array_position("_hit", True), "_hits": F.least(count("_hit", True), F.lit(5)), "_good": count("_v", "SUPPORTED"), "_bad": count("_v", "UNSUPPORTED"), "_cited": F.array_distinct(cited)})
+    g, n = F.size("_g"), F.size("_v")
+    total = lambda parts: sum(parts[1:], parts[0])
+    gains = total([F.when(F.coalesce(F.get("_hit", F.lit(i)), F.lit(False)), 1.0 / math.log2(i + 2)).otherwise(0.0) for i in range(5)])
+    ideal = total([F.when(F.col("_hits") > i, 1.0 / math.log2(i + 2)).otherwise(0.0) for i in range(5)])
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / F.when(b > 0, b))
-    cited = F.array_distinct(F.transform(F.filter(good, lambda c: (c["evidence"] >= 0) & (c["evidence"] < F.size(r))), lambda c: F.get(r, c["evidence"])))
-    return {
-        "recall5": F.when(none, 1.0).otherwise(ratio(F.size(F.array_intersect(top, distinct)), F.size(distinct))),
-        "mrr": F.when(none, 1.0).otherwise(F.coalesce(1.0 / first, F.lit(0.0))),
-        "ndcg5": F.when(none, 1.0).otherwise(F.when(hits == 0, 0.0).otherwise(gains / F.when(ideal > 0, ideal))),
-        "faithfulness": ratio(F.size(good), n),
-        "hallucination": ratio(F.size(F.filter(claims, lambda c: c["verdict"] == "UNSUPPORTED")), n),
-        "citation": ratio(F.size(F.array_intersect(cited, distinct)), F.size(cited)),
-    }
+    return noted.select(
+        *keys,
+        F.when(g == 0, 1.0).otherwise(ratio(F.size("_top"), g)).alias("recall5"),
+        F.when(g == 0, 1.0).when(F.coalesce("_first", F.lit(0)) == 0, 0.0).otherwise(1.0 / F.when(F.col("_first") > 0, F.col("_first"))).alias("mrr"),
+        F.when(g == 0, 1.0).when(F.col("_hits") == 0, 0.0).otherwise(gains / F.when(F.col("_hits") > 0, ideal)).alias("ndcg5"),
+        ratio(F.col("_good"), n).alias("faithfulness"),
+        ratio(F.col("_bad"), n).alias("hallucination"),
+        ratio(F.size(F.array_intersect("_cited", "_g")), F.size("_cited")).alias("citation"),
+    )
 
 
 def without_failed(results: DataFrame, reason: str = "fail_reason") -> DataFrame:
@@ -52,18 +53,16 @@ def without_failed(results: DataFrame, reason: str = "fail_reason") -> DataFrame
 
 
 def metrics(cases: DataFrame, keys: list[str]) -> DataFrame:
-    raw = raw_metrics(F.col("gold"), F.col("result"), F.col("claims"))
-    return cases.select(*keys, *[_clamp(c).alias(k) for k, c in raw.items()])
+    return raw_metrics(cases, keys).select(*keys, *[_clamp(F.col(k)).alias(k) for k in GATES])
 
 
 def gate(cases: DataFrame, keys: list[str], gates: dict[str, float] = GATES, enabled: bool = True) -> DataFrame:
     """keys, passed, reasons ("; " between): unrounded metrics against their thresholds."""
-    raw = raw_metrics(F.col("gold"), F.col("result"), F.col("claims"))
     if not enabled:
         return cases.select(*keys, F.lit(True).alias("passed"), F.lit("").alias("reasons"))
-    failed = [F.when((raw[k] > limit) if k == "hallucination" else (raw[k] < limit), F.lit(k)) for k, limit in gates.items()]
+    failed = [F.when((F.col(k) > limit) if k == "hallucination" else (F.col(k) < limit), F.lit(k)) for k, limit in gates.items()]
     reasons = F.concat_ws("; ", *failed)
-    return cases.select(*keys, (reasons == "").alias("passed"), reasons.alias("reasons"))
+    return raw_metrics(cases, keys).select(*keys, (reasons == "").alias("passed"), reasons.alias("reasons"))
 
 
 def task_report(results: DataFrame, task: str, names: list[str]) -> DataFrame:

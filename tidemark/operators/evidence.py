@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.similarity import multiset
+from tidemark.functions.similarity import multiset, normalized
 
 
 def raw_score(rerank: Column, fused: Column) -> Column:
@@ -44,9 +46,18 @@ def deduplicate(evidence: DataFrame, keys: list[str], threshold: float = 0.85) -
 
 
 def conflict_pairs(evidence: DataFrame, key: str, least: float = 0.5, most: int = 10) -> DataFrame:
-    """key, a, b, similarity: pairs of a query's evidence that are alike enough, the most alike ``most`` of each query."""
-    e = evidence.where("trim(content) <> ''")
-    pairs = e.select(key, F.col("pos").alias("a"), F.col("content").alias("x")).join(e.select(key, F.col("pos").alias("b"), F.col("content").alias("y")), key).where("a < b")
+    """key, a, b, similarity: pairs of a query's evidence that are alike enough, the most alike ``most`` of each query.
+
+    Texts meet only where their lengths allow it: lengths are cut into bands so wide that texts alike
+    enough lie in one band or in neighbouring ones.
+    """
+    size = F.length(normalized(F.col("content")))
+    reach = (2 - least) / least + 1e-6  # the longest text that may be as alike, by the shorter one's length
+    band = F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(math.log(reach) if reach > 1 else 1e-6)).cast("long")
+    e = evidence.where("trim(content) <> ''").select(key, "pos", "content", size.alias("_n"), band.alias("_band"))
+    one = e.select(key, F.col("pos").alias("a"), F.col("content").alias("x"), F.col("_n").alias("_na"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    other = e.select(key, F.col("pos").alias("b"), F.col("content").alias("y"), F.col("_n").alias("_nb"), "_band")
+    pairs = one.join(other, [key, "_band"]).where("a < b").where(2 * F.least("_na", "_nb") >= (least - 1e-6) * (F.col("_na") + F.col("_nb"))).drop("_band", "_na", "_nb")
     scored = multiset(pairs, [key, "a", "b"], "x", "y").withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= least)
     w = Window.partitionBy(key).orderBy(F.desc("similarity"), "a", "b")
     return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")

@@ -76,7 +76,8 @@ def routes(scenarios: DataFrame, models: DataFrame) -> DataFrame:
     """Per scenario the enabled models (status 1) in the order in which they are tried; only without any of its own those of "*"."""
     live = models.where("status = 1")
     own = scenarios.join(live, "scenario").select("scenario", "id", "priority")
-    other = scenarios.join(live.select("scenario").distinct(), "scenario", "left_anti").crossJoin(F.broadcast(live.where("scenario = '*'").select("id", "priority")))  # a model list
+    common = live.where("scenario = '*'").select(F.col("scenario").alias("_star"), "id", "priority")
+    other = scenarios.join(live.select("scenario").distinct(), "scenario", "left_anti").withColumn("_star", F.lit("*")).join(common, "_star")
     place = F.row_number().over(Window.partitionBy("scenario").orderBy("priority", "id"))
     return own.unionByName(other.select("scenario", "id", "priority")).withColumn("place", place).withColumn("degraded", F.col("place") > 1)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import checkpointed
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in the order given."""
@@ -20,15 +22,30 @@ def balanced_sample(df: DataFrame, group: str, per_group: int, total: int, order
     return kept.orderBy(group, "_n").limit(total).drop("_n")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], number: str, total: str) -> DataFrame:
+    """df with each row's number in its key, from 0, and the key's number of rows.
+
+    A key may hold any share of the rows: Spark deals them by key and order to ranges of about equal
+    size, each range counts for itself, and what came before is added.
+    """
+    ranged = checkpointed(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_here"))
+    w = Window.partitionBy(*keys)
+    told = counts.select(*keys, "_range", (F.sum("_here").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_here")).alias("_before"), F.sum("_here").over(w).alias(total))  # a key's ranges
+    here = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1)
+    same = [here[k].eqNullSafe(told[k]) for k in keys] + [here["_range"] == told["_range"]]
+    joined = here.join(told, same)
+    return joined.select(*[here[c] for c in df.columns], (F.col("_before") + F.col("_at")).alias(number), F.col(total))
+
+
 def even_sample(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
     """limit rows of each key at even distances, the first and the last among them; all if there are no more."""
-    w = Window.partitionBy(*keys)
-    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    numbers = numbered(df, keys, order, "_i", "_n")
     # Row i is taken if it is round(j * (n - 1) / (limit - 1)) for some j < limit.
     j = F.floor(F.col("_i") * F.lit(limit - 1) / (F.col("_n") - 1) + 0.5)
     near = lambda k: F.floor(k * (F.col("_n") - 1) / F.lit(limit - 1) + 0.5) == F.col("_i")
     hit = (near(j) & (j < limit)) | (near(j - 1) & (j >= 1)) | (near(j + 1) & (j + 1 < limit))
-    return numbered.where((F.col("_n") <= limit) | hit).drop("_i", "_n")
+    return numbers.where((F.col("_n") <= limit) | hit).drop("_i", "_n")
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:

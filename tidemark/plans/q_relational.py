@@ -173,7 +173,7 @@ def update_join(spark: SparkSession, d: str) -> DataFrame:
 def exclusive_enable(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumn("status", F.col("p_size") % 2)
     key = part.where("p_partkey = 7").select(F.col("p_brand").alias("brand"))
-    joined = part.join(F.broadcast(key), part.p_brand == key.brand, "left")  # one row
+    joined = part.join(key, part.p_brand == key.brand, "left")
     return dml.exclusive(joined, F.col("p_partkey") == 7, F.col("brand").isNotNull(), "status").select("p_partkey", "status")
 
 

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -51,20 +53,38 @@ def idempotent(stream: DataFrame, key: list[str], time_col: str, ttl: str) -> Da
 
 
 def idempotent_batch(events: DataFrame, key: list[str], time_col: str, order: str, ttl_seconds: int) -> DataFrame:
-    """Events that a key with this time to live accepts: those at least the ttl after the last accepted one.
+    """key and order of the events that a key with this time to live accepts: those at least the ttl after the last accepted one.
 
-    What is accepted depends on what was before, so a key's times are folded in order, a key's events at a time.
+    What is accepted depends on what was before: a partition is sorted by key and time and read as a
+    stream that holds one time only, so a key may have any number of events.  Events without a time
+    are not accepted.
     """
-    at = F.unix_micros(F.col(time_col).cast("timestamp"))
-    rows = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(order).alias("id")))).alias("l"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    ttl = ttl_seconds * 1_000_000
-
-    def step(s: Column, x: Column) -> Column:
-        take = s["last"].isNull() | (x["at"] - s["last"] >= ttl)
-        return F.struct(F.when(take, x["at"]).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["ids"], F.array(x["id"].cast("bigint")))).otherwise(s["ids"]).alias("ids"))
-
-    return rows.select(*key, F.explode(F.aggregate("l", start, step, lambda s: s["ids"])).alias(order))
+    rows = events.where(F.col(time_col).isNotNull()).select(*key, F.col(order), F.unix_micros(F.col(time_col).cast("timestamp")).alias("_at"))
+    rows = rows.select(F.xxhash64(*key).alias("_key"), "*")
+    dealt = rows.repartition("_key", *key).sortWithinPartitions("_key", *key, "_at", order)
+    ttl, columns = ttl_seconds * 1_000_000, [*key, order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, 0
+        for b in batches:
+            at = b.column("_at").to_numpy()
+            names = b.select(["_key", *key]).to_struct_array()
+            hashes = b.column("_key").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(hashes)) + 1).tolist(), len(at)]
+            taken = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi == lo:
+                    continue
+                name = names[lo].as_py()
+                i = lo if name != held else lo + int(np.searchsorted(at[lo:hi], last + ttl))
+                held = name
+                while i < hi:
+                    taken.append(i)
+                    last = int(at[i])
+                    i = max(i + 1, i + int(np.searchsorted(at[i:hi], last + ttl)))
+            yield b.select(columns).take(pa.array(taken, pa.int64()))
+
+    return dealt.mapInArrow(run, T.StructType([rows.schema[c] for c in columns]))
 
 
 def rate_limited(events: DataFrame, key: list[str], time_col: str, order: str, limit: int, interval: str) -> DataFrame:
