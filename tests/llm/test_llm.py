@@ -569,10 +569,24 @@ def test_warc_false_magic_and_cut_off_members(tmp_path):
     at = [len(noise), 2 * len(noise) + len(one)]
     for size in (1, 7, 50, 10_000):
         with pa.OSFile(str(tmp_path / "f")) as f:
-            got = [o for s in range(0, len(data), size) for o, _, _ in warc.records(f, s, min(s + size, len(data)))]
+            got = [o for s in range(0, len(data), size) for o, *_ in warc.records(f, s, min(s + size, len(data)))]
         assert got == at
 
 
+def test_warc_skipped_bytes_are_counted(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"text {i} " * 50) for i in range(30)], "page_id long, url string, html string").repartition(1)
+    archives = warc.write_warc(df, f"file://{tmp_path}/w")
+    (path,) = [r.path.removeprefix("file://") for r in archives.collect()]
+    whole = open(path, "rb").read()
+    assert {r.skipped for r in warc.skipped_bytes(archives, warc.read_warc(archives, 1000)).collect()} == {0}
+    at = whole.index(warc.MAGIC, 1000)
+    broken = whole[:at] + b"\0" * 20 + whole[at + 20 : -7]  # a broken start, and a last member that is cut off
+    open(path, "wb").write(broken)
+    told = archives.withColumn("bytes", F.lit(len(broken)).cast("long"))
+    found = warc.read_warc(told, 1000)
+    assert found.count() == 29 and warc.skipped_bytes(told, found).first().skipped > 40
+
+
 def test_warc_long_urls_are_read_and_lost_records_told(spark, tmp_path):
     urls = ["http://x/" + "a" * 100_000, "http://x/" + "ü" * 11_000, "http://x/" + "".join(random.Random(1).choices("0123456789abcdef", k=700_000)), "http://x/short"]
     df = spark.createDataFrame([(i, u, "same" if i < 2 else f"{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")

@@ -4,7 +4,7 @@ Writer: each task writes its rows to files of its own in a shared folder and ret
 only names that a finished task returned are read, so a repeated attempt leaves no double records.
 Reader: a task gets a byte range, scans it for the gzip magic, takes a candidate for a member only
 if its start decodes to a WARC header, and owns the records that start inside its range; a record
-may run past the range's end.  Bytes that decode to no record are passed over up to the next magic.
+may run past the range's end.  Bytes that decode to no record are passed over up to the next magic, and counted (skipped_bytes).
 Files are reached by pyarrow.fs, so the folder may be local, HDFS or an object store.
 """
 
@@ -29,7 +29,7 @@ _CHUNK = 1 << 18
 _RECORD = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-READ_SCHEMA = "path string, offset long, record_type string, page_id long, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+READ_SCHEMA = "path string, offset long, member_bytes long, record_type string, page_id long, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -100,7 +100,7 @@ class _Range:
     """Bytes of a file from some position on, read in chunks as they are asked for."""
 
     def __init__(self, handle, at: int):
-        self.handle, self.at, self.data, self.over = handle, at, b"", False
+        self.handle, self.at, self.data, self.over = handle, at, bytearray(), False
 
     def more(self) -> bool:
         if not self.over:
@@ -110,7 +110,8 @@ class _Range:
         return not self.over
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -120,7 +121,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def _decode(r: _Range) -> tuple[dict[str, str], bytes, int] | None:
     """Fields, block and compressed length of the member at r's start; None if none starts there."""
-    z, text, fed = zlib.decompressobj(31), b"", 0
+    z, text, fed = zlib.decompressobj(31), bytearray(), 0
     while not z.eof:
         if fed == len(r.data) and not r.more():
             return None  # cut off
@@ -132,15 +133,15 @@ def _decode(r: _Range) -> tuple[dict[str, str], bytes, int] | None:
         if not b"WARC/1."[: len(text)] == text[:7]:
             return None  # after this start all is read, however long the header is
     head, found, rest = text.partition(b"\r\n\r\n")
-    fields = _fields(head)
+    fields = _fields(bytes(head))
     length = fields.get("content-length", "")
     if not found or not length.isdigit() or len(rest) < int(length):
         return None
-    return fields, rest[: int(length)], fed - len(z.unused_data)
+    return fields, bytes(rest[: int(length)]), fed - len(z.unused_data)
 
 
-def records(handle, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, fields and block of the records that start in [start, end)."""
+def records(handle, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, compressed length, fields and block of the records that start in [start, end)."""
     r = _Range(handle, start)
     while r.at < end:
         at = r.data.find(MAGIC)
@@ -158,7 +159,7 @@ def records(handle, start: int, end: int) -> Iterator[tuple[int, dict[str, str],
         if got is None:
             r.skip(1)
             continue
-        yield r.at, got[0], got[1]
+        yield r.at, got[2], got[0], got[1]
         r.skip(got[2])
 
 
@@ -167,7 +168,7 @@ def _page(name: str | None) -> int | None:
     return int(name) if name.lstrip("-").isdigit() else None
 
 
-def _row(path: str, offset: int, fields: dict[str, str], block: bytes) -> tuple:
+def _row(path: str, offset: int, size: int, fields: dict[str, str], block: bytes) -> tuple:
     kind = fields.get("warc-type", "")
     payload = n = None
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -181,11 +182,11 @@ def _row(path: str, offset: int, fields: dict[str, str], block: bytes) -> tuple:
         else:
             length = _fields(head).get("content-length", "")
             n = int(length) if length.isdigit() else None
-    return path, offset, kind, _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), _page(fields.get("warc-refers-to")), n, digest, payload
+    return path, offset, size, kind, _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), _page(fields.get("warc-refers-to")), n, digest, payload
 
 
 def _reader(with_payload: bool):
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("member_bytes", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -195,8 +196,8 @@ def _reader(with_payload: bool):
                 files, name = fs.FileSystem.from_uri(path)
                 rows, size = [], 0
                 with files.open_input_file(name) as handle:
-                    for offset, fields, block in records(handle, start, end):
-                        row = _row(path, offset, fields, block)
+                    for offset, length, fields, block in records(handle, start, end):
+                        row = _row(path, offset, length, fields, block)
                         rows.append(row if with_payload else (*row[:-1], None))
                         size += len(block) if with_payload else 0
                         if len(rows) >= 5000 or size > 32 << 20:
@@ -221,6 +222,12 @@ def read_warc(archives: DataFrame, split_bytes: int = 8 << 20, with_payload: boo
     return ranges.repartition(tasks, "path", "start").mapInArrow(_reader(with_payload), READ_SCHEMA)
 
 
+def skipped_bytes(archives: DataFrame, found: DataFrame) -> DataFrame:
+    """path, skipped: the bytes of each archive that belong to no record that was read, as broken or cut-off members do."""
+    counts = found.groupBy("path").agg(F.sum("member_bytes").alias("_read"))
+    return archives.join(counts, "path", "left").select("path", (F.col("bytes") - F.coalesce("_read", F.lit(0))).alias("skipped"))
+
+
 def all_read(archives: DataFrame, found: DataFrame) -> DataFrame:
     """found, written once, if it has as many records of each archive as were written; else an error."""
     found = written(found, "records")
