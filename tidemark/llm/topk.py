@@ -29,7 +29,6 @@ class ImpactIndex:
         by = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by], vectors[by].astype(np.int64)
         low, high = self.vectors.min(0), self.vectors.max(0)
-        self.base = np.stack([low, -high])  # what a component adds at least, per unit of weight
         self.step = np.maximum(1, -(-(high - low + 1) // LEVELS))
         self.posted, self.levels, self.cuts = [], [], []
         for x in ((self.vectors - low) // self.step, (high - self.vectors) // self.step):
