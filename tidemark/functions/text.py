@@ -18,7 +18,7 @@ def paragraphs(c: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def sentences(c: Column) -> Column:
