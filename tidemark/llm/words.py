@@ -2,7 +2,8 @@
 
 A word is ``[^\\x20\\x09-\\x0D]+``.  One Arrow batch of texts is split at once:
 there is no Python object per word, and memory is bounded by slicing a batch so
-that a slice holds at most ``SLICE_BYTES`` bytes or one single text.
+that a slice holds at most ``SLICE_BYTES`` bytes or one single text, whose words
+are hashed piece by piece.
 """
 
 from __future__ import annotations
@@ -115,9 +116,15 @@ def _words(first: int, raw: np.ndarray, bounds: np.ndarray, lower: bool) -> Word
     start = np.flatnonzero(solid & (before | edge[:-1]))
     end = np.flatnonzero(solid & (after | edge[1:])) + 1
     doc = np.searchsorted(bounds, start, "right") - 1
-    sums = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size), out=sums[1:])
-    h = (sums[end] - sums[start]) * _powers(_BASE_INV, max(size, 1))[start] if len(start) else np.empty(0, np.uint64)
-    h = mix(h + (end - start).astype(np.uint64))
+    h = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # a text of any length is hashed a piece at a time: eight bytes of sums per byte are held for a piece only
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, hi - lo), out=sums[1:])
+        a, z = start[i:j] - lo, end[i:j] - lo
+        h[i:j] = mix((sums[z] - sums[a]) * _powers(_BASE_INV, hi - lo)[a] + (z - a).astype(np.uint64))
+        i = j
     offset = np.searchsorted(doc, np.arange(n_docs + 1))
     return Words(first, n_docs, raw, data, doc, start, end, h, offset, bounds)
