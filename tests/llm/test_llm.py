@@ -70,6 +70,13 @@ def test_words_match_python(texts):
     assert got == [(x or "").encode().lower().split() for x in t]
 
 
+def test_words_hash_alike_in_pieces(texts, monkeypatch):
+    t = pa.array([x for _, x in texts], pa.string())
+    whole = [h for w in words.split(t) for h in w.hash.tolist()]
+    monkeypatch.setattr(words, "SLICE_BYTES", 50)  # shorter than most texts, and than one word
+    assert [h for w in words.split(t) for h in w.hash.tolist()] == whole
+
+
 def test_long_and_short_grams_agree_on_equality():
     (w,) = words.split(pa.array(["a b c d e f g h i j"] * 2))
     for k in (2, 4, 8):
