@@ -228,3 +228,60 @@ def test_bm25_in_blocks_and_passes(spark, monkeypatch):
     ids = {n: i for n, i, _ in rows}
     assert sorted((x.query_id, ids[x.chunk_id], x.score) for x in named if x.rank < 5) == sorted((x.query_id, x.chunk_id, x.score) for x in whole if x.rank < 5)
     assert retrieval.bm25_top_k(docs.limit(0), queries).count() == 0
+
+
+def test_publish_overwrites_its_versions_only(spark, tmp_path):
+    from tidemark.operators import chat, index
+
+    rows = [(i, i % 3, 1, 1, f"text {i}", [1.0, float(i)], "DRAFT") for i in range(9)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, version_id long, tenant_id int, kb_id int, content string, embedding array<double>, status string")
+    folder = f"file://{tmp_path}/index"
+    index.publish(spark, chunks.where("version_id < 2"), folder)
+    index.publish(spark, chunks.where("version_id = 1 AND chunk_id > 1").withColumn("content", F.lit("new")), folder)
+    got = {r.chunk_id: (r.content, r.status) for r in spark.read.parquet(f"{folder}/chunks").collect()}
+    assert got == {0: ("text 0", "PUBLISHED"), 3: ("text 3", "PUBLISHED"), 6: ("text 6", "PUBLISHED"), 4: ("new", "PUBLISHED"), 7: ("new", "PUBLISHED")}
+    entries = spark.read.parquet(f"{folder}/entries")
+    assert index.visible(spark.read.parquet(f"{folder}/chunks"), entries).count() == 5 == spark.read.parquet(f"{folder}/vectors").count()
+    chat.append(chunks, f"{tmp_path}/log", 4)
+    chat.append(chunks, f"{tmp_path}/log", 4)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 18
+    with pytest.raises(ValueError):
+        index.row_ids(spark.createDataFrame([(1, 10**6, None)], "g long, pos long, parent_pos long"), "g")
+
+
+def test_allow_list_and_paths(spark):
+    from tidemark.functions import strings
+
+    html = [
+        ('<p style="color:red" onclick="x()">a<script>alert(1)</script></p>', '<p style="color:red">a</p>'),
+        ('<a href="javascript:alert(1)" target=_blank>x</a><a HREF=\'https://y\'>y</a>', "<a target=_blank>x</a><a HREF='https://y'>y</a>"),
+        ('<IMG SRC="data:image/png;base64,xx" onerror=y><iframe src="http://z">in</iframe><!-- no -->', '<img SRC="data:image/png;base64,xx">in'),
+        ("1 < 2 <b>bold</b><font>f</font>", "1 &lt; 2 <b>bold</b>f"),
+        (None, ""),
+    ]
+    got = spark.createDataFrame(html, "h string, want string").select(strings.clean_html(F.col("h")).alias("h"), "want").collect()
+    assert [(r.h, r.want) for r in got] == [(r.want, r.want) for r in got]
+    paths = {"a/b.txt": True, "/a": False, "a\\b": False, "C:a": False, "a/../b": False, "a//b": False, "./a": False, "": False, "a.b/..c": True, "a\0b": False}
+    df = spark.createDataFrame([(p,) for p in paths] + [(None,)], "p string")
+    assert {r.p: r.s for r in df.select("p", strings.safe_path(F.col("p")).alias("s")).collect()} == paths | {None: False}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        spark.createDataFrame([("1,x",)], "c string").select(strings.split_numbers(F.col("c"))).collect()
+
+
+def test_idempotency_of_a_hot_key_over_batches(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "a", "b"]), i, r.randrange(10**6)) for i in range(3000)]
+    events = spark.createDataFrame(rows, "k string, id long, s long").select("k", "id", F.timestamp_seconds("s").alias("ts"))
+    want = []
+    last = {}
+    for k, i, s in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        if k not in last or s - last[k] >= 5000:
+            last[k] = s
+            want.append((k, i))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = stateful.idempotent_batch(events, ["k"], "ts", "id", 5000).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((x.k, x.id) for x in got) == sorted(want)

@@ -44,7 +44,7 @@ def clean_html(c: Column) -> Column:
     A column expression over the tags as they stand: it opens or closes no tag by itself.
     """
     bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style|title|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![^>]*>", "")
-    pieces = F.regexp_extract_all(bare, F.lit(r"(?s)<[^>]*>|[^<]+|<"), F.lit(0))
+    pieces = F.regexp_extract_all(bare, F.lit(r"(?s)</?[A-Za-z][^>]*>|[^<]+|<"), F.lit(0))
 
     def attributes(tag: Column, name: Column) -> Column:
         found = F.regexp_extract_all(tag, F.lit(r"""(?s)[\w-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(0))

@@ -165,3 +165,25 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT e.user_id, e.p, e.t - r.last_t >= 86400000000, CASE WHEN e.t - r.last_t >= 86400000000 THEN e.t ELSE r.last_t END, e.event_id FROM r JOIN e ON e.user_id = r.user_id AND e.p = r.p + 1) SELECT user_id, event_id FROM r WHERE taken""")
 def idempotent_keys(spark: SparkSession, d: str) -> DataFrame:
     return stateful.idempotent_batch(table(spark, d, "events"), ["user_id"], "ts", "event_id", 86_400)
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS channel, c_custkey AS subscriber, c_custkey % 50 AS since, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 + 20 END AS until FROM customer),
+m AS (SELECT o_orderkey AS message_id, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD', 'NONE'][o_orderkey % 6 + 1] AS topic, o_orderkey % 60 AS moment FROM orders)
+SELECT subscriber, count(*) AS n, CAST(sum(message_id) AS BIGINT) AS total FROM m JOIN s ON s.channel = m.topic AND since <= moment AND (until IS NULL OR moment < until) GROUP BY 1""")
+def pubsub_delivery(spark: SparkSession, d: str) -> DataFrame:
+    """Orders stand for messages on the market segments' channels, customers for subscribers."""
+    k = F.col("c_custkey")
+    subscriptions = table(spark, d, "customer").select(F.col("c_mktsegment").alias("channel"), k.alias("subscriber"), (k % 50).alias("since"), F.when(k % 3 == 0, k % 50 + 20).alias("until"))
+    topics = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD", "NONE")])
+    messages = table(spark, d, "orders").select(F.col("o_orderkey").alias("message_id"), F.get(topics, (F.col("o_orderkey") % 6).cast("int")).alias("topic"), (F.col("o_orderkey") % 60).alias("at"))
+    return stateful.published(messages, subscriptions, "topic", "at").groupBy("subscriber").agg(F.count("*").alias("n"), F.sum("message_id").alias("total"))
+
+
+@query("SELECT event_id AS message_id, event_id % 5 AS attempts, CASE WHEN event_id % 5 >= 3 THEN 'dead' ELSE 'open' END AS state FROM events WHERE NOT (event_id % 5 > 0 AND event_id % 2 = 0)")
+def group_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Every message was tried event_id % 5 times; the last attempt of even ones succeeded."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("message_id"), F.col("event_type").alias("stream"))
+    tried = e.where("message_id % 5 > 0").select("message_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("message_id") % 5)).alias("i"))
+    acks = tried.select("message_id", ((F.col("i") == F.col("message_id") % 5) & (F.col("message_id") % 2 == 0)).alias("succeeded"))
+    still, dead = stateful.consumer_group(e, acks, "stream", "message_id", 4)
+    return still.select("message_id", "attempts", F.lit("open").alias("state")).unionByName(dead.select("message_id", "attempts", F.lit("dead").alias("state")))

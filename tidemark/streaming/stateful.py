@@ -155,6 +155,29 @@ def pending(deliveries: DataFrame, acks: DataFrame, now: Column, idle: str = "IN
     return last.join(acks.select("message_id"), "message_id", "left_anti").where(F.col("delivered_at") <= now - F.expr(idle))
 
 
+def published(messages: DataFrame, subscriptions: DataFrame, channel: str, at: str) -> DataFrame:
+    """messages with subscriber: each goes to everyone who listens to its channel at its time (since <= at, and at < until if there is one).
+
+    What is published while nobody listens is lost.  subscriptions: channel, subscriber, since, until.
+    A stream of messages joins a table of subscriptions alike.
+    """
+    told = subscriptions.select(F.col("channel").alias("_channel"), "subscriber", "since", "until")
+    joined = messages.join(told, messages[channel] == told["_channel"])
+    return joined.where((F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col(at) < F.col("until")))).drop("_channel", "since", "until")
+
+
+def consumer_group(messages: DataFrame, acks: DataFrame, stream: str, number: str, members: int, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(open, dead): what a group's members have still to work on, each message at one member, and what failed too often.
+
+    A message is done once an attempt succeeded: acks(message, succeeded) has a row per attempt.  A
+    member is chosen by the message's hash, so a message that comes again comes to the same one.
+    """
+    told = acks.groupBy(F.col(number)).agg(F.max(F.col("succeeded").cast("int")).alias("_done"), F.count("*").alias("attempts"))
+    state = messages.join(told, number, "left").withColumn("attempts", F.coalesce("attempts", F.lit(0))).where(F.coalesce("_done", F.lit(0)) == 0).drop("_done")
+    member = F.pmod(F.xxhash64(stream, number), F.lit(members)).cast("int")
+    return state.where(F.col("attempts") < attempts).withColumn("member", member), state.where(F.col("attempts") >= attempts)
+
+
 def trim(messages: DataFrame, stream_col: str, order: str, keep: int = 10_000) -> DataFrame:
     """The latest ``keep`` messages of each stream."""
     n = F.row_number().over(Window.partitionBy(stream_col).orderBy(F.desc(order)))
