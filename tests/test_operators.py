@@ -117,15 +117,17 @@ def test_evidence_dedup_is_greedy(spark):
     random.seed(3)
     rows = [(q, p, p, "".join(random.choice("abcd ") for _ in range(random.randint(0, 12))), random.random(), [random.choice(["bm25", "vector"])]) for q in range(8) for p in range(12)]
     df = spark.createDataFrame(rows, "q int, pos int, chunk_id int, content string, score double, channels array<string>")
-    for r in evidence.deduplicate(df, ["q"]).collect():
+    got = evidence.deduplicate(df, ["q"]).collect()
+    for q in range(8):
         kept = []
-        for _, p, _, text, score, ch in [x for x in rows if x[0] == r.q]:
+        for _, p, _, text, score, ch in [x for x in rows if x[0] == q]:
             hit = next((k for k in kept if _alike(k[1], text) >= 0.85), None)
             if hit:
                 hit[2], hit[3] = max(hit[2], score), list(dict.fromkeys(hit[3] + ch))
             else:
                 kept.append([p, text, score, list(ch)])
-        assert [(k.pos, k.score, k.channels) for k in r.kept] == [(p, s, c) for p, _, s, c in kept]
+        assert sorted((k.pos, k.chunk_id, k.score, k.channels) for k in got if k.q == q) == [(p, p, s, c) for p, _, s, c in kept]
+    assert evidence.deduplicate(df.limit(0), ["q"]).count() == 0
 
 
 def test_similarities(spark):

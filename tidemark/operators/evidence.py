@@ -7,58 +7,61 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.similarity import multiset, normalized
+from tidemark.session import checkpointed
 
 
 def raw_score(rerank: Column, fused: Column) -> Column:
     return F.when(rerank >= 0, rerank).otherwise(fused)
 
 
-def char_shares(text: Column) -> Column:
-    """Map from character to count, of the text without spaces and in lower case."""
-    chars = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")), ""), lambda c: c != "")
-    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda x: x == c)))))
+def alike_pairs(evidence: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys, a, b, similarity (by shared characters) of the evidence(keys, pos, content) a before b that is at least so much alike.
 
-
-def _alike(a: Column, b: Column) -> Column:
-    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda s, x: s + x)
-    shared = F.aggregate(F.map_entries(a), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
-    both = total(a) + total(b)
-    return F.when(both == 0, 1.0).otherwise(2.0 * shared / F.when(both > 0, both))
+    Texts meet only where their lengths allow it: lengths are cut into bands so wide that texts alike
+    enough lie in one band or in neighbouring ones.
+    """
+    size = F.length(normalized(F.coalesce("content", F.lit(""))))
+    reach = (2 - least) / least + 1e-6  # the longest text that may be as alike, by the shorter one's length
+    band = F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(math.log(reach))).cast("long")
+    e = evidence.select(*keys, "pos", "content", size.alias("_n"), band.alias("_band"))
+    one = e.select(*keys, F.col("pos").alias("a"), F.col("content").alias("x"), F.col("_n").alias("_na"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    other = e.select(*keys, F.col("pos").alias("b"), F.col("content").alias("y"), F.col("_n").alias("_nb"), "_band")
+    pairs = one.join(other, [*keys, "_band"]).where("a < b").where(2 * F.least("_na", "_nb") >= (least - 1e-6) * (F.col("_na") + F.col("_nb"))).drop("_band", "_na", "_nb")
+    return multiset(pairs, [*keys, "a", "b"], "x", "y").where(F.col("similarity") >= least - 1e-6)
 
 
 def deduplicate(evidence: DataFrame, keys: list[str], threshold: float = 0.85) -> DataFrame:
-    """keys and kept: evidence in order (pos), each compared with what was kept before it.
+    """keys, pos, chunk_id, score, channels of the evidence that is kept: in order (pos), each compared with what was kept before it.
 
-    One that is at least ``threshold`` like a kept one merges into the first such: the larger score
-    and the union of channels stay.  A fold over an ordered array: a query has a few dozen at most.
+    One that is at least ``threshold`` like a kept one merges into the first such: the largest score
+    and the union of channels stay.  Rounds over all keys at once: what has no undecided neighbour
+    before it is kept, what is like something kept is merged.  keys and pos name a row.
     """
-    item = F.struct("pos", "chunk_id", F.col("score").cast("double").alias("score"), F.array_distinct("channels").alias("channels"), char_shares(F.col("content")).alias("chars"))
-    lists = evidence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), item.alias("e"))), lambda x, y: F.when(x["p"] < y["p"], -1).when(x["p"] > y["p"], 1).otherwise(0)).alias("l"))
-
-    def step(kept: Column, x: Column) -> Column:
-        e = x["e"]
-        place = F.array_position(F.transform(kept, lambda k: _alike(k["chars"], e["chars"]) >= threshold), F.lit(True))
-        merged = F.transform(kept, lambda k, i: F.when(i + 1 == place, F.struct(k["pos"].alias("pos"), k["chunk_id"].alias("chunk_id"), F.greatest(k["score"], e["score"]).alias("score"), F.array_union(k["channels"], e["channels"]).alias("channels"), k["chars"].alias("chars"))).otherwise(k))
-        return F.when(place > 0, merged).otherwise(F.concat(kept, F.array(e)))
-
-    kept = F.aggregate("l", F.filter(F.transform("l", lambda x: x["e"]), lambda e: F.lit(False)), step)
-    return lists.select(*keys, F.transform(kept, lambda k: F.struct(k["pos"].alias("pos"), k["chunk_id"].alias("chunk_id"), k["score"].alias("score"), k["channels"].alias("channels"))).alias("kept"))
+    item = evidence.select(*keys, "pos", "chunk_id", F.col("score").cast("double").alias("score"), "channels", "content")
+    edges = checkpointed(alike_pairs(item, keys, threshold).where(F.col("similarity") >= threshold).select(*keys, "a", "b"))
+    undecided, kept = checkpointed(item.select(*keys, "pos")), None
+    as_ = lambda df, name: df.withColumnRenamed("pos", name)
+    while not undecided.isEmpty():
+        live = edges.join(as_(undecided, "a"), [*keys, "a"], "left_semi").join(as_(undecided, "b"), [*keys, "b"], "left_semi")
+        new = undecided.join(live.select(*keys, F.col("b").alias("pos")), [*keys, "pos"], "left_anti")
+        gone = live.join(as_(new, "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("pos"))
+        new = checkpointed(new)
+        kept = new if kept is None else kept.unionByName(new)
+        undecided = checkpointed(undecided.join(new, [*keys, "pos"], "left_anti").join(gone, [*keys, "pos"], "left_anti"))
+    if kept is None:
+        return item.drop("content")
+    into = edges.join(as_(kept, "a"), [*keys, "a"], "left_semi").join(as_(kept, "b"), [*keys, "b"], "left_anti").groupBy(*keys, "b").agg(F.min("a").alias("_into"))
+    placed = item.drop("content").join(into.withColumnRenamed("b", "pos"), [*keys, "pos"], "left").withColumn("_into", F.coalesce("_into", "pos"))
+    listed = placed.select(*keys, "_into", "pos", F.posexplode_outer("channels").alias("_i", "_c")).groupBy(*keys, "_into", "_c").agg(F.min(F.struct("pos", "_i")).alias("_at"))
+    channels = listed.groupBy(*keys, "_into").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_c").isNotNull(), F.struct("_at", "_c")))), lambda x: x["_c"]).alias("channels"))
+    scores = placed.groupBy(*keys, "_into").agg(F.max("score").alias("score"), F.min_by("chunk_id", "pos").alias("chunk_id"))
+    return scores.join(channels, [*keys, "_into"]).select(*keys, F.col("_into").alias("pos"), "chunk_id", "score", "channels")
 
 
 def conflict_pairs(evidence: DataFrame, key: str, least: float = 0.5, most: int = 10) -> DataFrame:
-    """key, a, b, similarity: pairs of a query's evidence that are alike enough, the most alike ``most`` of each query.
-
-    Texts meet only where their lengths allow it: lengths are cut into bands so wide that texts alike
-    enough lie in one band or in neighbouring ones.
-    """
-    size = F.length(normalized(F.col("content")))
-    reach = (2 - least) / least + 1e-6  # the longest text that may be as alike, by the shorter one's length
-    band = F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(math.log(reach) if reach > 1 else 1e-6)).cast("long")
-    e = evidence.where("trim(content) <> ''").select(key, "pos", "content", size.alias("_n"), band.alias("_band"))
-    one = e.select(key, F.col("pos").alias("a"), F.col("content").alias("x"), F.col("_n").alias("_na"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
-    other = e.select(key, F.col("pos").alias("b"), F.col("content").alias("y"), F.col("_n").alias("_nb"), "_band")
-    pairs = one.join(other, [key, "_band"]).where("a < b").where(2 * F.least("_na", "_nb") >= (least - 1e-6) * (F.col("_na") + F.col("_nb"))).drop("_band", "_na", "_nb")
-    scored = multiset(pairs, [key, "a", "b"], "x", "y").withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= least)
+    """key, a, b, similarity: pairs of a query's evidence that are alike enough, the most alike ``most`` of each query; blank texts aside."""
+    pairs = alike_pairs(evidence.where("trim(content) <> ''"), [key], least)
+    scored = pairs.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= least)
     w = Window.partitionBy(key).orderBy(F.desc("similarity"), "a", "b")
     return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 

@@ -129,9 +129,23 @@ def evidence_pairs(spark: SparkSession, d: str) -> DataFrame:
     return evidence.conflict_pairs(_evidence(spark, d), "query_id")
 
 
-@query(None)
+#: A turn's length, score and channel, and the characters that two turns share.
+_EVIDENCE = r"""et AS (SELECT conv_id AS query_id, turn AS pos, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS t, (length(text) % 100) / 100.0::DOUBLE AS score, CASE WHEN turn % 2 = 0 THEN 'bm25' ELSE 'vector' END AS channel FROM conversations),
+ev AS (SELECT query_id, pos, length(t) AS n, score, channel FROM et), ec AS (SELECT query_id, pos, ch, count(*) AS n FROM (SELECT query_id, pos, unnest(string_split(t, '')) AS ch FROM et WHERE t <> '') GROUP BY ALL),
+sh AS (SELECT x.query_id, x.pos AS a, y.pos AS b, sum(least(x.n, y.n)) AS n FROM ec x JOIN ec y ON x.query_id = y.query_id AND x.ch = y.ch AND x.pos < y.pos GROUP BY ALL)"""
+
+
+@query("""WITH RECURSIVE EVIDENCE_CTES,
+near AS (SELECT x.query_id, y.pos AS i, coalesce(list(x.pos) FILTER (WHERE x.pos < y.pos AND CASE WHEN x.n + y.n = 0 THEN true ELSE 2.0::DOUBLE * coalesce(s.n, 0) / (x.n + y.n) >= 0.85::DOUBLE END), []) AS before, any_value(y.score) AS score, any_value(y.channel) AS channel
+  FROM ev y JOIN ev x ON x.query_id = y.query_id LEFT JOIN sh s ON s.query_id = y.query_id AND s.a = x.pos AND s.b = y.pos GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM near),
+w(query_id, r, kept) AS (SELECT query_id, r, [i] FROM o WHERE r = 1 UNION ALL SELECT o.query_id, o.r, CASE WHEN list_has_any(w.kept, o.before) THEN w.kept ELSE list_append(w.kept, o.i) END FROM w JOIN o ON o.query_id = w.query_id AND o.r = w.r + 1),
+f AS (SELECT query_id, max_by(kept, r) AS kept FROM w GROUP BY 1),
+p AS (SELECT o.query_id, o.i, score, channel, CASE WHEN list_contains(kept, o.i) THEN o.i ELSE list_min(list_intersect(before, kept)) END AS pos FROM o JOIN f USING (query_id)),
+c AS (SELECT query_id, pos, channel, min(i) AS i FROM p GROUP BY 1, 2, 3), l AS (SELECT query_id, pos, string_agg(channel, ',' ORDER BY i) AS channels FROM c GROUP BY 1, 2)
+SELECT query_id, pos, max(score) AS score, any_value(channels) AS channels FROM p JOIN l USING (query_id, pos) GROUP BY 1, 2""".replace("EVIDENCE_CTES", _EVIDENCE))
 def evidence_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.deduplicate(_evidence(spark, d), ["query_id"]).select("query_id", F.explode("kept").alias("k")).select("query_id", "k.pos", "k.score", F.array_join("k.channels", ",").alias("channels"))
+    return evidence.deduplicate(_evidence(spark, d), ["query_id"]).select("query_id", "pos", "score", F.array_join("channels", ",").alias("channels"))
 
 
 @query("""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, greatest(max(value) / 100, 0) AS top, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 1.0 ELSE 0.0 END AS cover, bool_or(event_type = 'error') AS conflicts, user_id % 3 = 0 AS products FROM events GROUP BY user_id, CAST(ts AS DATE)),
