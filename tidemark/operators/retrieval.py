@@ -80,7 +80,8 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     asked = checkpointed(queries.select("query_id", F.explode(F.array_distinct(hashed(tokens(F.col("query"))))).alias("term")).distinct())
     length = F.xxhash64(F.lit(""))  # the empty word is in no text: its posting stands for the text itself
     terms = asked.select("term").union(spark.range(1).select(length)).distinct()
-    words = docs.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("words"))
+    # As the one row of an explode the words are made once; a projection would be made again wherever it is used.
+    words = docs.select(F.col(id_col).alias("chunk_id"), F.explode(F.array(tokens(F.col(text_col)))).alias("words"))
     posted = words.select("chunk_id", F.size("words").alias("len"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("word")).select("chunk_id", "len", F.xxhash64("word").alias("term"))
     postings = checkpointed(posted.join(terms, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf")))
     texts = postings.where(F.col("term") == length)
