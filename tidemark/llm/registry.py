@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, lm, minhash, mixing, negatives, pieces, quality, simhash, substrings, topk, warc
+from . import alignment, licenses, lines, lm, minhash, mixing, negatives, pieces, quality, simhash, substrings, topk, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_line_dedup": lines.op13_line_dedup,
 }
