@@ -789,3 +789,51 @@ def test_pipeline_stage_by_stage(spark):
     assert coded.count() == mixed.count() and all(r.round_trip for r in coded.select("round_trip").collect())
     for df in (good, single, cut):
         assert df.columns == docs.columns
+
+
+# Columns of the documents that are named like those that stages work with, empty templates, crowded texts
+
+
+def test_stage_columns_may_have_any_names(spark):
+    from tidemark.llm.minhash import keep_one_of_each
+    from tidemark.llm.quality import fit_quality, keep_good
+    from tidemark.llm.substrings import keep_first_passages
+
+    names = ["_key", "_name", "_source", "_parts", "_cdf", "_mean", "_gone", "_row", "row", "id", "name", "of", "parts", "mean", "cdf", "u", "gone", "kept", "class", "score", "predicted", "label", "words", "segment", "chars", "weight"]
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, text if i < 3 else f"{text} {i} " * 2, "a" if i % 2 else "b") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(names)])
+    plain = df.select("doc_id", "text", "source")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    model = fit_quality(plain, labels)
+    for stage in (keep_one_of_each, keep_first_passages, lambda d: keep_good(d, model), lambda d: mixing.mix_sources(d).drop("rate", "n_copies", "copy_no", "shuffle_key")):
+        got = stage(df)
+        assert got.columns == df.columns
+        assert sorted(map(str, got.select("doc_id", "text", "source").collect())) == sorted(map(str, stage(plain).collect()))
+        assert all(r[c] == f"x{i}" for r in got.collect() for i, c in enumerate(names))
+
+
+def test_license_no_templates_match_nothing(spark):
+    docs = table(spark, [(1, next(iter(licenses.TEMPLATES.values())))])
+    none = spark.createDataFrame([], "license string, text string")
+    assert licenses.scan_licenses(docs, none).count() == 0 and licenses.scan_licenses(docs, {}).count() == 0
+    assert licenses.scan_licenses(docs).count() > 0
+
+
+def test_license_matches_inside_better_ones():
+    r = random.Random(12)
+    for _ in range(200):
+        found = [(r.randint(1, 6), r.randint(0, 2), lo := r.randint(0, 30), lo + r.randint(1, 12)) for _ in range(r.randint(0, 25))]
+        found = sorted(set(found), key=lambda x: (-x[0], x[2], x[1]))
+        taken = []
+        for x in found:
+            if not any(y[2] <= x[2] and x[3] <= y[3] for y in taken):
+                taken.append(x)
+        assert licenses.outermost(found) == taken
+
+
+def test_license_thousands_of_notices_in_one_text(spark):
+    notice = "this notice of eleven words is found again and again here"
+    text = "\n".join(f"{notice} {i}" for i in range(20_000))
+    got = licenses.scan_licenses(table(spark, [(1, text)]), {"N": notice}).collect()
+    assert len(got) == 20_000 and all(text[r.start_char : r.end_char] == notice for r in got)

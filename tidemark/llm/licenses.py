@@ -118,6 +118,8 @@ class Index:
             spot = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             at = np.repeat(at, n)
             hits.append((w.doc[at], owners[spot], at - places[spot]))
+        if not hits:  # no templates
+            return []
         row, owner, begin = (np.concatenate(x) for x in zip(*hits, strict=True))
         order = np.lexsort((begin, owner, row))
         row, owner, begin = row[order], owner[order], begin[order]
@@ -165,6 +167,35 @@ def align(template: np.ndarray, piece: np.ndarray, shift: int, band: int = BAND)
     return best[1:]
 
 
+def outermost(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of (n, template, lo, hi), best first, those that no better one contains.
+
+    By ascending lo, with a tree of the best rank at or beyond each hi: n log n, however many there are.
+    """
+    his = sorted({x[3] for x in found}, reverse=True)
+    place = {hi: i + 1 for i, hi in enumerate(his)}
+    best = [len(found)] * (len(his) + 1)
+    kept, i = [], 0
+    by = sorted(range(len(found)), key=lambda r: found[r][2])
+    while i < len(by):
+        j = i
+        while j < len(by) and found[by[j]][2] == found[by[i]][2]:
+            at = place[found[by[j]][3]]
+            while at < len(best):
+                best[at] = min(best[at], by[j])
+                at += at & -at
+            j += 1
+        for r in by[i:j]:
+            at, least = place[found[r][3]], len(found)
+            while at:
+                least = min(least, best[at])
+                at -= at & -at
+            if least >= r:
+                kept.append(r)
+        i = j
+    return [found[r] for r in sorted(kept)]
+
+
 def matches(index: Index, w: Words, aligned, coverage: float) -> list[tuple[int, str, float, int, int, int]]:
     """(row, template, coverage, matched words, first byte, end byte) in a slice; a match inside a larger one is left out."""
     by_row: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -178,11 +209,8 @@ def matches(index: Index, w: Words, aligned, coverage: float) -> list[tuple[int,
             by_row.setdefault(row, []).append((n, t, a + lo, a + hi))
     out = []
     for row, found in sorted(by_row.items()):
-        taken: list[tuple[int, int]] = []
-        for n, t, lo, hi in sorted(set(found), key=lambda x: (-x[0], x[2], x[1])):
-            if not any(p <= lo and hi <= q for p, q in taken):
-                taken.append((lo, hi))
-                out.append((row, index.names[t], n / len(index.words[t]), n, int(w.start[lo]), int(w.end[hi - 1])))
+        for n, t, lo, hi in outermost(sorted(set(found), key=lambda x: (-x[0], x[2], x[1]))):
+            out.append((row, index.names[t], n / len(index.words[t]), n, int(w.start[lo]), int(w.end[hi - 1])))
     return out
 
 
@@ -194,10 +222,11 @@ def _scanner(templates: dict[str, str], coverage: float):
             at, rows = 0, []
             texts = b.column(1).fill_null("")
             for w in split(_plain(texts), lower=False):
-                for row, name, share, n, lo, hi in matches(index, w, aligned, coverage):
-                    raw = texts[at + row].as_py().encode()
-                    begin = int(w.bounds[row])
-                    rows.append((at + row, name, share, n, len(raw[: lo - begin].decode()), len(raw[: hi - begin].decode())))
+                found = matches(index, w, aligned, coverage)
+                chars = np.concatenate([[0], np.cumsum((w.raw & 0xC0) != 0x80)]) if found else []
+                for row, name, share, n, lo, hi in found:
+                    begin = chars[w.bounds[row]]
+                    rows.append((at + row, name, share, n, int(chars[lo] - begin), int(chars[hi] - begin)))
                 at += w.n_docs
             ids = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             types = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
@@ -223,7 +252,7 @@ def templates_of(rows: DataFrame) -> dict[str, str]:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, coverage, matched_words, start_char, end_char: a row per match in the whole texts.
 
-    templates: by name, or a table license, text.  coverage is the share of the template's words that the alignment matches.  A text may match
+    templates: by name, or a table license, text; None: the library's own; none at all match nothing.  coverage is the share of the template's words that the alignment matches.  A text may match
     several templates, and one several times; a match inside a larger one is left out.  With at most
     as many edits (a word lost, replaced or put in) as words may be lost, a notice shares an indexed
     run.  Missed can be one with more words put in than that, or with words that lie more than the
@@ -233,7 +262,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None
     kind = dict(docs.dtypes)[id_col]
     if isinstance(templates, DataFrame):
         templates = templates_of(templates)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanner(templates or TEMPLATES, coverage), f"doc_id {kind}, license string, coverage double, matched_words long, start_char long, end_char long")
+    templates = TEMPLATES if templates is None else templates
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanner(templates, coverage), f"doc_id {kind}, license string, coverage double, matched_words long, start_char long, end_char long")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

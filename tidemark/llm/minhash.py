@@ -245,9 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns."""
-    gone = near_duplicates(docs, id_col, **how).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs that near_duplicates keeps, with all their columns, whatever their names."""
+    gone = near_duplicates(docs, id_col, **how).where("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).join(gone, "id", "left_anti").select("row.*")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,16 +46,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     docs = docs.drop(*[c for c in new if c in docs.columns])
     rates = written(source_rates(docs, weights, source_col, text_col, scale), "rates")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / _LARGE)).cast("int")
-    drawn = rates.withColumn("_parts", parts).withColumn("_mean", F.col("rate") / F.col("_parts"))
-    steps = F.sequence(F.lit(1), (F.col("_mean") + 12 * F.sqrt("_mean") + 40).cast("int"))
-    zero = F.exp(-F.col("_mean"))
+    drawn = rates.withColumn("parts", parts).withColumn("mean", F.col("rate") / F.col("parts"))
+    steps = F.sequence(F.lit(1), (F.col("mean") + 12 * F.sqrt("mean") + 40).cast("int"))
+    zero = F.exp(-F.col("mean"))
     terms = F.aggregate(
         steps,
         F.struct(zero.alias("p"), F.array(zero).alias("c")),
-        lambda s, k: F.struct((s["p"] * F.col("_mean") / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * F.col("_mean") / k)).alias("c")),
+        lambda s, k: F.struct((s["p"] * F.col("mean") / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * F.col("mean") / k)).alias("c")),
         lambda s: s["c"],
     )
-    drawn = written(drawn.select(F.col("source").alias("_source"), "rate", "_parts", terms.alias("_cdf")), "cdf")
+    drawn = written(drawn.select(F.col("source").alias("of"), "rate", "parts", terms.alias("cdf")), "cdf")
     if drawn.count() <= BROADCAST_SOURCES:
         drawn = F.broadcast(drawn)
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
@@ -65,16 +65,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
 
     def inverted(u: Column) -> Column:
         """The count whose share of the distribution holds u."""
-        return F.size(F.filter("_cdf", lambda c: c <= u / F.lit(float(1 << 52))))
+        return F.size(F.filter("cdf", lambda c: c <= u / F.lit(float(1 << 52))))
 
-    named = docs.select("*", name.alias("_name"), F.col(source_col).alias("_key"))
-    rows = named.join(drawn, F.col("_key").eqNullSafe(F.col("_source")))
-    more = F.transform(F.sequence(F.lit(2), F.greatest("_parts", F.lit(2))), lambda i: F.when(i <= F.col("_parts"), inverted(hashed(F.col("_name"), F.lit("part"), i.cast("string")))).otherwise(0))
-    count = inverted(hashed(F.col("_name"))) + F.when(F.col("_parts") > 1, F.aggregate(more, F.lit(0), lambda a, b: a + b)).otherwise(0)
+    # The row's own columns lie in one struct, so that none of them can clash with those made here.
+    named = docs.select(F.struct("*").alias("row"), name.alias("name"), F.col(source_col).alias("source"))
+    rows = named.join(drawn, F.col("source").eqNullSafe(F.col("of")))
+    more = F.transform(F.sequence(F.lit(2), F.greatest("parts", F.lit(2))), lambda i: F.when(i <= F.col("parts"), inverted(hashed(F.col("name"), F.lit("part"), i.cast("string")))).otherwise(0))
+    count = inverted(hashed(F.col("name"))) + F.when(F.col("parts") > 1, F.aggregate(more, F.lit(0), lambda a, b: a + b)).otherwise(0)
     rows = rows.withColumn("n_copies", count.cast("long"))
     copies = rows.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    keyed = copies.withColumn("shuffle_key", hashed(F.col("_name"), F.col("copy_no").cast("string")))
-    return keyed.select(*docs.columns, *new).repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
+    keyed = copies.withColumn("shuffle_key", hashed(F.col("name"), F.col("copy_no").cast("string")))
+    return keyed.select("row.*", *new).repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
