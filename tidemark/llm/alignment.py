@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The pre-tokenizer's pattern of byte-level models of this kind (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SLICE = 4 << 20  # bytes of texts that are aligned at once
-_LINKS = 1 << 21  # links in one row of the slices' table
+_SLICE = 1 << 20  # characters of texts that are aligned at once
+_LINKS = 1 << 20  # links in one row of the slices' table
 _PLAIN = 1 << 18  # longer texts go to the model file's own tokenizer, whose stack does not grow with them
 
 
@@ -39,10 +40,8 @@ class ByteTokens:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
@@ -54,6 +53,14 @@ class ByteTokens:
         ranks = {b: i for b, i in vocabulary.items() if i not in specials}
         self.quick = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.path)
+        slow.encode_special_tokens = True
+        return slow
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [self.quick.encode_ordinary(t) if len(t) <= _PLAIN else self.slow.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts]
 
