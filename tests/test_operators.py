@@ -287,3 +287,10 @@ def test_idempotency_of_a_hot_key_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted((x.k, x.id) for x in got) == sorted(want)
+
+
+def test_evidence_dedup_with_null_keys_and_positions(spark):
+    rows = [(None, 1, 10, 0.5, ["a"], "the same words here"), (None, 2, 11, 0.9, ["b"], "the same words here"), (1, None, 12, 0.1, ["c"], "the same words here"), (1, 3, 13, 0.2, None, "the same words here"), (1, 4, 14, 0.3, ["d"], None), (2, None, 15, 0.4, [], "")]
+    df = spark.createDataFrame(rows, "q int, pos int, chunk_id int, score double, channels array<string>, content string")
+    got = {(r.q, r.pos): (r.chunk_id, r.score, r.channels) for r in evidence.deduplicate(df, ["q"]).collect()}
+    assert got == {(None, 1): (10, 0.9, ["a", "b"]), (1, 3): (13, 0.2, ["c"]), (1, 4): (14, 0.3, ["d"]), (2, None): (15, 0.4, [])}

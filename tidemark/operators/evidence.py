@@ -35,27 +35,32 @@ def deduplicate(evidence: DataFrame, keys: list[str], threshold: float = 0.85) -
 
     One that is at least ``threshold`` like a kept one merges into the first such: the largest score
     and the union of channels stay.  Rounds over all keys at once: what has no undecided neighbour
-    before it is kept, what is like something kept is merged.  keys and pos name a row.
+    before it is kept, what is like something kept is merged.  keys and pos name a row: rows that
+    share both are one.  A null key is a key of its own, a row without a pos comes after all others
+    of its key, and null contents count as empty.
     """
-    item = evidence.select(*keys, "pos", "chunk_id", F.col("score").cast("double").alias("score"), "channels", "content")
-    edges = checkpointed(alike_pairs(item, keys, threshold).where(F.col("similarity") >= threshold).select(*keys, "a", "b"))
-    undecided, kept = checkpointed(item.select(*keys, "pos")), None
+    # Structs are never null themselves, so that rows with a null key or pos meet in joins like all others.
+    pos = F.struct(F.col("pos").isNull().alias("none"), F.col("pos").alias("pos"))
+    item = evidence.select(F.struct(*keys).alias("_g"), pos.alias("pos"), "chunk_id", F.col("score").cast("double").alias("score"), "channels", "content")
+    g = ["_g"]
+    edges = checkpointed(alike_pairs(item, g, threshold).where(F.col("similarity") >= threshold).select("_g", "a", "b"))
+    undecided, kept = checkpointed(item.select("_g", "pos").distinct()), None
     as_ = lambda df, name: df.withColumnRenamed("pos", name)
     while not undecided.isEmpty():
-        live = edges.join(as_(undecided, "a"), [*keys, "a"], "left_semi").join(as_(undecided, "b"), [*keys, "b"], "left_semi")
-        new = undecided.join(live.select(*keys, F.col("b").alias("pos")), [*keys, "pos"], "left_anti")
-        gone = live.join(as_(new, "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("pos"))
-        new = checkpointed(new)
+        live = edges.join(as_(undecided, "a"), ["_g", "a"], "left_semi").join(as_(undecided, "b"), ["_g", "b"], "left_semi")
+        new = checkpointed(undecided.join(live.select("_g", F.col("b").alias("pos")), ["_g", "pos"], "left_anti"))
+        gone = live.join(as_(new, "a"), ["_g", "a"], "left_semi").select("_g", F.col("b").alias("pos"))
         kept = new if kept is None else kept.unionByName(new)
-        undecided = checkpointed(undecided.join(new, [*keys, "pos"], "left_anti").join(gone, [*keys, "pos"], "left_anti"))
+        undecided = checkpointed(undecided.join(new, ["_g", "pos"], "left_anti").join(gone, ["_g", "pos"], "left_anti"))
+    named = [F.col(f"_g.{k}").alias(k) for k in keys]
     if kept is None:
-        return item.drop("content")
-    into = edges.join(as_(kept, "a"), [*keys, "a"], "left_semi").join(as_(kept, "b"), [*keys, "b"], "left_anti").groupBy(*keys, "b").agg(F.min("a").alias("_into"))
-    placed = item.drop("content").join(into.withColumnRenamed("b", "pos"), [*keys, "pos"], "left").withColumn("_into", F.coalesce("_into", "pos"))
-    listed = placed.select(*keys, "_into", "pos", F.posexplode_outer("channels").alias("_i", "_c")).groupBy(*keys, "_into", "_c").agg(F.min(F.struct("pos", "_i")).alias("_at"))
-    channels = listed.groupBy(*keys, "_into").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_c").isNotNull(), F.struct("_at", "_c")))), lambda x: x["_c"]).alias("channels"))
-    scores = placed.groupBy(*keys, "_into").agg(F.max("score").alias("score"), F.min_by("chunk_id", "pos").alias("chunk_id"))
-    return scores.join(channels, [*keys, "_into"]).select(*keys, F.col("_into").alias("pos"), "chunk_id", "score", "channels")
+        return item.select(*named, "pos.pos", "chunk_id", "score", "channels")
+    into = edges.join(as_(kept, "a"), ["_g", "a"], "left_semi").join(as_(kept, "b"), ["_g", "b"], "left_anti").groupBy("_g", "b").agg(F.min("a").alias("_into"))
+    placed = item.drop("content").join(into.withColumnRenamed("b", "pos"), ["_g", "pos"], "left").withColumn("_into", F.coalesce("_into", "pos"))
+    listed = placed.select("_g", "_into", "pos", F.posexplode_outer("channels").alias("_i", "_c")).groupBy("_g", "_into", "_c").agg(F.min(F.struct("pos", "_i")).alias("_at"))
+    channels = listed.groupBy("_g", "_into").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_c").isNotNull(), F.struct("_at", "_c")))), lambda x: x["_c"]).alias("channels"))
+    scores = placed.groupBy("_g", "_into").agg(F.max("score").alias("score"), F.min_by("chunk_id", "pos").alias("chunk_id"))
+    return scores.join(channels, ["_g", "_into"]).select(*named, F.col("_into.pos").alias("pos"), "chunk_id", "score", "channels")
 
 
 def conflict_pairs(evidence: DataFrame, key: str, least: float = 0.5, most: int = 10) -> DataFrame:

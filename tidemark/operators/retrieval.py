@@ -19,10 +19,22 @@ ASKED = 1_000_000
 TEXTS, QUESTIONS = 2048, 1024
 
 
-def _block_scorer(asked):
-    """Rows (block, chunk_id, term, part), a block's rows together -> (query, chunk_id, score) of the k best of each block, and what is about as good.
-
-    asked: broadcast (terms sorted, their queries' numbers, their weights, number of queries, k).
+def k_best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest of each row, of equal ones the first."""
+    n, m = scores.shape
+    if m <= k:
+        return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    least = np.partition(scores, m - k, axis=1)[:, m - k]
+    above = scores > least[:, None]
+    tied = scores == least[:, None]
+    return np.nonzero(above | (tied & (np.cumsum(tied, 1) <= (k - above.sum(1))[:, None])))
+
+
+def _block_scorer(asked, by_id: bool):
+    """Rows (block, chunk_id, term, part), a block's rows together -> (query, chunk_id, score) of the k best of each block.
+
+    asked: broadcast (terms sorted, their queries' numbers, their weights, number of queries, k).  If
+    the numbers are not in the order of the ids (by_id), what ties with the k-th is given out as well.
     """
 
     def scored(chunk: np.ndarray, term: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -39,9 +51,14 @@ def _block_scorer(asked):
                 a, z = a + np.searchsorted(query[a:z], [first, first + QUESTIONS])
                 if a < z:
                     sums[(query[a:z] - first)[:, None], at[i:j]] += weight[a:z, None] * part[i:j]
-            least = np.partition(sums, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.zeros(len(sums))
-            q, d = np.nonzero((sums > 0) & (sums >= least[:, None] - 1e-6))  # scores are rounded later
-            yield q + first, ids[d], sums[q, d]
+            scores = np.where(sums > 0, np.round(sums, 6), -1.0)
+            if by_id:
+                q, d = k_best(scores, k)
+                q, d = q[scores[q, d] >= 0], d[scores[q, d] >= 0]
+            else:
+                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.zeros(len(sums))
+                q, d = np.nonzero((scores >= 0) & (scores >= least[:, None]))
+            yield q + first, ids[d], scores[q, d]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -105,7 +122,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         order = np.lexsort((query, rows["term"]))
         sent = spark.sparkContext.broadcast((rows["term"].to_numpy(np.int64)[order], query[order], rows["idf"].to_numpy(float)[order], len(ids), k))
         names = spark.createDataFrame([(n, x) for n, x in enumerate(ids.tolist())], "number long, query_id " + dict(weights.dtypes)["query_id"])
-        best = dealt.mapInArrow(_block_scorer(sent), "number long, chunk long, score double").join(names, "number")
+        best = dealt.mapInArrow(_block_scorer(sent, not number), "number long, chunk long, score double").join(names, "number")
         found = best if found is None else found.unionByName(best)
     found = found.select("query_id", F.col("chunk").alias("chunk_id"), F.round("score", 6).alias("score"))
     if number:
@@ -121,8 +138,7 @@ def ranked(scored: DataFrame, k: int, *more: Column) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = TEXTS, group: int = QUESTIONS) -> DataFrame:
     """query_id, chunk_id, score (cosine, six decimals), rank: exact, in blocks of vectors by groups of queries.
 
-    A block gives out only its k best for each query, and what is about as good.  Rows without a
-    vector take no part; a zero vector has similarity 0.  Ids keep their types.
+    A block gives out only its k best for each query.  Rows without a vector take no part; a zero vector has similarity 0.  Ids keep their types.
     """
     v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector_col).cast("array<double>").alias("v"))
     q = queries.where(F.col(vector_col).isNotNull()).select("query_id", F.col(vector_col).cast("array<double>").alias("v"))
@@ -134,12 +150,13 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: st
     def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):
             return pd.DataFrame({"query_id": wanted["query_id"][:0], "chunk_id": rows["chunk_id"][:0], "score": pd.Series(dtype="float64")})
+        rows = rows.sort_values("chunk_id")
         a, b = np.stack(rows["v"].to_numpy()), np.stack(wanted["v"].to_numpy())
         size = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None]
         sims = np.divide(b @ a.T, size, out=np.zeros(size.shape), where=size > 0)
-        least = np.partition(sims, len(a) - k, axis=1)[:, len(a) - k] if len(a) > k else np.full(len(b), -2.0)
-        i, j = np.nonzero(sims >= least[:, None] - 1e-6)  # scores are rounded below
-        return pd.DataFrame({"query_id": wanted["query_id"].to_numpy()[i], "chunk_id": rows["chunk_id"].to_numpy()[j], "score": np.round(sims[i, j], 6)})
+        sims = np.round(sims, 6)
+        i, j = k_best(sims, k)
+        return pd.DataFrame({"query_id": wanted["query_id"].to_numpy()[i], "chunk_id": rows["chunk_id"].to_numpy()[j], "score": sims[i, j]})
 
     found = held.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInPandas(search, f"query_id {dict(q.dtypes)['query_id']}, chunk_id {dict(v.dtypes)['chunk_id']}, score double")
     return ranked(found, k)

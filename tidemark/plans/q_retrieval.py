@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark.functions import text
 from tidemark.functions.text import trim
 from tidemark.operators import chunking, retrieval, windows
+from tidemark.operators.postings import Postings
+from tidemark.session import working_folder
 from tidemark.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -207,6 +209,40 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_top_k(_docs(spark, d), _questions(spark, d)).select("query_id", "chunk_id", "score", "rank")
 
 
+@query(f"WITH {_BM25} SELECT * FROM bm")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """bm25_topk from a kept index of all documents."""
+    index = Postings(spark, working_folder(spark, "postings"))
+    index.upsert(_docs(spark, d))
+    return index.search(_questions(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+def _changed(spark: SparkSession, d: str) -> Postings:
+    """An index of all documents, after a seventh of them got other texts, new ones came, and an eleventh was deleted."""
+    index, docs, k = Postings(spark, working_folder(spark, "postings")), _docs(spark, d), F.col("chunk_id")
+    index.upsert(docs)
+    again = docs.where(k % 7 == 0).withColumn("content", F.concat_ws(" ", "content", F.lit("und der die"), "content"))
+    index.upsert(again.unionByName(docs.where(k % 13 == 0).withColumn("chunk_id", k + 1_000_000_000)))
+    index.delete(docs.where(k % 11 == 0))
+    return index
+
+
+_CHANGED = """changed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat_ws(' ', text, 'und der die', text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0
+UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 13 = 0)"""
+
+
+@query(f"WITH {_CHANGED}, {_BM25.replace('FROM documents', 'FROM changed')} SELECT * FROM bm")
+def bm25_indexed_changed(spark: SparkSession, d: str) -> DataFrame:
+    return _changed(spark, d).search(_questions(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_CHANGED}, {_BM25.replace('FROM documents', 'FROM changed')} SELECT * FROM bm")
+def bm25_indexed_merged(spark: SparkSession, d: str) -> DataFrame:
+    index = _changed(spark, d)
+    index.merge()
+    return index.search(_questions(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
 @query(f"WITH {_VEC.format(q='(SELECT * FROM embeddings WHERE vec_id % 50 = 0)')} SELECT * FROM ve")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
