@@ -3,26 +3,30 @@
 Layout of an index folder; every table is written once and never changed:
 
   commits/version=V     the segments that are live from version V on
-  texts/segment=S       a row per block of up to ``TEXTS`` texts: block, ids (ascending), lens, n, total
+  texts/segment=S       a row per block of about ``TEXTS`` texts: block, ids (ascending), lens, n, total
   postings/segment=S/bucket=B
                         a row per term and block: term, block, max_tf, min_len, n, ords, tfs
   gone/version=V        segment, block, ords: texts that version V replaced or deleted, with their lengths
 
-A segment's texts are cut into blocks by length, so that a block's bound (its largest count at its
-least length) is near to its best score: a text's score grows with the count and falls with the
+A segment's texts lie in blocks with texts of about their length, so that a block's bound (its largest
+count at its least length) is near to its best score: a text's score grows with the count and falls with the
 length, whatever the mean length is by then.  A commit is the last thing that a change writes; a
 change that fails leaves files that no reader sees, and is simply run again.  There is one writer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.text import tokens
 from tidemark.operators.retrieval import K1, B, k_best, ranked
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, dropped, saved
 
 BUCKETS, TEXTS, GROUP = 64, 1024, 256
 #: Blocks with the best bounds, which a query reads first to learn what its k-th score is at least.
@@ -37,6 +41,100 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
 
 
+_COUNTED = "len int, terms array<long>, tfs array<int>"
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+
+
+def _per_text(text: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """terms and tfs of texts 0 .. n - 1, sums where a text's term repeats, terms ascending."""
+    by = np.lexsort((term, text))
+    text, term, tf = text[by], term[by], tf[by]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (term[1:] != term[:-1])])) if len(text) else np.empty(0, np.int64)
+    bounds = np.searchsorted(text[first], np.arange(n + 1))
+    return _lists(term[first], bounds, pa.int64()), _lists(np.add.reduceat(tf, first) if len(first) else tf, bounds, pa.int32())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id and words' hashes -> chunk_id and _COUNTED."""
+    for b in batches:
+        words = b.column(1)
+        size = pa.compute.list_value_length(words).to_numpy()
+        term = words.flatten().to_numpy()
+        terms, tfs = _per_text(np.repeat(np.arange(len(size)), size), term, np.ones(len(term), np.int64), len(size))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), terms, tfs], names=["chunk_id", "len", "terms", "tfs"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal first columns, as one batch."""
+    held, name = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(i).to_numpy() for i in range(keys)])
+        edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own = tuple(at[:, lo].tolist())
+            if held and own != name:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            name = own
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, chunk_id, len, terms, tfs, by block and id -> a row of the block's texts, and one for each of its terms."""
+    for b in _grouped(batches, 1):
+        n, lens = b.num_rows, b.column("len").to_numpy()
+        ord_ = np.repeat(np.arange(n), pa.compute.list_value_length(b.column("terms")).to_numpy())
+        term, tf = b.column("terms").flatten().to_numpy(), b.column("tfs").flatten().to_numpy()
+        by = np.argsort(term, kind="stable")
+        term, tf, ord_ = term[by], tf[by], ord_[by]
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
+        bounds = np.append(first, len(term))
+        m = len(first)
+        whole = lambda values, kind: pa.array([None, *values], kind)
+        ends = np.concatenate([[0, 0], bounds[1:]]) if m else np.array([0, 0])
+        some = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)] + [len(column)] * m, pa.int32()), column)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(m + 1, b.column("block")[0].as_py())),
+                whole(term[first].tolist(), pa.int64()),
+                whole(np.maximum.reduceat(tf, first).tolist() if m else [], pa.int32()),
+                whole(np.minimum.reduceat(lens[ord_], first).tolist() if m else [], pa.int32()),
+                pa.array([n, *np.diff(bounds).tolist()], pa.int64()),
+                pa.array([int(lens.sum()), *[0] * m], pa.int64()),
+                _lists(ord_, ends, pa.int32()),
+                _lists(tf, ends, pa.int32()),
+                some(b.column("chunk_id")),
+                some(b.column("len")),
+            ],
+            names=["block", "term", "max_tf", "min_len", "n", "total", "ords", "tfs", "ids", "lens"],
+        )
+
+
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """segment, block, term, ords, tfs, ids, lens, lost, the block's own row first -> chunk_id and _COUNTED of its live texts."""
+    for b in _grouped(batches, 2):
+        ids, lens = b.column("ids")[0].values, b.column("lens")[0].values
+        lost = b.column("lost")[0].values
+        alive = np.ones(len(ids), bool)
+        if lost is not None:
+            alive[lost.to_numpy()] = False
+        size = pa.compute.fill_null(pa.compute.list_value_length(b.column("ords")), 0).to_numpy()
+        term = np.repeat(b.column("term").fill_null(0).to_numpy(), size)
+        ords, tfs = b.column("ords").flatten().to_numpy(), b.column("tfs").flatten().to_numpy()
+        keep = alive[ords]
+        number = np.cumsum(alive) - 1
+        terms, counts = _per_text(number[ords[keep]], term[keep], tfs[keep], int(alive.sum()))
+        at = pa.array(np.flatnonzero(alive))
+        yield pa.RecordBatch.from_arrays([ids.take(at), lens.take(at), terms, counts], names=["chunk_id", "len", "terms", "tfs"])
+
+
 def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -80,16 +178,22 @@ class Postings:
     def upsert(self, rows: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> int:
         """Index rows, in place of texts that have their ids; gives the version.
 
-        Rows without an id are left out; of rows with one id the largest text counts, and a null text
-        has no words.
+        Rows without an id are left out; of rows with one id that with the most words counts, and a null
+        text has no words.
         """
         version, segments = self._version()
-        new = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("chunk_id")).agg(F.max(F.col(text_col)).alias("content"))
+        hashed = F.transform(tokens(F.col(text_col)), lambda w: F.xxhash64(w))
         # As the one row of an explode the words are made once; a projection would be made again wherever it is used.
-        words = new.select("chunk_id", F.explode(F.array(tokens(F.col("content")))).alias("words"))
-        counted = checkpointed(words.select("chunk_id", F.size("words").alias("len"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("word")).groupBy("chunk_id", "len", F.xxhash64("word").alias("term")).agg(F.count("*").cast("int").alias("tf")))
-        self._write(version + 1, counted)
-        self._bury(version, segments, counted.where(F.col("term") == F.xxhash64(F.lit(""))).select("chunk_id"))
+        words = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.explode(F.array(hashed)).alias("words"))
+        counted = saved(words.mapInArrow(_counted, f"chunk_id {dict(words.dtypes)['chunk_id']}, {_COUNTED}"), "counted")
+        twice = saved(counted.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id"), "twice")
+        unique = counted
+        if not twice.isEmpty():
+            one = counted.join(twice, "chunk_id").groupBy("chunk_id").agg(F.max(F.struct("len", "terms", "tfs")).alias("x"))
+            unique = counted.join(twice, "chunk_id", "left_anti").unionByName(one.select("chunk_id", "x.*"))
+        self._write(version + 1, unique)
+        self._bury(version, segments, counted.select("chunk_id"))
+        dropped(counted, twice)
         self._commit(version + 1, [*segments, version + 1])
         return version + 1
 
@@ -106,15 +210,24 @@ class Postings:
         texts = self._texts(segments)
         if texts is None:
             return version
-        alive = self._alive(texts, version, segments)
-        posted = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("segment").isin(segments)).select("segment", "block", "term", F.explode(F.arrays_zip("ords", "tfs")).alias("p"))
-        posted = posted.select("segment", "block", "term", F.col("p.ords").alias("ord"), F.col("p.tfs").alias("tf"))
-        counted = posted.join(alive, ["segment", "block", "ord"]).select("chunk_id", "len", "term", "tf")
-        own = alive.select("chunk_id", "len", F.xxhash64(F.lit("")).alias("term"), F.lit(1).alias("tf"))
-        self._write(version + 1, checkpointed(counted.unionByName(own)))
+        posted = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("segment").isin(segments))
+        held, kind = self._blocks(texts, self._gone(version, segments)), dict(texts.dtypes)["ids"]
+        rows = held.unionByName(posted.select("segment", "block", "term", "ords", "tfs"), allowMissingColumns=True)
+        dealt = rows.repartition("segment", "block").sortWithinPartitions("segment", "block", F.col("term").asc_nulls_first())
+        back = dealt.select("segment", "block", "term", "ords", "tfs", "ids", "lens", "lost")
+        counted = saved(back.mapInArrow(_restored, f"chunk_id {kind[6:-1]}, {_COUNTED}"), "counted")
+        self._write(version + 1, counted)
+        dropped(counted)
         self._commit(version + 1, [version + 1])
         return version + 1
 
+    def _blocks(self, texts: DataFrame, gone: DataFrame | None) -> DataFrame:
+        """segment, block, ids, lens, lost: what belongs to a block itself."""
+        held = texts.select("segment", "block", "ids", "lens")
+        if gone is None:
+            return held.withColumn("lost", F.lit(None).cast("array<int>"))
+        return held.join(gone.select("segment", "block", F.col("ords").alias("lost")), ["segment", "block"], "left")
+
     def _alive(self, texts: DataFrame, version: int, segments: list[int]) -> DataFrame:
         """segment, block, ord, chunk_id, len of the texts that count."""
         rows = texts.select("segment", "block", F.posexplode(F.arrays_zip("ids", "lens")).alias("ord", "x")).select("segment", "block", "ord", F.col("x.ids").alias("chunk_id"), F.col("x.lens").alias("len"))
@@ -130,24 +243,26 @@ class Postings:
         found.write.mode("overwrite").parquet(f"{self.folder}/gone/version={version + 1}")
 
     def _write(self, segment: int, counted: DataFrame) -> None:
-        """counted: chunk_id, len, term, tf, with a row of the empty word's hash for each text."""
-        mark = F.xxhash64(F.lit(""))
-        own = counted.where(F.col("term") == mark).select("chunk_id", "len")
-        n_blocks = max(1, -(-own.count() // TEXTS))
-        ranged = own.repartitionByRange(n_blocks, "len", "chunk_id").withColumn("block", F.spark_partition_id())
-        # A range may be longer than planned: it is cut by number, so that no block is.
-        spot = F.row_number().over(Window.partitionBy("block").orderBy("len", "chunk_id")) - 1
-        cut = ranged.withColumn("block", F.col("block").cast("long") * 2**20 + F.floor(spot / TEXTS))
-        placed = checkpointed(cut.withColumn("ord", F.row_number().over(Window.partitionBy("block").orderBy("chunk_id")) - 1))
-        lists = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("ord", "chunk_id", "len"))).alias("x"), F.count("*").alias("n"), F.sum("len").alias("total"))
-        texts = lists.select("block", F.col("x.chunk_id").alias("ids"), F.col("x.len").alias("lens"), "n", "total")
-        texts.write.mode("overwrite").parquet(f"{self.folder}/texts/segment={segment}")
-        rows = counted.where(F.col("term") != mark).join(placed.select("chunk_id", "block", "ord"), "chunk_id")
-        lists = rows.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("ord", "tf"))).alias("x"))
-        posted = lists.select("term", "block", "max_tf", "min_len", F.size("x").alias("n"), F.col("x.ord").alias("ords"), F.col("x.tf").alias("tfs"), F.pmod("term", F.lit(BUCKETS)).cast("int").alias("bucket"))
+        """counted: chunk_id, len, terms (ascending), tfs; a row per text."""
+        # Texts of about one length (a class of lengths, 256 at most) are dealt by hash to blocks of about TEXTS.
+        level = F.floor(F.log2(F.col("len") + 1) * 4).cast("int")
+        sizes = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+        blocks = {r.level: -(-r.n // TEXTS) for r in sizes}
+        number = F.lit(1)
+        if blocks:
+            number = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair]), level)
+        block = level.cast("long") * 2**32 + F.pmod(F.xxhash64("chunk_id"), number)
+        kind = dict(counted.dtypes)["chunk_id"]
+        tasks = max(1, sum(blocks.values()))
+        dealt = counted.select(block.alias("block"), "*").repartition("block").sortWithinPartitions("block", "chunk_id")
+        built = saved(dealt.mapInArrow(_built, f"block long, term long, max_tf int, min_len int, n long, total long, ords array<int>, tfs array<int>, ids array<{kind}>, lens array<int>"), "built")
+        own = built.where("term IS NULL").select("block", "ids", "lens", "n", "total")
+        own.write.mode("overwrite").parquet(f"{self.folder}/texts/segment={segment}")
+        posted = built.where("term IS NOT NULL").select("term", "block", "max_tf", "min_len", "n", "ords", "tfs", F.pmod("term", F.lit(BUCKETS)).cast("int").alias("bucket"))
         # The blocks of a bucket's terms are dealt to as many tasks as they need.
-        spread = F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // 4096)))
+        spread = F.pmod(F.xxhash64("block"), F.lit(max(1, tasks // 4096)))
         posted.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        dropped(built)
 
     # Search
 
@@ -207,11 +322,7 @@ class Postings:
         sides = dealt.join(weights, "query_id")
         here = checkpointed(dealt.select(*spot).distinct())
         lists = posted.select("segment", "block", "term", "ords", "tfs").join(here, ["segment", "block"])
-        held = texts.select("segment", "block", "ids", "lens").join(here, ["segment", "block"])
-        if gone is not None:
-            held = held.join(gone.select("segment", "block", F.col("ords").alias("lost")), ["segment", "block"], "left")
-        else:
-            held = held.withColumn("lost", F.lit(None).cast("array<int>"))
+        held = self._blocks(texts, gone).join(here, ["segment", "block"])
         # One table for the block's own row, which has its ids, and its terms' rows.
         empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
         kind = dict(held.dtypes)["ids"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text
 from tidemark.functions.text import trim
-from tidemark.operators import chunking, retrieval, windows
+from tidemark.operators import chunking, clusters, retrieval, windows
 from tidemark.operators.postings import Postings
 from tidemark.session import working_folder
 from tidemark.sources.tables import table
@@ -249,6 +249,26 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_top_k(v, v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")).select("query_id", "chunk_id", "score", "rank")
 
 
+def _clustered(spark: SparkSession, d: str) -> tuple[clusters.Clusters, DataFrame]:
+    v = _vectors(spark, d)
+    return clusters.cluster(v), v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
+@query(f"WITH {_VEC.format(q='(SELECT * FROM embeddings WHERE vec_id % 50 = 0)')} SELECT * FROM ve")
+def vector_clustered_exact(spark: SparkSession, d: str) -> DataFrame:
+    """vector_topk from a clustered index, exactly: lists that can't hold anything better are left out."""
+    index, asked = _clustered(spark, d)
+    return clusters.search(index, asked, exact=True).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(None)
+def vector_clustered_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of each question's 20 nearest, how many the clustered index finds, and how many of its lists it reads."""
+    index, asked = _clustered(spark, d)
+    told = clusters.recall_at(clusters.search(index, asked), clusters.search(index, asked, exact=True))
+    return told.select("query_id", "hits", "wanted", F.lit(index.nprobe).alias("lists_read"), F.lit(len(index.centroids)).alias("lists"))
+
+
 @query(f"WITH {_BM25}, {_PAIRED}, {_FUSED} SELECT query_id, chunk_id, score, channels, rank FROM fu")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     words = retrieval.bm25_top_k(_docs(spark, d), _questions(spark, d)).select("query_id", F.lit("bm25").alias("channel"), "chunk_id", "rank")

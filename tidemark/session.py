@@ -14,6 +14,7 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     if master:
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    settings |= {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -39,3 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once into spark.checkpoint.dir, which cuts its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in a working folder and read again: smaller than a checkpoint, and deleted by ``dropped``."""
+    path = working_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.saved_to = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``saved`` that nothing reads any more."""
+    for t in tables:
+        folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.saved_to)
+        folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
