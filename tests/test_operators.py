@@ -145,9 +145,7 @@ def test_rules_and_versions(spark):
     assert v.agg(governance.next_version(F.col("n")).alias("n")).first().n == "V11"
 
 
-def test_breaker_and_retry():
-    b = stateful.Breaker(2, 30)
-    assert [b.call(t, f) for t, f in [(0, True), (1, True), (5, False), (31, False), (32, True)]] == [True, True, False, True, True]
+def test_retry():
     tries = []
     with pytest.raises(ValueError):
         ports.with_retry(lambda: tries.append(1) or (_ for _ in ()).throw(ValueError()), wait_ms=0)
@@ -172,15 +170,6 @@ def test_stream_ingest_and_dead_letters(spark, tmp_path):
 def test_stream_twins(spark, tmp_path):
     df = _events(spark, tmp_path)
     stream = stateful.parquet_stream(spark, str(tmp_path / "in"), df.schema)
-    q = stateful.breaker_stream(stream, "k", "ts", "bad", "id", 1, 150).writeStream.format("memory").queryName("breaker").outputMode("append").trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    got = {r.id: r.passed for r in spark.table("breaker").collect()}
-    want = {}
-    for k in (0, 1):
-        b = stateful.Breaker(1, 150)
-        for r in sorted((r for r in df.collect() if r.k == k), key=lambda r: r.ts):
-            want[r.id] = b.call(r.ts.timestamp(), r.bad)
-    assert got == want
     q = stateful.idempotent(stream, ["k"], "ts", "10 minutes").writeStream.format("memory").queryName("idem").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert {r.k for r in spark.table("idem").collect()} == {0, 1}

@@ -24,13 +24,14 @@ def decrypt(c: Column, key: str) -> Column:
     return F.aes_decrypt(F.unbase64(c), F.lit(key)).cast("string")
 
 
-def signature(params: Column, body: Column, headers: Column, secret: str) -> Column:
-    """SHA-256 of the sorted parameters, the body, the sorted headers and the secret; params and headers are maps."""
+def told_map(m: Column) -> Column:
+    """key=value of a map, by key, joined by &."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
 
-    def told(m: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
 
-    return F.sha2(F.concat(told(params), F.coalesce(body, F.lit("")), told(headers), F.lit(secret)), 256)
+def signature(params: Column, body: Column, headers: Column, secret: str) -> Column:
+    """SHA-256 of the sorted parameters, the body, the sorted headers and the secret; params and headers are maps."""
+    return F.sha2(F.concat(told_map(params), F.coalesce(body, F.lit("")), told_map(headers), F.lit(secret)), 256)
 
 
 def signature_fresh(timestamp: Column, now: Column, nonce: Column, timeout_seconds: int) -> Column:

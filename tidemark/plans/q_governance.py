@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import governance as g
 from tidemark.sources.tables import table
-from tidemark.streaming import stateful
+from tidemark.streaming import ordered, stateful
 
 QUERIES, ORACLES = {}, {}
 
@@ -187,3 +187,78 @@ def group_pending(spark: SparkSession, d: str) -> DataFrame:
     acks = tried.select("message_id", ((F.col("i") == F.col("message_id") % 5) & (F.col("message_id") % 2 == 0)).alias("succeeded"))
     still, dead = stateful.consumer_group(e, acks, "stream", "message_id", 4)
     return still.select("message_id", "attempts", F.lit("open").alias("state")).unionByName(dead.select("message_id", "attempts", F.lit("dead").alias("state")))
+
+
+# Decisions in order
+
+
+_RECURSIVE = """e AS (SELECT {key} AS k, event_id, epoch_us(ts) AS t, user_id, event_type, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS p FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_RECURSIVE.format(key='user_id')}, r(k, p, event_id, passed, failures, opened) AS (
+SELECT k, p, event_id, true, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, CAST(0 AS BIGINT) FROM e WHERE p = 1
+UNION ALL SELECT e.k, e.p, e.event_id, NOT (r.failures >= 2 AND e.t - r.opened <= 172800000000),
+ CASE WHEN r.failures >= 2 AND e.t - r.opened <= 172800000000 THEN r.failures WHEN e.event_type <> 'error' THEN 0 ELSE r.failures + 1 END,
+ CASE WHEN r.failures >= 2 AND e.t - r.opened <= 172800000000 THEN r.opened WHEN e.event_type <> 'error' THEN 0 WHEN r.failures + 1 >= 2 THEN e.t ELSE 0 END
+ FROM r JOIN e ON e.k = r.k AND e.p = r.p + 1) SELECT event_id, passed FROM r""")
+def breaker_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for calls by users: two errors in a row open a user's breaker for two days."""
+    calls = table(spark, d, "events").withColumn("failed", F.col("event_type") == "error")
+    return ordered.decided(calls, ["user_id"], "ts", "event_id", ordered.Breaker("failed", 2, 172_800.0)).select("event_id", "passed")
+
+
+@query(f"""WITH RECURSIVE {_RECURSIVE.format(key='user_id')}, q AS (SELECT *, CASE WHEN t < 1705276800000000 THEN 2 ELSE 3 END AS lim FROM e), r(k, p, event_id, lim, taken, allowed) AS (
+SELECT k, p, event_id, lim, [t], true FROM q WHERE p = 1
+UNION ALL SELECT k, p, event_id, lim, CASE WHEN len(kept) >= lim THEN kept ELSE list_append(kept, t) END, len(kept) < lim FROM (
+ SELECT q.*, CASE WHEN r.lim = q.lim THEN list_filter(r.taken, lambda x: q.t - x < 259200000000) ELSE CAST([] AS BIGINT[]) END AS kept FROM r JOIN q ON q.k = r.k AND q.p = r.p + 1)) SELECT event_id, allowed FROM r""")
+def rate_limited_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """At most two events of a user in any three days, three from the middle of the month on."""
+    calls = table(spark, d, "events").withColumns({"limit": F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp"), 2).otherwise(3), "seconds": F.lit(259_200)})
+    return ordered.decided(calls, ["user_id"], "ts", "event_id", ordered.SlidingLimit("limit", "seconds")).select("event_id", "allowed")
+
+
+@query(f"""WITH RECURSIVE {_RECURSIVE.format(key='user_id')}, r(k, p, event_id, accepted, until) AS (
+SELECT k, p, event_id, true, CASE WHEN event_type = 'error' THEN t ELSE t + 86400000000 END FROM e WHERE p = 1
+UNION ALL SELECT e.k, e.p, e.event_id, e.t >= r.until, CASE WHEN e.t < r.until THEN r.until WHEN e.event_type = 'error' THEN e.t ELSE e.t + 86400000000 END FROM r JOIN e ON e.k = r.k AND e.p = r.p + 1) SELECT event_id, accepted FROM r""")
+def idempotent_release(spark: SparkSession, d: str) -> DataFrame:
+    """A user's event takes the user for a day; one that failed frees the user at once."""
+    calls = table(spark, d, "events").withColumn("failed", F.col("event_type") == "error")
+    return ordered.decided(calls, ["user_id"], "ts", "event_id", ordered.OneTime(86_400, "failed")).select("event_id", "accepted")
+
+
+@query("""WITH m AS (SELECT event_id AS message_id, ts AS sent, CASE WHEN event_id % 5 < 4 THEN ts + to_seconds(event_id % 5 * 500 + event_id % 2 * 100) END AS acked FROM events),
+a AS (SELECT message_id, CAST(unnest([1, 2, 3]) AS INTEGER) AS attempt, sent, acked FROM m), d AS (SELECT message_id, attempt, sent + to_seconds(attempt * 600) AS moment, acked FROM a)
+SELECT message_id, attempt, strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment FROM d WHERE (acked IS NULL OR acked > moment) AND moment <= (SELECT max(ts) FROM events)""")
+def redelivered(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for messages; four fifths are acknowledged after up to 35 minutes, and each is sent again every 10 minutes, three times."""
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    sent = e.select(k.alias("message_id"), F.col("ts").alias("delivered_at"))
+    acks = e.where(k % 5 < 4).select(k.alias("message_id"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (k % 5 * 500 + k % 2 * 100) * 1_000_000).alias("acked_at"))
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    out = ordered.redeliveries(sent, acks, None, 600, 3, now)
+    return out.select("message_id", "attempt", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
+_SIGNED = """c AS (SELECT event_id, user_id, ts, 'app' || user_id % 10 AS app_id, 'nonce-' || lpad(CAST(event_id % 400 AS VARCHAR), 5, '0') AS nonce, 'secret' || user_id % 10 AS secret,
+ sha256('a=' || event_type || '&b=' || event_id || 'body' || user_id || 'x=1' || 'secret' || user_id % 10) AS good FROM events),
+s AS (SELECT *, CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 31 = 0 THEN 'nonce' ELSE nonce END AS n, CASE WHEN event_id % 37 = 0 THEN 'forged' ELSE good END AS sign, CASE WHEN event_id % 41 = 0 THEN 700 ELSE event_id % 600 END AS age FROM c),
+b AS (SELECT *, CASE WHEN length(n) < 10 THEN 'headers' WHEN age > 600 THEN 'late' WHEN app_id = 'app9' THEN 'app' WHEN sign <> good THEN 'signature' END AS bad FROM s)"""
+
+
+@query(f"""WITH RECURSIVE {_SIGNED}, e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY app_id, n ORDER BY ts, event_id) AS p FROM b WHERE bad IS NULL),
+r(app_id, n, p, event_id, accepted, until) AS (SELECT app_id, n, p, event_id, true, t + 1200000000 FROM e WHERE p = 1
+UNION ALL SELECT e.app_id, e.n, e.p, e.event_id, e.t >= r.until, CASE WHEN e.t < r.until THEN r.until ELSE e.t + 1200000000 END FROM r JOIN e ON e.app_id = r.app_id AND e.n = r.n AND e.p = r.p + 1)
+SELECT event_id AS call_id, CASE WHEN accepted THEN 'ok' ELSE 'replay' END AS verdict FROM r UNION ALL SELECT event_id, bad FROM b WHERE bad IS NOT NULL""")
+def signature_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for signed calls of ten apps, one of them unknown; some are forged, late, without a nonce, or come again."""
+    e, k, app = table(spark, d, "events"), F.col("event_id"), F.col("user_id") % 10
+    params = F.create_map(F.lit("b"), k.cast("string"), F.lit("a"), F.col("event_type"))
+    body, headers = F.concat(F.lit("body"), F.col("user_id").cast("string")), F.create_map(F.lit("x"), F.lit("1"))
+    good = F.sha2(F.concat(F.lit("a="), "event_type", F.lit("&b="), k.cast("string"), body, F.lit("x=1secret"), app.cast("string")), 256)
+    nonce = F.when(k % 29 == 0, "").when(k % 31 == 0, "nonce").otherwise(F.concat(F.lit("nonce-"), F.lpad((k % 400).cast("string"), 5, "0")))
+    age = F.when(k % 41 == 0, 700).otherwise(k % 600)
+    told = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - age * 1_000_000)
+    calls = e.select(k.alias("call_id"), F.concat(F.lit("app"), app.cast("string")).alias("app_id"), told.alias("timestamp"), nonce.alias("nonce"), F.when(k % 37 == 0, "forged").otherwise(good).alias("sign"), params.alias("params"), body.alias("body"), headers.alias("headers"), F.col("ts").alias("now"))
+    secrets = e.select(F.concat(F.lit("app"), app.cast("string")).alias("app_id"), F.concat(F.lit("secret"), app.cast("string")).alias("secret")).where("app_id <> 'app9'").distinct()
+    return ordered.verified(calls, secrets, "now", 600)

@@ -1,14 +1,14 @@
-"""Streams: ingestion with retries and a dead-letter sink, idempotency, rate limits, circuit breaking, redelivery, trimming.
+"""Streams: ingestion with retries and a dead-letter sink, idempotency, rate limits, delivery, trimming.
 
-Each stateful operator has a batch twin that needs no state store, so results can be checked.
+Decisions that depend on earlier ones are in ``ordered``.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,28 +21,66 @@ def parquet_stream(spark, path: str, schema, files_per_trigger: int | None = Non
     return reader.parquet(path)
 
 
-def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], good_path: str, dead_path: str, checkpoint: str, failed: Column, attempts: int = 3) -> StreamingQuery:
-    """At-least-once ingestion: each batch is processed up to ``attempts`` times, its bad rows go to the dead-letter folder.
+def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], good_path: str, dead_path: str, checkpoint: str, failed: Column, attempts: int = 3, wait_seconds: float = 1.0, most_dead: int = 10_000) -> StreamingQuery:
+    """At-least-once ingestion that sets single bad rows apart; dead letters have the columns attempts and error.
 
-    A row that ``failed`` tells is dead-lettered with the number of attempts; a batch whose processing
-    keeps raising is dead-lettered whole.  Offsets are committed after the sinks are written.  Sinks
-    are per batch, so a batch that is run again overwrites its own files.
+    Rows that ``failed`` tells are dead letters at once.  A batch whose processing raises is tried
+    ``attempts`` times, with a growing wait; then it is cut into halves by a hash of its rows' numbers,
+    and halves that fail again, until the bad rows are alone: about 2 log2 n runs for each.  A row that
+    fails alone is tried ``attempts`` times and becomes a dead letter.  More than ``most_dead`` such rows in
+    a batch mean that not the rows are at fault: the stream stops, and goes on with the batch when it
+    is started again.  A batch's files are written when all its rows are settled, and overwritten if the batch is
+    run again, so the sinks hold each row once; process itself may see a row several times.
     """
 
+    def tried(rows: DataFrame, path: str, times: int) -> Exception | None:
+        for attempt in range(1, times + 1):
+            try:
+                process(rows).write.mode("overwrite").parquet(path)
+                return None
+            except Exception as e:
+                if attempt == times:
+                    return e
+                time.sleep(wait_seconds * attempt)
+
     def sink(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            dead = batch.where(failed).withColumn("attempts", F.lit(1))
-            for attempt in range(1, attempts + 1):
-                try:
-                    process(batch.where(~failed)).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-                    break
-                except Exception:
-                    if attempt == attempts:
-                        dead = batch.withColumn("attempts", F.lit(attempts))
-            dead.write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
-        finally:
-            batch.unpersist()
+        spark, columns = batch.sparkSession, batch.columns
+        work = f"{checkpoint}/isolation/batch={number}"
+        # Rows are numbered once, in a table, so that every half is the same rows whenever it is read.
+        numbered = batch.select(F.struct(*columns).alias("row"), F.coalesce(failed, F.lit(False)).alias("failed"), F.monotonically_increasing_id().alias("n"))
+        numbered.withColumn("spot", F.xxhash64("n")).write.mode("overwrite").parquet(f"{work}/rows")
+        rows = spark.read.schema(T.StructType([*numbered.schema.fields, T.StructField("spot", T.LongType())])).parquet(f"{work}/rows")
+        good = rows.where("NOT failed")
+        dead = [rows.where("failed").select("row.*", F.lit(1).alias("attempts"), F.lit("rejected").alias("error"))]
+        if tried(good.select("row.*"), f"{good_path}/batch={number}", attempts) is not None:
+            pieces, alone, open_ = [], 0, [(-(2**63), 2**63 - 1)]
+            while open_:
+                lo, hi = open_.pop()
+                part = good.where(F.col("spot").between(lo, hi))
+                some = part.limit(2).count()
+                if not some:
+                    continue
+                path = f"{work}/piece={len(pieces)}"
+                error = tried(part.select("row.*"), path, 1 if some > 1 else attempts)
+                if error is None:
+                    pieces.append(path)
+                elif some > 1:
+                    middle = (lo + hi) // 2
+                    open_ += [(middle + 1, hi), (lo, middle)]
+                else:
+                    alone += 1
+                    if alone > most_dead:
+                        raise RuntimeError(f"more than {most_dead} rows of batch {number} fail") from error
+                    told = str(error).strip().splitlines() or [type(error).__name__]
+                    dead.append(part.select("row.*", F.lit(attempts).alias("attempts"), F.lit(told[0][:500]).alias("error")))
+            if pieces:
+                spark.read.parquet(*pieces).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        lost = dead[0]
+        for more in dead[1:]:
+            lost = lost.unionByName(more)
+        lost.write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(work)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -107,41 +145,6 @@ def sessions(events: DataFrame, key: list[str], time_col: str, gap: str, waterma
     return source.groupBy(*key, s.alias("s")).agg(F.count("*").alias("n")).select(*key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-class Breaker:
-    """After ``threshold`` failures in a row calls are rejected for ``open_seconds``; then each passes until one fails or succeeds."""
-
-    def __init__(self, threshold: int = 5, open_seconds: float = 30.0):
-        self.threshold, self.open_seconds = threshold, open_seconds
-        self.failures, self.until = 0, float("-inf")
-
-    def call(self, at: float, failed: bool) -> bool:
-        """Whether a call at this time passes; if so its outcome counts."""
-        if at < self.until:
-            return False
-        if failed:
-            self.failures += 1
-            if self.failures >= self.threshold:
-                self.until = at + self.open_seconds
-        else:
-            self.failures, self.until = 0, float("-inf")
-        return True
-
-
-def breaker_stream(stream: DataFrame, key: str, time_col: str, failed_col: str, id_col: str, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:
-    """id, passed for each call of a stream with one breaker per key, in the order in which calls arrive."""
-
-    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        b = Breaker(threshold, open_seconds)
-        if state.exists:
-            b.failures, b.until = state.get
-        rows = pd.concat(list(batches)).sort_values([time_col, id_col])
-        passed = [b.call(t.timestamp(), bool(f)) for t, f in zip(rows[time_col], rows[failed_col], strict=True)]
-        state.update((b.failures, b.until))
-        yield pd.DataFrame({id_col: rows[id_col], "passed": passed})
-
-    return stream.groupBy(key).applyInPandasWithState(run, f"{id_col} long, passed boolean", "failures int, until double", "append", "NoTimeout")
-
-
 def failure_runs(calls: DataFrame, key: list[str], order: list[Column], failed: Column, least: int = 5) -> DataFrame:
     """Runs of at least so many failures in a row: what opens a breaker, in a batch."""
     from tidemark.operators.windows import runs
