@@ -28,7 +28,7 @@ from tidemark.functions.text import tokens
 from tidemark.operators.retrieval import K1, B, k_best, ranked
 from tidemark.session import checkpointed, dropped, saved
 
-BUCKETS, TEXTS, GROUP = 64, 1024, 256
+BUCKETS, TEXTS, GROUP = 64, 4096, 256
 #: Blocks with the best bounds, which a query reads first to learn what its k-th score is at least.
 FIRST = 2
 #: Asked terms that go to the scan as a filter; more of them are joined.
@@ -191,9 +191,9 @@ class Postings:
         if not twice.isEmpty():
             one = counted.join(twice, "chunk_id").groupBy("chunk_id").agg(F.max(F.struct("len", "terms", "tfs")).alias("x"))
             unique = counted.join(twice, "chunk_id", "left_anti").unionByName(one.select("chunk_id", "x.*"))
-        self._write(version + 1, unique)
-        self._bury(version, segments, counted.select("chunk_id"))
-        dropped(counted, twice)
+        self._write(version + 1, unique, counted)
+        dropped(twice)
+        self._bury(version, segments, self._texts([version + 1]).select(F.explode("ids").alias("chunk_id")))
         self._commit(version + 1, [*segments, version + 1])
         return version + 1
 
@@ -216,8 +216,7 @@ class Postings:
         dealt = rows.repartition("segment", "block").sortWithinPartitions("segment", "block", F.col("term").asc_nulls_first())
         back = dealt.select("segment", "block", "term", "ords", "tfs", "ids", "lens", "lost")
         counted = saved(back.mapInArrow(_restored, f"chunk_id {kind[6:-1]}, {_COUNTED}"), "counted")
-        self._write(version + 1, counted)
-        dropped(counted)
+        self._write(version + 1, counted, counted)
         self._commit(version + 1, [version + 1])
         return version + 1
 
@@ -242,8 +241,8 @@ class Postings:
         found = hit.groupBy("segment", "block").agg(F.collect_list("ord").alias("ords"), F.count("*").alias("n"), F.sum("len").alias("total"))
         found.write.mode("overwrite").parquet(f"{self.folder}/gone/version={version + 1}")
 
-    def _write(self, segment: int, counted: DataFrame) -> None:
-        """counted: chunk_id, len, terms (ascending), tfs; a row per text."""
+    def _write(self, segment: int, counted: DataFrame, source: DataFrame) -> None:
+        """counted: chunk_id, len, terms (ascending), tfs; a row per text.  Its source, a saved table, is dropped."""
         # Texts of about one length (a class of lengths, 256 at most) are dealt by hash to blocks of about TEXTS.
         level = F.floor(F.log2(F.col("len") + 1) * 4).cast("int")
         sizes = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
@@ -256,6 +255,7 @@ class Postings:
         tasks = max(1, sum(blocks.values()))
         dealt = counted.select(block.alias("block"), "*").repartition("block").sortWithinPartitions("block", "chunk_id")
         built = saved(dealt.mapInArrow(_built, f"block long, term long, max_tf int, min_len int, n long, total long, ords array<int>, tfs array<int>, ids array<{kind}>, lens array<int>"), "built")
+        dropped(source)
         own = built.where("term IS NULL").select("block", "ids", "lens", "n", "total")
         own.write.mode("overwrite").parquet(f"{self.folder}/texts/segment={segment}")
         posted = built.where("term IS NOT NULL").select("term", "block", "max_tf", "min_len", "n", "ords", "tfs", F.pmod("term", F.lit(BUCKETS)).cast("int").alias("bucket"))

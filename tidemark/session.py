@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then drops the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+
 
 def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution and skew joins on, checkpoints deleted with their frames; anything in conf wins (dots as double underscores)."""
@@ -44,8 +49,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in a working folder and read again: smaller than a checkpoint, and deleted by ``dropped``."""
-    path = working_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, working_folder(df.sparkSession, name)
+    with _lock:  # the setting is the session's
+        before = spark.conf.get(_CLEANUP)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.saved_to = path
     return found
