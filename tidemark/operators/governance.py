@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import logging
+
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.similarity import jaccard
@@ -93,6 +97,52 @@ def apply_rules(facts: DataFrame, rules: list[tuple[str, int, str, str]], keys:
     return facts.select(*keys, hit.alias("_hit")).where("_hit IS NOT NULL").select(*keys, "_hit.rule_key", "_hit.conclusion")
 
 
+def rules_of(text: str) -> list[dict]:
+    """Rules as JSON: a list of name, when (a Spark SQL condition over the facts), then (a list of conclusions) and salience (0 if it has none)."""
+    rules = json.loads(text)
+    if not isinstance(rules, list) or not all(isinstance(r, dict) and isinstance(r.get("name"), str) and isinstance(r.get("when"), str) and isinstance(r.get("then"), list) for r in rules):
+        raise ValueError("rules are a list of name, when, then")
+    return sorted(rules, key=lambda r: (-int(r.get("salience", 0)), r["name"]))
+
+
+def check_rules(facts: DataFrame, text: str) -> list[dict]:
+    """The rules, in the order in which they fire; raises what is wrong with them."""
+    rules = rules_of(text)
+    for r in rules:
+        kind = facts.select(F.expr(r["when"]).alias("c")).schema["c"].dataType.simpleString()
+        if kind != "boolean":
+            raise ValueError(f"rule {r['name']}: the condition is {kind}, no boolean")
+    return rules
+
+
+def evaluate_rules(facts: DataFrame, texts: dict[str, str], key: str, keys: list[str]) -> DataFrame:
+    """keys, place, rule, conclusion: every conclusion of every rule that fits a row of facts, by the rule text that its key names.
+
+    Rules fire by falling salience, those of one salience by name, and a rule's conclusions in their
+    order; place counts a row's from 1.  A condition that is null doesn't fit.  A text that doesn't
+    compile gives nothing, as does a key without a text; ``check_rules`` tells what is wrong.
+    """
+    kind = "array<struct<rule: string, conclusion: string>>"
+    hits = F.lit(None).cast(kind)
+    for name, text in sorted(texts.items()):
+        try:
+            rules = check_rules(facts, text)
+        except (ValueError, AnalysisException, ParseException) as e:
+            logging.getLogger(__name__).warning("rules %s are left out: %s", name, str(e).strip().splitlines()[0])
+            continue
+        told = [F.when(F.coalesce(F.expr(r["when"]), F.lit(False)), F.array(*[F.struct(F.lit(r["name"]).alias("rule"), F.lit(str(c)).alias("conclusion")) for c in r["then"]])) for r in rules if r["then"]]
+        if told:
+            hits = F.when(F.col(key) == name, F.flatten(F.array_compact(F.array(*told)))).otherwise(hits)
+    found = facts.select(*keys, F.posexplode(hits).alias("place", "hit"))
+    return found.select(*keys, (F.col("place") + 1).alias("place"), "hit.rule", "hit.conclusion")
+
+
+def latest_rules(rules: DataFrame) -> dict[str, str]:
+    """rule_key -> text: the enabled (status 1) row with the highest version, then id, of rules(rule_key, version, id, status, content)."""
+    last = rules.where("status = 1 AND rule_key IS NOT NULL").groupBy("rule_key").agg(F.max_by("content", F.struct("version", "id")).alias("content"))
+    return {r.rule_key: r.content for r in last.collect() if r.content}  # texts that people wrote
+
+
 def first_match(c: Column, groups: list[tuple[str, list[str]]], default: str) -> Column:
     """The first group one of whose words the text holds."""
     out = None

@@ -1,18 +1,99 @@
-"""Range lookup: the range that holds a point, by bins instead of a nested loop."""
+"""Range lookup: the ranges that hold a point, by a sweep over sorted points and range starts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-def range_lookup(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
-    """Left join of points with the ranges low .. high (inclusive) that hold them.
+from tidemark.session import saved
 
-    Both sides are cut into bins of ``width``: a range takes part in each bin that it touches, so
-    the join is an equi-join on the bin, and only then compares.  Choose a width near the usual
-    range's.  A null point matches nothing.
+_AT_ONCE = 1 << 16  # rows of output that are held at once
+
+
+def address_number(c: Column) -> Column:
+    """A dotted address as a number; null where it is none: four parts of at most three digits up to 255."""
+    parts = F.transform(F.split(F.trim(c), r"\."), lambda x: F.when(x.rlike(r"^\d{1,3}$"), x.cast("long")))
+    good = (F.size(parts) == 4) & F.forall(parts, lambda x: F.coalesce(x <= 255, F.lit(False)))
+    return F.when(good, F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x))
+
+
+def address_text(c: Column) -> Column:
+    """The dotted address of a number; null beyond 0 .. 2**32 - 1."""
+    parts = [F.shiftright(c.cast("long"), s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
+    return F.when((c >= 0) & (c < 2**32), F.concat_ws(".", *parts))
+
+
+def range_lookup(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """Left join of points with all ranges low .. high (inclusive) that hold them; the points' columns, then the ranges'.
+
+    at, low and high are numbers of one kind.  Points are dealt by value to parts of about equal size
+    (equal values to several, if there are many); a range goes to the parts that it touches, once to each.  A
+    part is sorted by points and range starts and swept, with the ranges that are open in a heap:
+    neither wide nor nested ranges cost more than the rows that they give.  A null point, or one that no
+    range holds, has nulls; a range with a null end or low > high holds nothing.
     """
-    binned = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    left = points.withColumn("_bin", F.floor(F.col(at) / width))
-    hit = (left["_bin"] == binned["_bin"]) & (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))
-    return left.join(binned, hit, "left").drop("_bin")
+    spark = points.sparkSession
+    whole = {dict(points.dtypes)[at], dict(ranges.dtypes)[low], dict(ranges.dtypes)[high]} <= {"tinyint", "smallint", "int", "bigint"}
+    kind = "long" if whole else "double"
+    p = points.select(F.struct("*").alias("p"), F.col(at).cast(kind).alias("v"))
+    given = p.where("v IS NOT NULL")
+    # The number beside a value cuts the rows of one value, if they are many.
+    dealt = given.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(F.col("v"), F.xxhash64("n")).withColumn("part", F.spark_partition_id())
+    placed = saved(dealt.select("part", "v", "p"), "points")
+    edges = sorted((r.part, r.lo, r.hi) for r in placed.groupBy("part").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect())  # one row a partition
+    number, lows, highs = ([e[i] for e in edges] for i in range(3))
+    sent = spark.sparkContext.broadcast((np.array(number, np.int32), np.array(lows), np.array(highs)))
+    r = ranges.select(F.struct("*").alias("r"), F.col(low).cast(kind).alias("v"), F.col(high).cast(kind).alias("hi")).where("v <= hi")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, lo, hi = sent.value
+        for b in batches:
+            # Parts are in the order of their values: those that a range touches lie side by side.
+            first = np.searchsorted(hi, b.column("v").to_numpy(), "left")
+            last = np.searchsorted(lo, b.column("hi").to_numpy(), "right")
+            n = np.maximum(0, last - first)
+            row = np.repeat(np.arange(len(n)), n)
+            to = part[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array(to), *[c.take(pa.array(row)) for c in b.columns]], names=["part", "r", "v", "hi"])
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *r.schema.fields])
+    none = lambda frame, c: F.lit(None).cast(frame.schema[c].dataType).alias(c)
+    rows = r.mapInArrow(spread, schema).select("part", "v", F.lit(0).alias("point"), "hi", none(p, "p"), "r")
+    rows = rows.unionByName(placed.select("part", "v", F.lit(1).alias("point"), none(r, "hi"), "p", none(r, "r")))
+    swept = rows.repartition("part").sortWithinPartitions("part", "v", "point")
+    found = swept.mapInArrow(_sweep, T.StructType([T.StructField(c, frame.schema[c].dataType) for frame, c in ((p, "p"), (r, "r"))]))
+    return found.unionByName(p.where("v IS NULL").select("p", none(r, "r"))).select("p.*", "r.*")
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, v, point, hi, p, r, sorted -> p, r of each point and each range that holds it; r null if none does."""
+    key, pool, ends = None, None, []  # ends: a heap of (high, place in pool)
+    for b in batches:
+        part, point, v = b.column("part").to_numpy(), b.column("point").to_numpy(), b.column("v").to_pylist()
+        hi, own, new = b.column("hi").to_pylist(), b.column("p"), b.column("r")
+        # The open ranges come first in the pool, those of this batch behind them.
+        order = [i for _, i in ends]
+        kept = pool.take(pa.array(order, pa.int64())) if pool is not None else new.slice(0, 0)
+        ends = [(h, i) for i, (h, _) in enumerate(ends)]
+        heapq.heapify(ends)
+        pool, shift = pa.concat_arrays([kept, new]), len(kept)
+        left, right = [], []
+        for i in range(b.num_rows):
+            if part[i] != key:
+                key, ends = part[i], []
+            if not point[i]:
+                heapq.heappush(ends, (hi[i], shift + i))
+                continue
+            while ends and ends[0][0] < v[i]:
+                heapq.heappop(ends)
+            left += [i] * max(1, len(ends))
+            right += [e[1] for e in ends] or [None]
+            if len(left) >= _AT_ONCE:
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(left)), pool.take(pa.array(right, pa.int64()))], names=["p", "r"])
+                left, right = [], []
+        if left:
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(left)), pool.take(pa.array(right, pa.int64()))], names=["p", "r"])

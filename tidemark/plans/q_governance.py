@@ -92,6 +92,24 @@ def rule_eval(spark: SparkSession, d: str) -> DataFrame:
     return g.apply_rules(table(spark, d, "orders"), rules, ["o_orderkey"])
 
 
+_RULE_TEXTS = {
+    "O": """[{"name": "big", "when": "f['total'] > 200000", "then": ["ask a manager", "call back"], "salience": 5}, {"name": "urgent", "when": "f['priority'] < 2 OR NOT f['total'] > 1000", "then": ["ship first"], "salience": 9},
+ {"name": "all", "when": "true", "then": ["log"]}, {"name": "never", "when": "f['unknown'] > 1", "then": ["nothing"]}]""",
+    "P": """[{"name": "all", "when": "true", "then": ["log"]}, {"name": "broken", "when": "f['total'] > > 1", "then": ["x"]}]""",
+    "F": """[{"name": "small", "when": "f['total'] < 100000 AND f['priority'] IN (1, 3, 5)", "then": ["close"]}]""",
+}
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_totalprice AS t, CAST(left(o_orderpriority, 1) AS INTEGER) AS p FROM orders),
+h AS (SELECT o_orderkey, 1 AS n, 'urgent' AS rule, 'ship first' AS conclusion FROM o WHERE s = 'O' AND (p < 2 OR NOT t > 1000) UNION ALL SELECT o_orderkey, 2, 'big', 'ask a manager' FROM o WHERE s = 'O' AND t > 200000 UNION ALL SELECT o_orderkey, 3, 'big', 'call back' FROM o WHERE s = 'O' AND t > 200000
+UNION ALL SELECT o_orderkey, 4, 'all', 'log' FROM o WHERE s = 'O' UNION ALL SELECT o_orderkey, 1, 'small', 'close' FROM o WHERE s = 'F' AND t < 100000 AND p IN (1, 3, 5))
+SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY n) AS INTEGER) AS place, rule, conclusion FROM h""")
+def rule_all_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Rule texts by order status, over a map of facts; the text of one status doesn't compile."""
+    facts = F.create_map(F.lit("total"), F.col("o_totalprice"), F.lit("priority"), F.substring("o_orderpriority", 1, 1).cast("double"))
+    return g.evaluate_rules(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", facts.alias("f")), _RULE_TEXTS, "o_orderstatus", ["o_orderkey"])
+
+
 @query("SELECT conv_id, turn, CASE WHEN contains(text, 'er') AND contains(text, 'th') THEN 'emotion' WHEN contains(text, 'en') THEN 'request' ELSE 'none' END AS triage FROM conversations")
 def keyword_triage(spark: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("text").contains("th"), F.col("text")).otherwise(F.replace(F.col("text"), F.lit("er"), F.lit("")))

@@ -296,6 +296,14 @@ def table_profile(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(None)
+def html_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with allowed tags alone, well nested."""
+    from tidemark.functions.html import balanced_html
+
+    return table(spark, d, "pages").select("page_id", balanced_html(F.col("html")).alias("safe"))
+
+
 @query(r"""WITH h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<title[^>]*>.*?</title\s*>|<noscript[^>]*>.*?</noscript\s*>|<!--.*?-->|<![^>]*>', '', 'gis') AS x FROM pages),
 p AS (SELECT page_id, regexp_extract_all(x, '</?[A-Za-z][^>]*>|[^<]+|<', 0, 's') AS pieces FROM h),
 k AS (SELECT page_id, list_filter(pieces, lambda t: t[1] <> '<' OR t = '<') AS texts, list_filter(list_transform(pieces, lambda t: lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1))), lambda n: n IN ('a','b','blockquote','br','caption','cite','code','col','colgroup','dd','div','dl','dt','em','h1','h2','h3','h4','h5','h6','i','img','li','ol','p','pre','q','small','span','strike','strong','sub','sup','table','tbody','td','tfoot','th','thead','tr','u','ul')) AS tags FROM p)

@@ -271,4 +271,22 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
 
     ranges = table(spark, d, "nation").select(F.col("n_nationkey").alias("area"), (F.col("n_nationkey") * 40000).cast("long").alias("lo"), (F.col("n_nationkey") * 40000 + 30000).cast("long").alias("hi"))
     points = table(spark, d, "events").select("event_id", (F.col("event_id") * 7919 % 1000000).alias("ip"))
-    return range_lookup(points, "ip", ranges, "lo", "hi", width=20000).select("event_id", "area")
+    return range_lookup(points, "ip", ranges, "lo", "hi").select("event_id", "area")
+
+
+@query("""WITH r AS (SELECT c_custkey AS area, (c_custkey * 7919 % 1000) * 65536 AS lo, (c_custkey * 7919 % 1000) * 65536 + CASE c_custkey % 50 WHEN 0 THEN 33554432 ELSE 65536 * (c_custkey % 3) + 999 END AS hi FROM customer
+UNION ALL SELECT -1, 0, 4294967295), i AS (SELECT event_id, (event_id * 1103515) % 66000000 AS ip FROM events),
+t AS (SELECT event_id, concat_ws('.', CAST(ip // 16777216 AS VARCHAR), CAST(ip // 65536 % 256 AS VARCHAR), CAST(ip // 256 % 256 AS VARCHAR), CAST(ip % 256 AS VARCHAR)) AS address, ip FROM i)
+SELECT event_id, address, count(*) AS areas, CAST(sum(area) AS BIGINT) AS total FROM t JOIN r ON ip BETWEEN lo AND hi GROUP BY 1, 2""")
+def range_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of addresses: narrow, nested and overlapping ranges, and one of all addresses."""
+    from tidemark.operators.ranges import address_number, address_text, range_lookup
+
+    k = F.col("c_custkey")
+    lo = k * 7919 % 1000 * 65536
+    areas = table(spark, d, "customer").select(k.alias("area"), lo.alias("lo"), (lo + F.when(k % 50 == 0, 33554432).otherwise(65536 * (k % 3) + 999)).alias("hi"))
+    everywhere = spark.range(1).select(F.lit(-1).cast("long").alias("area"), F.lit(0).cast("long").alias("lo"), F.lit(2**32 - 1).alias("hi"))
+    told = table(spark, d, "events").select("event_id", address_text(F.col("event_id") * 1103515 % 66000000).alias("address"))
+    points = told.withColumn("ip", address_number(F.col("address")))
+    found = range_lookup(points, "ip", areas.unionByName(everywhere), "lo", "hi")
+    return found.groupBy("event_id", "address").agg(F.count("*").alias("areas"), F.sum("area").alias("total"))
