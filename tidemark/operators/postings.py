@@ -29,6 +29,8 @@ from tidemark.operators.retrieval import K1, B, k_best, ranked
 from tidemark.session import checkpointed, dropped, saved
 
 BUCKETS, TEXTS, GROUP = 64, 4096, 256
+#: Words that are sorted at once.
+WORDS = 1 << 19
 #: Blocks with the best bounds, which a query reads first to learn what its k-th score is at least.
 FIRST = 2
 #: Asked terms that go to the scan as a filter; more of them are joined.
@@ -60,11 +62,15 @@ def _per_text(text: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> tup
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """chunk_id and words' hashes -> chunk_id and _COUNTED."""
     for b in batches:
-        words = b.column(1)
-        size = pa.compute.list_value_length(words).to_numpy()
-        term = words.flatten().to_numpy()
-        terms, tfs = _per_text(np.repeat(np.arange(len(size)), size), term, np.ones(len(term), np.int64), len(size))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), terms, tfs], names=["chunk_id", "len", "terms", "tfs"])
+        ends = np.cumsum(pa.compute.list_value_length(b.column(1)).to_numpy())
+        lo = 0
+        while lo < b.num_rows:  # some texts at a time: sorting takes several times their words' room
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, "right")))
+            words = b.column(1).slice(lo, hi - lo)
+            size, term = pa.compute.list_value_length(words).to_numpy(), words.flatten().to_numpy()
+            terms, tfs = _per_text(np.repeat(np.arange(len(size)), size), term, np.ones(len(term), np.int32), len(size))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size, pa.int32()), terms, tfs], names=["chunk_id", "len", "terms", "tfs"])
+            lo = hi
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:

@@ -120,3 +120,15 @@ def char_jaccard(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, round(CASE WHEN hi - lo < 1e-9 THEN 1.0 ELSE (v - lo) / (hi - lo) END, 6) AS score FROM w""")
 def minmax_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(similarity.min_max(F.col("value") - 5, ["user_id"]), 6).alias("score"))
+
+
+@query("""SELECT o_orderkey, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS quarter, strftime(last_day(o_orderdate), '%Y-%m-%d') AS month_end, list_aggregate(list_transform(range(0, 7), lambda i: strftime(CAST(o_orderdate AS DATE) - CAST(6 - i AS INTEGER), '%m%d')), 'string_agg', ',') AS week,
+o_orderdate <= TIMESTAMP '1996-06-30' AND o_orderdate + INTERVAL 60 DAY >= TIMESTAMP '1996-01-01' AS meets FROM orders""")
+def date_helpers(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.functions import dates
+
+    at = F.col("o_orderdate").cast("timestamp")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    week = F.array_join(F.transform(dates.latest_days(F.to_date(at), 7), lambda x: F.date_format(x, "MMdd")), ",")
+    meets = dates.overlap(at, at + F.expr("INTERVAL 60 DAYS"), F.lit("1996-01-01").cast("timestamp"), F.lit("1996-06-30").cast("timestamp"))
+    return table(spark, d, "orders").select("o_orderkey", day(dates.quarter_start(at)).alias("quarter"), day(dates.month_end(at)).alias("month_end"), week.alias("week"), meets.alias("meets"))

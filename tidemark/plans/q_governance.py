@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import governance as g
+from tidemark.session import working_folder
 from tidemark.sources.tables import table
 from tidemark.streaming import ordered, stateful
 
@@ -280,3 +281,32 @@ def signature_verify(spark: SparkSession, d: str) -> DataFrame:
     calls = e.select(k.alias("call_id"), F.concat(F.lit("app"), app.cast("string")).alias("app_id"), told.alias("timestamp"), nonce.alias("nonce"), F.when(k % 37 == 0, "forged").otherwise(good).alias("sign"), params.alias("params"), body.alias("body"), headers.alias("headers"), F.col("ts").alias("now"))
     secrets = e.select(F.concat(F.lit("app"), app.cast("string")).alias("app_id"), F.concat(F.lit("secret"), app.cast("string")).alias("secret")).where("app_id <> 'app9'").distinct()
     return ordered.verified(calls, secrets, "now", 600)
+
+
+@query("SELECT p_brand, 'V' || CAST(coalesce(max(CASE WHEN p_partkey % 3 = 0 THEN p_size END), 0) + 1 AS VARCHAR) AS next FROM part GROUP BY 1")
+def version_next(spark: SparkSession, d: str) -> DataFrame:
+    """Two of three parts have names that are no version numbers."""
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("V"), F.col("p_size").cast("string"))).when(k % 3 == 1, F.concat(F.lit("v9"), k.cast("string"))).otherwise("V1.2")
+    return table(spark, d, "part").select("p_brand", name.alias("version")).groupBy("p_brand").agg(g.next_version(F.col("version")).alias("next"))
+
+
+@query("""WITH l AS (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderkey = last THEN 'PUBLISHED' WHEN o_orderstatus = 'F' THEN 'EXPIRED' WHEN o_orderstatus = 'O' THEN 'DRAFT' ELSE 'REVIEW' END AS status FROM orders JOIN l USING (o_custkey)""")
+def version_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's last order stands for the version that is published: it expires the customer's published ones."""
+    orders = table(spark, d, "orders")
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
+    status = F.when(F.col("o_orderstatus") == "F", "PUBLISHED").when(F.col("o_orderstatus") == "O", "DRAFT").otherwise("REVIEW")
+    versions = orders.join(last, "o_custkey").withColumn("status", status)
+    return g.expire_others(versions, F.col("o_orderkey") == F.col("last"), F.lit(True)).select("o_orderkey", "status")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n, md5(text) AS text_md5 FROM documents WHERE trim(coalesce(text, '')) <> '' AND doc_id % 97 <> 5")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream into a folder; blank ones and every 97th are dead letters."""
+    folder, docs = working_folder(spark, "ingest"), table(spark, d, "documents")
+    stream = stateful.parquet_stream(spark, f"{d}/documents.parque[t]", docs.schema)  # a pattern, as one file alone can't be a stream's folder
+    rejected = (F.trim(F.coalesce("text", F.lit(""))) == "") | (F.col("doc_id") % 97 == 5)
+    told = lambda b: b.select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("text_md5"))
+    stateful.ingest(stream, told, f"{folder}/good", f"{folder}/dead", f"{folder}/offsets", rejected).awaitTermination()
+    return spark.read.parquet(f"{folder}/good").select("doc_id", "n", "text_md5")

@@ -186,14 +186,14 @@ def chat_routes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", "route", "stored", "transferred")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 OR event_id % 7 = 0 THEN NULL ELSE event_type || (event_id % 5) END AS answer, CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 5 = 4 THEN 3 ELSE least(event_id % 5 + 1, 3) END AS attempts,
-event_id % 5 = 4 OR event_id % 7 = 0 AS claim_fail FROM (SELECT event_id, event_type FROM events WHERE event_id % 5 <> 3)""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 >= 3 OR event_id % 7 = 0 THEN NULL ELSE event_type || (event_id % 5) END AS answer, CASE WHEN event_id % 7 = 0 THEN 1 ELSE least(event_id % 5 + 1, 3) END AS attempts,
+event_id % 5 >= 3 OR event_id % 7 = 0 AS claim_fail FROM events""")
 def generate_verify(spark: SparkSession, d: str) -> DataFrame:
     """A stand-in's answer n is supported from a row's own attempt on; every seventh row fails to generate."""
     e = F.col("event_id")
     generate = lambda n: F.when(e % 7 != 0, F.concat("event_type", n.cast("string")))
     verify = lambda answer, n: F.when((n == 0) & (e % 5 == 1), F.lit(None)).otherwise(n >= e % 5)
-    out = chat.generate_and_verify(table(spark, d, "events").where("event_id % 5 <> 3").select("event_id", "event_type"), "event_id", generate, verify)
+    out = chat.generate_and_verify(table(spark, d, "events").select("event_id", "event_type"), "event_id", generate, verify)
     return out.select("event_id", "answer", F.col("attempts").cast("long").alias("attempts"), "claim_fail")
 
 
@@ -234,13 +234,13 @@ def feedback_cases(spark: SparkSession, d: str) -> DataFrame:
     return chat.cases_from_feedback(feedback, messages).select("feedback_id", F.md5("question").alias("question_md5"))
 
 
-@query("""WITH x AS (SELECT doc_id, doc_id % 6 AS kb_id, trim(left(coalesce(text, ''), 520)) AS q FROM documents),
+@query("""WITH x AS (SELECT doc_id, doc_id % 6 AS kb_id, trim(coalesce(text, '')) AS q FROM documents),
 i AS (SELECT kb_id, doc_id, q, unnest([doc_id, doc_id + 1, doc_id - 6]) AS g, unnest([1, 2, 3]) AS n FROM x WHERE kb_id <> 5 AND q <> '' AND doc_id % 9 <> 0)
 SELECT i.kb_id, i.doc_id AS proposal_id, md5(left(q, 500)) AS question_md5, string_agg(CAST(g AS VARCHAR), ',' ORDER BY n) AS gold FROM i JOIN documents d ON d.doc_id = g AND g % 2 = 0 AND g % 6 = i.kb_id GROUP BY 1, 2, 3""")
 def auto_cases(spark: SparkSession, d: str) -> DataFrame:
     """Base 5 has cases enough; even documents are the sample; every ninth proposal has a blank answer."""
     docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 6).alias("kb_id"), F.coalesce("text", F.lit("")).alias("text"))
-    proposals = docs.select("kb_id", F.col("doc_id").alias("proposal_id"), F.substring("text", 1, 520).alias("question"), F.when(F.col("doc_id") % 9 == 0, "  ").otherwise("yes").alias("gold_answer"), F.array(F.col("doc_id"), F.col("doc_id") + 1, F.col("doc_id") - 6).alias("gold_chunks"))
+    proposals = docs.select("kb_id", F.col("doc_id").alias("proposal_id"), F.col("text").alias("question"), F.when(F.col("doc_id") % 9 == 0, "  ").otherwise("yes").alias("gold_answer"), F.array(F.col("doc_id"), F.col("doc_id") + 1, F.col("doc_id") - 6).alias("gold_chunks"))
     sampled = docs.where("doc_id % 2 = 0").select("kb_id", F.col("doc_id").alias("chunk_id"))
     out = chat.accepted_cases(proposals, sampled, docs.where("kb_id = 5").select("kb_id"))
     return out.select("kb_id", "proposal_id", F.md5("question").alias("question_md5"), F.array_join("gold_chunks", ",").alias("gold"))

@@ -59,7 +59,7 @@ def split_params(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH s AS (SELECT doc_id, {_SENTENCES.format(_TRIM.format('coalesce(text, chr(32))'))} AS s, {_TRIM.format('text')} AS t FROM documents WHERE {_TRIM.format('text')} <> ''), k AS (SELECT doc_id, t, {_PACK.format('s', 200)} AS r FROM s), b AS (SELECT doc_id, CASE WHEN ceil(length(t) / 1.5) > 200 THEN CASE WHEN r.cur <> '' THEN list_append(r.out, r.cur) ELSE r.out END ELSE [t] END AS blocks FROM k) SELECT doc_id, CAST(unnest(range(len(blocks))) AS INTEGER) AS pos, md5(unnest(blocks)) AS content_md5 FROM b")
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
     """Single line ends part no paragraphs, so a document is one element here."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n\s*\n", "\n").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     out = docs.select("doc_id", F.posexplode(chunking.semantic(chunking.parse_plain(F.col("text")), chunking.Params(200))).alias("pos", "c"))
     return out.select("doc_id", "pos", F.md5("c.content").alias("content_md5"))
 
@@ -126,9 +126,9 @@ def chunk_policy(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 p AS (SELECT q.conv_id, list('问:' || {_TRIM.format('q.text')} || chr(10) || '答:' || {_TRIM.format('a.text')} ORDER BY q.i) AS contents, 'FAQ' AS kind FROM t q JOIN t a ON a.conv_id = q.conv_id AND a.i = q.i + 1 WHERE q.i % 2 = 1 GROUP BY q.conv_id) {_TELL.format(key='conv_id', name='p')}""")
 def chunk_faq(spark: SparkSession, d: str) -> DataFrame:
-    """Turns stand for questions and answers by turns; conversations of one turn are left out."""
+    """Turns stand for questions and answers by turns."""
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x, i: F.concat(F.when(i % 2 == 0, "Q: ").otherwise("A: "), x["text"]))
-    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("text"), F.count("*").alias("turns")).where("turns > 1").drop("turns")
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("text"))
     return _told(chunking.split(talks, F.array(chunking.element("paragraph", F.col("text"))), F.lit("faq"), chunking.Params(120)), "conv_id")
 
 
