@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -837,3 +838,11 @@ def test_license_thousands_of_notices_in_one_text(spark):
     text = "\n".join(f"{notice} {i}" for i in range(20_000))
     got = licenses.scan_licenses(table(spark, [(1, text)]), {"N": notice}).collect()
     assert len(got) == 20_000 and all(text[r.start_char : r.end_char] == notice for r in got)
+
+
+def test_warc_query_matches_its_sql(spark, duck):
+    from tidemark.llm.shared import own_dir
+
+    assert rows_of_spark(warc.op7_warc(spark, SMALL)) == rows_of(duck, warc.OP7_SQL)
+    folder = own_dir(spark).removeprefix("file://")
+    assert any(name.startswith("warc-") for name in os.listdir(folder))

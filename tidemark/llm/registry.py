@@ -23,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op2_minhash_dedup": minhash.OP2_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op9_exact_topk": topk.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
     "op12_hard_negatives": negatives.OP12_SQL,

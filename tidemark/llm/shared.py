@@ -26,14 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which ``clear`` deletes."""
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again; survives lost executors and is computed once."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -74,7 +75,7 @@ def working_tables(spark: SparkSession) -> Iterator[list[DataFrame]]:
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has written here; for its end, when the results are saved elsewhere."""
-    _delete(spark, _own_dir(spark))
+    _delete(spark, own_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -109,7 +109,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One row per row of docs: doc_id, n_chars, edited_sha256, print (long), fingerprint and
     edited_fingerprint (hex), near_edited, near_next.  The next document is the one with the next
     larger id, after the last the first; rows of one id follow each other in the order of a hash of
-    their texts, and rows with a null id come first.  Null texts count as empty.  Of equal rows
+    their texts, and rows with a null id come first.  Ids must be whole numbers.  Null texts count as empty.  Of equal rows
     each is followed by the next of them.  Texts are shuffled once, and of each once more no
     more than what the document before it takes over.
     """

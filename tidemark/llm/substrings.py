@@ -404,7 +404,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word is removed if a window that covers it also starts in a document with a smaller id; what
     is kept is joined by single spaces.  A null text has no words.  A row with a null id loses
-    nothing and takes nothing from others.  Rows of one id take nothing from each other.  Texts
+    nothing and takes nothing from others.  Rows of one id take nothing from each other; ids must be
+    whole numbers.  Texts
     shorter than a window are kept whole.  Other columns are ignored.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -133,7 +133,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     long as it fits in 63 bits.  Ties go to the smaller id.  A row with the query's own id is no
     candidate.  Rows whose id or vector is null, or whose vector holds a null or a number that is
     not finite, take no part; shorter vectors count as padded with zeros; rows that repeat id and
-    vector count once.  No rows, no result.  Other columns are ignored.
+    vector count once.  Ids must be whole numbers.  No rows, no result.  Other columns are ignored.
     """
 
     def whole(df: DataFrame) -> DataFrame:

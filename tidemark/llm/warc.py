@@ -20,7 +20,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import shared_dir, table, written
+from .shared import own_dir, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: A reader has a task per range up to this many; beyond, tasks take several ranges.
@@ -80,7 +80,7 @@ def _writer(folder: str, date: str, file_bytes: int):
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_payload: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 1 << 30) -> DataFrame:
-    """Write a record per row of pages; returns the archives: path, bytes, records.
+    """Write a record per row of pages; returns the archives: path, bytes, records.  Page ids must be whole numbers.
 
     Of rows with equal payloads (html as UTF-8; null counts as empty) of at least ``least_payload``
     bytes the one with the largest id becomes a response, the others revisits of it; shorter
@@ -239,6 +239,16 @@ def all_read(archives: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/tidemark/warc-{uuid.uuid4().hex}")
+    archives = write_warc(table(spark, sf_dir, "pages"), f"{own_dir(spark)}/warc-{uuid.uuid4().hex}")
     found = all_read(archives, read_warc(archives, with_payload=False))
     return found.where("record_type IN ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p GROUP BY h),
+d AS (SELECT h, last, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) * [16, 8, 4, 2, 1][j + 1])) AS BIGINT), 1)), 'string_agg', '') AS digest FROM g)
+SELECT page_id, strlen(h) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM p JOIN d USING (h)
+"""
