@@ -283,3 +283,16 @@ def test_evidence_dedup_with_null_keys_and_positions(spark):
     df = spark.createDataFrame(rows, "q int, pos int, chunk_id int, score double, channels array<string>, content string")
     got = {(r.q, r.pos): (r.chunk_id, r.score, r.channels) for r in evidence.deduplicate(df, ["q"]).collect()}
     assert got == {(None, 1): (10, 0.9, ["a", "b"]), (1, 3): (13, 0.2, ["c"]), (1, 4): (14, 0.3, ["d"]), (2, None): (15, 0.4, [])}
+
+
+def test_listed_tables(spark):
+    rows = [("b_user", "people"), ("a_user", None), ("act_user", "flows"), ("QRTZ_user", ""), ("sys$user", "x"), ("ACTOR_user", "people"), ("all_", "people")]
+    df = spark.createDataFrame(rows, "name string, comment string")
+    names = lambda *a: [r.name for r in governance.listed_tables(df, *a).collect()]
+    assert names() == ["ACTOR_user", "a_user", "all_", "b_user"]
+    assert names("user", "people") == ["ACTOR_user", "b_user"] and names("", "") == names()
+
+
+def test_the_first_of_repeated_cases_counts(spark):
+    cases = spark.createDataFrame([(1, 10, "first"), (1, 11, "again"), (2, 12, "other"), (None, 13, "none")], "case_id int, id int, name string")
+    assert sorted(r.name for r in windows.first_per_key(cases.where("case_id IS NOT NULL"), ["case_id"], F.asc("id")).collect()) == ["first", "other"]

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.similarity import multiset, normalized
+from tidemark.functions.similarity import min_max, multiset, normalized
 from tidemark.session import checkpointed
 
 
@@ -14,6 +14,17 @@ def raw_score(rerank: Column, fused: Column) -> Column:
     return F.when(rerank >= 0, rerank).otherwise(fused)
 
 
+def assemble(results: DataFrame, k: int = 8) -> DataFrame:
+    """The first k of each query's results(query_id, rank, rerank, fused, ...), with raw_score, score and place.
+
+    The raw score is the reranker's, or the fused one where that is null or negative; scores are the
+    raw ones of the k on 0 .. 1 (``min_max``), and places go by falling score, ties by rank.
+    """
+    first = results.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("_n") <= k).drop("_n")
+    scored = first.withColumn("raw_score", raw_score(F.col("rerank"), F.col("fused"))).withColumn("score", min_max(F.col("raw_score"), ["query_id"]))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
+
+
 def alike_pairs(evidence: DataFrame, keys: list[str], least: float) -> DataFrame:
     """keys, a, b, similarity (by shared characters) of the evidence(keys, pos, content) a before b that is at least so much alike.
 

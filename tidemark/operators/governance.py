@@ -97,6 +97,45 @@ def apply_rules(facts: DataFrame, rules: list[tuple[str, int, str, str]], keys:
     return facts.select(*keys, hit.alias("_hit")).where("_hit IS NOT NULL").select(*keys, "_hit.rule_key", "_hit.conclusion")
 
 
+#: Why a conversation goes to a person, by what the refusal says, in this order (fixed values).
+REFUSALS = [("out of scope", ["超出"]), ("conflict", ["冲突"]), ("product mismatch", ["产品不匹配"]), ("insufficient", ["证据不足", "未检索"]), ("blocked", ["阻断", "拒绝作答"])]
+
+
+def transfer_reason(evaluated: Column, refusal: Column, claim_fail: Column) -> Column:
+    """unavailable if nothing was evaluated, else what the refusal says first, else claim failed, else insufficient.
+
+    Out of scope comes before insufficient, as a blocked search's refusal names both.
+    """
+    told = first_match(F.coalesce(refusal, F.lit("")), REFUSALS, "")
+    return F.when(~F.coalesce(evaluated, F.lit(False)), "unavailable").when(told != "", told).when(F.coalesce(claim_fail, F.lit(False)), "claim failed").otherwise("insufficient")
+
+
+def distinct_union(asked: DataFrame, items: DataFrame, key: str, bases: str, base: str, pos: str, name: str) -> DataFrame:
+    """key, place, base and name: the items of all of a row's bases as one list, in the order of the bases and positions.
+
+    Of items with one name the first counts; blank and null names, and bases that come again, don't.
+    """
+    order = asked.select(key, F.posexplode(F.array_distinct(bases)).alias("_b", "_base"))
+    rows = order.join(items.where(F.trim(F.col(name)) != "").select(F.col(base).alias("_base"), F.col(pos).alias("_pos"), F.col(name).alias("_name")), "_base")
+    first = rows.groupBy(key, "_name").agg(F.min(F.struct("_b", "_pos", "_base")).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_at._b", "_at._pos", "_name"))
+    return first.select(key, place.alias("place"), F.col("_at._base").alias(base), F.col("_name").alias(name))
+
+
+#: Prefixes of tables that belong to other systems (fixed values); whatever has a $ is a system's as well.
+FOREIGN = ["act_", "qrtz_", "flw_", "impdp_", "all_", "hs_"]
+
+
+def listed_tables(tables: DataFrame, name: str | None = None, comment: str | None = None) -> DataFrame:
+    """tables(name, comment, ...) whose name and comment hold what is asked for, without other systems' tables, by name."""
+    own = ~F.col("name").rlike("^(?:" + "|".join(p for x in FOREIGN for p in (x, x.upper())) + r").|.\$")
+    found = tables.where(own)
+    for c, asked in (("name", name), ("comment", comment)):
+        if asked:
+            found = found.where(F.coalesce(F.col(c), F.lit("")).contains(asked))
+    return found.orderBy("name")
+
+
 def rules_of(text: str) -> list[dict]:
     """Rules as JSON: a list of name, when (a Spark SQL condition over the facts), then (a list of conclusions) and salience (0 if it has none)."""
     rules = json.loads(text)

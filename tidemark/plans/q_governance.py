@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import governance as g
+from tidemark.operators import evidence, governance as g
 from tidemark.session import working_folder
 from tidemark.sources.tables import table
 from tidemark.streaming import ordered, stateful
@@ -310,3 +310,34 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     told = lambda b: b.select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("text_md5"))
     stateful.ingest(stream, told, f"{folder}/good", f"{folder}/dead", f"{folder}/offsets", rejected).awaitTermination()
     return spark.read.parquet(f"{folder}/good").select("doc_id", "n", "text_md5")
+
+
+@query("""WITH r AS (SELECT user_id AS query_id, event_id AS rank, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN value - 3 ELSE value END AS rerank, value / 10 AS fused FROM events),
+f AS (SELECT *, CASE WHEN rerank >= 0 THEN rerank ELSE fused END AS raw FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8),
+v AS (SELECT *, greatest(coalesce(raw, 0), 0) AS x FROM f), w AS (SELECT *, min(x) OVER (PARTITION BY query_id) AS lo, max(x) OVER (PARTITION BY query_id) AS hi FROM v), z AS (SELECT query_id, rank, CASE WHEN hi - lo < 1e-9 THEN 1.0 ELSE (x - lo) / (hi - lo) END AS score FROM w)
+SELECT query_id, rank, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INTEGER) AS place FROM z""")
+def evidence_assemble(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for results of their users' queries; a third has no reranker's score."""
+    k = F.col("event_id")
+    rerank = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.col("value") - 3).otherwise(F.col("value"))
+    results = table(spark, d, "events").select(F.col("user_id").alias("query_id"), k.alias("rank"), rerank.alias("rerank"), (F.col("value") / 10).alias("fused"))
+    return evidence.assemble(results).select("query_id", "rank", F.round("score", 6).alias("score"), "place")
+
+
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '超出范围; 证据不足' WHEN 1 THEN '证据不足' WHEN 2 THEN '证据冲突' WHEN 3 THEN '阻断' WHEN 4 THEN left(text, 3) WHEN 5 THEN '产品不匹配, 未检索' END AS r, doc_id % 2 = 0 AS c, doc_id % 11 <> 3 AS e FROM documents)
+SELECT doc_id, CASE WHEN NOT e THEN 'unavailable' WHEN contains(r, '超出') THEN 'out of scope' WHEN contains(r, '冲突') THEN 'conflict' WHEN contains(r, '产品不匹配') THEN 'product mismatch' WHEN contains(r, '证据不足') THEN 'insufficient' WHEN contains(r, '阻断') THEN 'blocked' WHEN c THEN 'claim failed' ELSE 'insufficient' END AS reason FROM t""")
+def transfer_reasons(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 7
+    told = F.when(k == 0, "超出范围; 证据不足").when(k == 1, "证据不足").when(k == 2, "证据冲突").when(k == 3, "阻断").when(k == 4, F.substring("text", 1, 3)).when(k == 5, "产品不匹配, 未检索")
+    return table(spark, d, "documents").select("doc_id", g.transfer_reason(F.col("doc_id") % 11 != 3, told, F.col("doc_id") % 2 == 0).alias("reason"))
+
+
+@query("""WITH a AS (SELECT c_custkey, unnest([c_nationkey, (c_custkey * 3) % 25, c_nationkey, (c_custkey * 5) % 25]) AS base, unnest([1, 2, 3, 4]) AS b FROM customer), o AS (SELECT c_custkey, base, min(b) AS b FROM a GROUP BY 1, 2),
+i AS (SELECT s_nationkey AS base, s_suppkey AS pos, 'slot' || s_suppkey % 6 AS name FROM supplier WHERE s_suppkey % 6 <> 5), j AS (SELECT c_custkey, name, base, b, pos FROM o JOIN i USING (base) QUALIFY row_number() OVER (PARTITION BY c_custkey, name ORDER BY b, pos) = 1)
+SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY b, pos, name) AS INTEGER) AS place, base, name FROM j""")
+def union_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers stand for the slots of their nations' bases; every sixth has a blank name."""
+    k, nation, own = F.col("c_custkey"), F.col("c_nationkey").cast("long"), F.col("s_suppkey") % 6
+    asked = table(spark, d, "customer").select("c_custkey", F.array(nation, k * 3 % 25, nation, k * 5 % 25).alias("bases"))
+    items = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("base"), F.col("s_suppkey").alias("pos"), F.when(own != 5, F.concat(F.lit("slot"), own.cast("string"))).otherwise(" ").alias("name"))
+    return g.distinct_union(asked, items, "c_custkey", "bases", "base", "pos", "name")

@@ -181,7 +181,12 @@ def consumer_group(messages: DataFrame, acks: DataFrame, stream: str, number: st
     return state.where(F.col("attempts") < attempts).withColumn("member", member), state.where(F.col("attempts") >= attempts)
 
 
-def trim(messages: DataFrame, stream_col: str, order: str, keep: int = 10_000) -> DataFrame:
-    """The latest ``keep`` messages of each stream."""
-    n = F.row_number().over(Window.partitionBy(stream_col).orderBy(F.desc(order)))
-    return messages.withColumn("_n", n).where(F.col("_n") <= keep).drop("_n")
+def trim(messages: DataFrame, stream_col: str, order: str, keep: int = 10_000, parts: int = 64) -> DataFrame:
+    """The latest ``keep`` messages of each stream.
+
+    A stream's messages are cut by hash into parts, whose latest meet in one: a stream may have any
+    share of the messages.
+    """
+    n = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc(order)))
+    some = messages.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts))).withColumn("_n", n(stream_col, "_part")).where(F.col("_n") <= keep).drop("_part", "_n")
+    return some.withColumn("_n", n(stream_col)).where(F.col("_n") <= keep).drop("_n")
