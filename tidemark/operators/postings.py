@@ -258,16 +258,17 @@ class Postings:
             number = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair]), level)
         block = level.cast("long") * 2**32 + F.pmod(F.xxhash64("chunk_id"), number)
         kind = dict(counted.dtypes)["chunk_id"]
-        tasks = max(1, sum(blocks.values()))
-        dealt = counted.select(block.alias("block"), "*").repartition("block").sortWithinPartitions("block", "chunk_id")
+        # Tasks grow with the blocks: about four blocks each, whatever the session's number of partitions is.
+        tasks = -(-sum(blocks.values()) // 4) or 1
+        dealt = counted.select(block.alias("block"), "*").repartition(tasks, "block").sortWithinPartitions("block", "chunk_id")
         built = saved(dealt.mapInArrow(_built, f"block long, term long, max_tf int, min_len int, n long, total long, ords array<int>, tfs array<int>, ids array<{kind}>, lens array<int>"), "built")
         dropped(source)
         own = built.where("term IS NULL").select("block", "ids", "lens", "n", "total")
         own.write.mode("overwrite").parquet(f"{self.folder}/texts/segment={segment}")
         posted = built.where("term IS NOT NULL").select("term", "block", "max_tf", "min_len", "n", "ords", "tfs", F.pmod("term", F.lit(BUCKETS)).cast("int").alias("bucket"))
-        # The blocks of a bucket's terms are dealt to as many tasks as they need.
-        spread = F.pmod(F.xxhash64("block"), F.lit(max(1, tasks // 4096)))
-        posted.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        # A bucket's blocks are dealt to as many files as they need.
+        spread = max(1, tasks // 16)
+        posted.repartition(spread * BUCKETS // 4, "bucket", F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
         dropped(built)
 
     # Search
