@@ -182,13 +182,16 @@ def latest_rules(rules: DataFrame) -> dict[str, str]:
     return {r.rule_key: r.content for r in last.collect() if r.content}  # texts that people wrote
 
 
-def first_match(c: Column, groups: list[tuple[str, list[str]]], default: str) -> Column:
-    """The first group one of whose words the text holds."""
+def first_match(c: Column, groups: list[tuple[str, list[str | tuple[str, ...]]]], default: str) -> Column:
+    """The first group one of whose words the text holds; of a tuple of words it holds all."""
     out = None
     for name, words in groups:
         found = F.lit(False)
         for w in words:
-            found = found | c.contains(w)
+            held = F.lit(True)
+            for x in (w,) if isinstance(w, str) else w:
+                held = held & c.contains(x)
+            found = found | held
         out = (F.when if out is None else out.when)(found, name)
     return out.otherwise(default)
 
