@@ -27,3 +27,52 @@ def test_triage_looks_at_the_text_as_it_is(spark, tmp_path):
     texts = ["eern", "eerr", "th er", "er", "th", "then", "erther en", None, "", "ther", "eerrn en"]
     rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
     same_as_sql(spark, tmp_path, "keyword_triage", conversations=rows)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_deliveries_are_counted_without_pairs(spark, parts, monkeypatch):
+    from tidemark.streaming import stateful
+
+    r = random.Random(parts)
+    told = [(r.choice(["a", "b", "c", None]), i, r.choice([None, *range(-5, 60)]), r.choice([None, None, *range(-5, 60)])) for i in range(200)]
+    sent = [(r.choice(["a", "b", "d", None]), i * 10**14, r.choice([None, *range(50)])) for i in range(400)]
+    subscriptions = spark.createDataFrame(told, "channel string, subscriber long, since int, until int").repartition(parts)
+    messages = spark.createDataFrame(sent, "topic string, message_id long, at int").repartition(parts)
+    monkeypatch.setattr(stateful, "published", None)  # the pairs
+    want = {}
+    for c, i, since, until in told:
+        held = [m for t, m, at in sent if None not in (c, t, at, since) and t == c and since <= at and (until is None or at < until)]
+        want[i] = (len(held), sum(held))
+    got = stateful.delivered(messages, subscriptions, "topic", "at", {"total": "message_id"})
+    assert {x.subscriber: (x.n, x.total) for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_points_get_totals_without_pairs(spark, kind):
+    from tidemark.operators.ranges import totals_of_points
+
+    r = random.Random(4)
+    spans = [(i, lo := r.randrange(-500, 500), lo + r.choice([0, 1, 5, 40, 300])) for i in range(120)]
+    spans += [(2**61, -(2**40), 2**40), (-3, 7, 7), (-3, 7, 7), (203, 9, 8), (204, None, 5), (205, 5, None), (None, 0, 9)]
+    at = [(i, r.randrange(-700, 700)) for i in range(400)] + [(i, 7) for i in range(1000, 1300)] + [(2000, None), (2001, 2**41)]
+    points = spark.createDataFrame([(i, None if v is None else float(v) if kind == "double" else v) for i, v in at], f"id int, v {kind}").repartition(3)
+    got = totals_of_points(points, "v", spark.createDataFrame(spans, "area long, lo long, hi long"), "lo", "hi", {"total": "area"})
+    want = []
+    for i, v in at:
+        held = [a for a, lo, hi in spans if None not in (v, lo, hi) and lo <= v <= hi]
+        want.append((i, len(held), sum(a or 0 for a in held)))
+    assert got.columns == ["id", "v", "n", "total"]
+    assert sorted((x.id, x.n, x.total) for x in got.collect()) == want
+
+
+def test_items_of_one_name_meet_the_rows_once(spark, tmp_path):
+    """3000 items of a base have two names: 50 rows that ask for it are not paired with all of them."""
+    from tidemark.operators import governance
+
+    asked = spark.createDataFrame([(i, [1, 2, 1, None]) for i in range(50)], "k int, bases array<long>")
+    items = spark.createDataFrame([(1, p, f"n{p % 2}") for p in range(3000, 0, -1)] + [(2, 5, "n0"), (2, 6, "z"), (2, 7, " "), (2, 8, None)], "base long, pos int, name string")
+    got = governance.distinct_union(asked, items, "k", "bases", "base", "pos", "name")
+    got.write.format("noop").mode("overwrite").save()
+    assert sorted(tuple(x) for x in got.collect()) == sorted(row for i in range(50) for row in [(i, 1, 1, "n1"), (i, 2, 1, "n0"), (i, 3, 2, "z")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # the base's items first, then the rows' own

@@ -1,4 +1,4 @@
-"""Range lookup: the ranges that hold a point, by a sweep over sorted points and range starts."""
+"""Range lookup: the ranges that hold a point, by a sweep over sorted points and range starts; totals by running sums, without pairs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.session import saved
 
@@ -97,3 +97,58 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left, right = [], []
         if left:
             yield pa.RecordBatch.from_arrays([own.take(pa.array(left)), pool.take(pa.array(right, pa.int64()))], names=["p", "r"])
+
+
+def _running(steps: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """keys, _v, _side and the running sums of a key's steps up to each (_v, _side), itself included.
+
+    steps: keys, _v, _side and sums.  Steps of one place become one row.  Spark deals the places to
+    ranges of about equal size, each range adds up for itself, and what came before is added: a key may
+    have any number of steps.  Sums are decimals, as a key's may be larger than any that is asked for.
+    """
+    places = steps.groupBy(*keys, "_v", "_side").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in sums])
+    ranged = saved(places.repartitionByRange(*keys, "_v", "_side").withColumn("_range", F.spark_partition_id()), "steps")
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    here = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    before = here.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("_range").alias("_before"), *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_{c}") for c in sums])  # a key's ranges
+    own = Window.partitionBy(*keys, "_range").orderBy("_v", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumns({c: F.sum(c).over(own) for c in sums})
+    joined = summed.join(F.broadcast(before), [summed[c] == before[f"_{c}"] for c in keys] + [summed["_range"] == before["_before"]])
+    return joined.select(*keys, "_v", "_side", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
+
+
+def totals_of_points(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, totals: dict[str, str]) -> DataFrame:
+    """points with n, the number of ranges low .. high (inclusive) that hold them, and the totals of whole numbers of these: name -> column of ranges.
+
+    Nothing is paired: what a point is given is the running sum of range starts up to it less that of
+    ends before it.  0 where no range holds a point, or where it is null.
+    """
+    sums = ["n", *totals]
+    points = saved(points, "points")  # read twice: what makes them is run once
+    good = ranges.where(F.col(low) <= F.col(high))
+    step = lambda v, side, sign: good.select(F.col(v).alias("_v"), F.lit(side).alias("_side"), F.lit(sign).alias("n"), *[(F.coalesce(c, F.lit(0)).cast("decimal(38,0)") * sign).alias(name) for name, c in totals.items()])
+    asked = points.where(F.col(at).isNotNull()).select(F.col(at).alias("_v"), F.lit(1).alias("_side"), *[F.lit(0).alias(c) for c in sums]).distinct()
+    told = _running(step(low, 0, 1).unionByName(asked).unionByName(step(high, 2, -1)), [], sums).where("_side = 1").drop("_side")
+    return points.join(told, points[at] == told["_v"], "left").select(*[points[c] for c in points.columns], *[F.coalesce(told[c], F.lit(0)).cast("long").alias(c) for c in sums])
+
+
+def totals_of_ranges(ranges: DataFrame, low: str, until: str, points: DataFrame, at: str, totals: dict[str, str], key: str) -> DataFrame:
+    """ranges with n, the number of their key's points with low <= at, and at < until if there is one, and the totals of whole numbers of these: name -> column of points.
+
+    Nothing is paired: a range is given the running sum of its key's points before its end less that before its start.
+    """
+    sums = ["n", *totals]
+    said = points.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    said = said.select(key, F.col(at).alias("_v"), F.lit(1).alias("_side"), F.lit(1).alias("n"), *[F.coalesce(c, F.lit(0)).alias(name) for name, c in totals.items()])
+    # One row a place and key, before it is read twice.
+    said = said.groupBy(key, "_v", "_side").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in sums])
+    edge = lambda v: ranges.where(F.col(v).isNotNull()).select(key, F.col(v).alias("_v"), F.lit(0).alias("_side"), *[F.lit(0).cast("decimal(38,0)").alias(c) for c in sums])
+    told = _running(said.unionByName(edge(low).unionByName(edge(until)).where(F.col(key).isNotNull()).distinct()), [key], sums).where("_side = 0")
+    part = lambda name, frame, *more: frame.select(F.col(key).alias(f"_{name}"), *more, *[F.col(c).alias(f"_{name}_{c}") for c in sums])
+    first, last = part("first", told, F.col("_v").alias("_low")), part("last", told, F.col("_v").alias("_until"))
+    whole = part("whole", said.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums]))
+    held = ranges.join(first, (F.col(key) == F.col("_first")) & (F.col(low) == F.col("_low")), "left")
+    held = held.join(last, (F.col(key) == F.col("_last")) & (F.col(until) == F.col("_until")), "left").join(whole, F.col(key) == F.col("_whole"), "left")
+    some = F.col(until).isNull() | (F.col(low) < F.col(until))
+    end = lambda c: F.when(F.col(until).isNull(), F.col(f"_whole_{c}")).otherwise(F.col(f"_last_{c}"))
+    return held.select(*[ranges[c] for c in ranges.columns], *[F.coalesce(F.when(some, end(c) - F.col(f"_first_{c}")), F.lit(0)).cast("long").alias(c) for c in sums])

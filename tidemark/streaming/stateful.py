@@ -169,6 +169,13 @@ def published(messages: DataFrame, subscriptions: DataFrame, channel: str, at: s
     return joined.where((F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col(at) < F.col("until")))).drop("_channel", "since", "until")
 
 
+def delivered(messages: DataFrame, subscriptions: DataFrame, channel: str, at: str, totals: dict[str, str]) -> DataFrame:
+    """subscriptions with n, how many messages ``published`` gives them, and totals of the messages' whole numbers (name -> column), without a row per delivery."""
+    from tidemark.operators.ranges import totals_of_ranges
+
+    return totals_of_ranges(subscriptions, "since", "until", messages.withColumnRenamed(channel, "channel"), at, totals, "channel")
+
+
 def consumer_group(messages: DataFrame, acks: DataFrame, stream: str, number: str, members: int, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
     """(open, dead): what a group's members have still to work on, each message at one member, and what failed too often.
 
