@@ -116,7 +116,9 @@ def distinct_union(asked: DataFrame, items: DataFrame, key: str, bases: str, bas
     Of items with one name the first counts; blank and null names, and bases that come again, don't.
     """
     order = asked.select(key, F.posexplode(F.array_distinct(bases)).alias("_b", "_base"))
-    rows = order.join(items.where(F.trim(F.col(name)) != "").select(F.col(base).alias("_base"), F.col(pos).alias("_pos"), F.col(name).alias("_name")), "_base")
+    # Of a base's items with one name only the first can count, whoever asks: the others don't meet the rows.
+    named = items.where(F.trim(F.col(name)) != "").groupBy(F.col(base).alias("_base"), F.col(name).alias("_name")).agg(F.min(pos).alias("_pos"))
+    rows = order.join(named, "_base")
     first = rows.groupBy(key, "_name").agg(F.min(F.struct("_b", "_pos", "_base")).alias("_at"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("_at._b", "_at._pos", "_name"))
     return first.select(key, place.alias("place"), F.col("_at._base").alias(base), F.col("_name").alias(name))
