@@ -76,3 +76,22 @@ def test_items_of_one_name_meet_the_rows_once(spark, tmp_path):
     assert sorted(tuple(x) for x in got.collect()) == sorted(row for i in range(50) for row in [(i, 1, 1, "n1"), (i, 2, 1, "n0"), (i, 3, 2, "z")])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2  # the base's items first, then the rows' own
+
+
+def test_blocks_of_long_texts_are_bounded(spark, tmp_path, monkeypatch):
+    """TEXTS long texts were one block, whose postings a task held at once."""
+    from tidemark.operators import postings, retrieval
+
+    monkeypatch.setattr(postings, "POSTINGS", 4000)
+    r = random.Random(9)
+    texts = [(i, " ".join(f"w{r.randrange(600)}" for _ in range(300))) for i in range(200)]
+    rows = spark.createDataFrame(texts, "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "w1 w2 w70"), (2, "w5")], "query_id long, query string")
+    index = postings.Postings(spark, f"file://{tmp_path}/index")
+    key = lambda found: sorted(map(str, found.select("query_id", "chunk_id", "score", "rank").collect()))
+    want = key(retrieval.bm25_top_k(rows, queries, 7))
+    for change in (lambda: index.upsert(rows), index.merge):
+        version = change()
+        held = spark.read.parquet(f"{index.folder}/postings").where(F.col("segment") == version).groupBy("block").agg(F.sum("n").alias("n"))
+        assert held.agg(F.max("n")).first()[0] < 3 * 4000
+        assert key(index.search(queries, 7)) == want

@@ -3,7 +3,7 @@
 Layout of an index folder; every table is written once and never changed:
 
   commits/version=V     the segments that are live from version V on
-  texts/segment=S       a row per block of about ``TEXTS`` texts: block, ids (ascending), lens, n, total
+  texts/segment=S       a row per block of about ``TEXTS`` texts, fewer if they are long: block, ids (ascending), lens, n, total
   postings/segment=S/bucket=B
                         a row per term and block: term, block, max_tf, min_len, n, ords, tfs
   gone/version=V        segment, block, ords: texts that version V replaced or deleted, with their lengths
@@ -29,6 +29,8 @@ from tidemark.operators.retrieval import K1, B, k_best, ranked
 from tidemark.session import checkpointed, dropped, saved
 
 BUCKETS, TEXTS, GROUP = 64, 4096, 256
+#: Postings of a block, about: what a task holds at once, however many long texts there are.
+POSTINGS = 1 << 20
 #: Words that are sorted at once.
 WORDS = 1 << 19
 #: Blocks with the best bounds, which a query reads first to learn what its k-th score is at least.
@@ -249,10 +251,10 @@ class Postings:
 
     def _write(self, segment: int, counted: DataFrame, source: DataFrame) -> None:
         """counted: chunk_id, len, terms (ascending), tfs; a row per text.  Its source, a saved table, is dropped."""
-        # Texts of about one length (a class of lengths, 256 at most) are dealt by hash to blocks of about TEXTS.
+        # Texts of about one length (a class of lengths, 256 at most) are dealt by hash to blocks of about TEXTS, and of POSTINGS at most.
         level = F.floor(F.log2(F.col("len") + 1) * 4).cast("int")
-        sizes = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
-        blocks = {r.level: -(-r.n // TEXTS) for r in sizes}
+        sizes = counted.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("postings")).collect()
+        blocks = {r.level: max(-(-r.n // TEXTS), -(-r.postings // POSTINGS)) for r in sizes}
         number = F.lit(1)
         if blocks:
             number = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair]), level)
