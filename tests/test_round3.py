@@ -95,3 +95,37 @@ def test_blocks_of_long_texts_are_bounded(spark, tmp_path, monkeypatch):
         held = spark.read.parquet(f"{index.folder}/postings").where(F.col("segment") == version).groupBy("block").agg(F.sum("n").alias("n"))
         assert held.agg(F.max("n")).first()[0] < 3 * 4000
         assert key(index.search(queries, 7)) == want
+
+
+def test_elements_are_enriched_without_a_shuffle(spark):
+    from tidemark.operators import enrich
+
+    r, rows = random.Random(3), []
+    for i in range(60):
+        listed = []
+        for p in range(r.choice([0, 1, 2, 40, 90])):
+            kind = r.choice(["heading", "image", "paragraph", "paragraph", None])
+            listed.append((p, kind, r.choice([None, 0, 1, 2, 3, 6, 7]) if kind == "heading" else None, r.choice([None, "", " ", "ab", "x. y", "a longer text", "é"])))
+        rows.append((i, listed))
+    df = spark.createDataFrame(rows, "id int, elements array<struct<pos:int,kind:string,level:int,text:string>>")
+    titled, pictured = enrich.title_chains(df, "elements"), enrich.image_contexts(df, "elements", 12, ".")
+    for made in (titled, pictured):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    said, titles = {}, {}
+    for i, listed in rows:
+        held, before, told = [None] * 6, "", []
+        for p, kind, level, text in listed:
+            if kind == "heading":
+                before = ""
+                if level and level <= 6:
+                    held = [*held[: level - 1], text, *[None] * (6 - level)]
+            told.append(None if kind in ("heading", None) else [t for t in held if t is not None])
+            if kind == "image":
+                s = before[-12:]
+                cut = s.find(".")
+                said[i, p] = (s[cut + 1 :] if cut > 0 and len(s) - cut < 6 else s).strip()
+            if kind not in ("heading", None) and (text or "").strip(" "):
+                before += text + "\n"
+        titles[i] = told
+    assert {x.id: [e.titles for e in x.elements] for x in titled.collect()} == titles
+    assert {(x.id, x.pos): x.context for x in pictured.collect()} == said

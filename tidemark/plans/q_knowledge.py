@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import strings
 from tidemark.operators import chat, dml, enrich, evaluation, index, retrieval
@@ -148,9 +148,14 @@ e AS (SELECT doc_id, pos, CASE WHEN pos % 17 = 0 THEN 'heading' WHEN pos % 11 =
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
     """Each word of a document as an element: headings of three levels, images and paragraphs."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("pos", "text"))
-    kind = F.when(F.col("pos") % 17 == 0, "heading").when(F.col("pos") % 11 == 5, "image").otherwise("paragraph")
-    return words.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", 1 + (F.floor(F.col("pos") / 17) * 2) % 3).cast("int"))
+
+    def element(t: Column, i: Column) -> Column:
+        kind = F.when(i % 17 == 0, "heading").when(i % 11 == 5, "image").otherwise("paragraph")
+        level = F.when(i % 17 == 0, 1 + (F.floor(i / 17) * 2) % 3).cast("int")
+        return F.struct(i.alias("pos"), kind.alias("kind"), level.alias("level"), t.alias("text"))
+
+    # As the one row of an explode they are made once, not wherever they are used.
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array(F.transform(F.split(F.coalesce("text", F.lit("")), " "), element))).alias("elements"))
 
 
 @query(f"""WITH {_ELEMENTS}, h AS (SELECT *, last_value(CASE WHEN level = 1 THEN pos END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN level = 2 THEN pos END IGNORE NULLS) OVER w AS p2, last_value(CASE WHEN level = 3 THEN pos END IGNORE NULLS) OVER w AS p3,
@@ -158,9 +163,9 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT doc_id, pos, kind, concat_ws('>', t1, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END) AS chain FROM h)
 SELECT doc_id, count(*) AS n, md5(string_agg(chain, '|' ORDER BY pos)) AS chains_md5 FROM k WHERE kind <> 'heading' GROUP BY doc_id""")
 def enrich_titles(spark: SparkSession, d: str) -> DataFrame:
-    rows = enrich.title_chains(_elements(spark, d), ["doc_id"]).where("kind <> 'heading'")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array_join("titles", ">").alias("c")))), lambda x: x["c"])
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(listed, "|")).alias("chains_md5"))
+    others = F.filter("elements", lambda e: e["kind"] != "heading")
+    rows = enrich.title_chains(_elements(spark, d), "elements").select("doc_id", F.explode(F.array(F.transform(others, lambda e: F.array_join(e["titles"], ">")))).alias("chains"))
+    return rows.select("doc_id", F.size("chains").cast("long").alias("n"), F.md5(F.array_join("chains", "|")).alias("chains_md5")).where("n > 0")
 
 
 @query(f"""WITH {_ELEMENTS}, s AS (SELECT *, sum(CAST(kind = 'heading' AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM e),
@@ -169,7 +174,7 @@ k AS (SELECT doc_id, pos, right(said, 60) AS x FROM r WHERE kind = 'image'),
 c AS (SELECT doc_id, pos, CASE WHEN instr(x, '.') > 1 AND length(x) - instr(x, '.') + 1 < 30 THEN substr(x, instr(x, '.') + 1) ELSE x END AS y FROM k)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(regexp_replace(y, '^\\s+|\\s+$', '', 'g')) AS context_md5 FROM c""")
 def enrich_images(spark: SparkSession, d: str) -> DataFrame:
-    rows = enrich.image_contexts(_elements(spark, d), ["doc_id"], limit=60, stop=".").where("kind = 'image'")
+    rows = enrich.image_contexts(_elements(spark, d), "elements", limit=60, stop=".")
     return rows.select("doc_id", "pos", F.md5("context").alias("context_md5"))
 
 
